@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,15 @@ def input_partitions(spark: SparkSession) -> int:
 
 def as_long_id(df: DataFrame, name: str) -> F.Column:
     return df[name].cast("long")
+
+
+def bitmap(numbers: DataFrame, bits: int) -> np.ndarray:
+    """2**bits bits, set at the lowest ``bits`` of each number in the only column; gathered as chunks of 65,536 places."""
+    place = F.pmod(F.col(numbers.columns[0]), F.lit(1 << bits))
+    chunks = numbers.select(place.alias("p")).distinct().groupBy(F.expr("p div 65536").alias("chunk"))
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for r in chunks.agg(F.collect_list(F.pmod("p", F.lit(65536)).cast("int")).alias("at")).toLocalIterator():
+        own = np.zeros(65536, bool)
+        own[r["at"]] = True
+        out[r["chunk"] * 8192 : (r["chunk"] + 1) * 8192] = np.packbits(own, bitorder="little")
+    return out

@@ -15,12 +15,48 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.secrets import secret_report
+
+    return secret_report(read(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.language_id import language_id
+
+    return language_id(read(spark, sf_dir, "documents"))
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.surrogates import surrogated
+
+    return surrogated(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+
+
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.nearest import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op5_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.decontaminate import contaminations
+
+    return contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkwright.llm.mixing import mix_plan
 
     return mix_plan(read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.jaccard import jaccard_components
+
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkwright.llm.token_counts import token_counts
 
@@ -33,6 +69,12 @@ def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes(read(spark, sf_dir, "documents"), tokenizer_path()).drop("shard")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkwright.llm.line_dedup import line_report
+
+    return line_report(read(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -52,7 +94,7 @@ FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_mix_sources, op8_token_counts, op9_token_planes)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_pii_surrogates, op4_nearest_vectors, op5_benchmark_hits, op6_mix_sources, op7_jaccard_groups, op8_token_counts, op9_token_planes, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

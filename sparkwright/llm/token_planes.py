@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import cut, fresh_path, small_batches
+from sparkwright.llm.common import cut, fresh_path, input_partitions, small_batches
 from sparkwright.llm.pieces import PieceEncoder
 
 MAGIC = b"TIDPLN1\n"
@@ -212,7 +212,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame, out: str) -> DataFrame
         out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
         return out.astype({"doc_id": "Int64", "start": "int64", "n_tokens": "int64", "ids_crc32": "int64"})
 
-    return placed.select("file", "base").repartition("file").mapInPandas(scan, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
+    return placed.select("file", "base").repartition(input_partitions(spark), "file").mapInPandas(scan, "doc_id long, start long, n_tokens long, ids_crc32 long, shard string")
 
 
 def token_planes(docs: DataFrame, tokenizer: str, end_id: int | None = 2, plane: str = "byte", block: int = 1 << 16, out: str | None = None) -> DataFrame:
