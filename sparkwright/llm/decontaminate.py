@@ -142,15 +142,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
     def verify(frames):
         for f in frames:
             rows = []
-            for r in f.itertuples(index=False):
-                text, item = np.frombuffer(r.words, np.uint64), np.frombuffer(r.item, np.uint64)
-                lo, hi = max(0, -r.shift), min(len(item), len(text) - r.shift)
+            for r in f.to_dict("records"):
+                text, item, shift = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["item"], np.uint64), r["shift"]
+                lo, hi = max(0, -shift), min(len(item), len(text) - shift)
                 if hi <= lo:
                     continue
-                equal = item[lo:hi] == text[lo + r.shift : hi + r.shift]
+                equal = item[lo:hi] == text[lo + shift : hi + shift]
                 a, z = longest_stretch(equal.tolist())
                 if z - a >= min(least, len(item)):
-                    rows.append([getattr(r, c) for c in keep] + [r.key, r.start + r.shift + lo + a, z - a, int(equal[a:z].sum())])
+                    rows.append([r[c] for c in keep] + [r["key"], r["start"] + shift + lo + a, z - a, int(equal[a:z].sum())])
             yield pd.DataFrame(rows, columns=[*keep, "key", "at", "overlap_words", "equal_words"]) if rows else pd.DataFrame({c: [] for c in [*keep, "key", "at", "overlap_words", "equal_words"]})
 
     schema = pairs.select(*keep, "key", F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("overlap_words"), F.lit(0).cast("long").alias("equal_words")).schema

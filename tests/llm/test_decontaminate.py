@@ -29,8 +29,8 @@ def test_planted(spark):
     for i in (7, 16, 25, 33):
         near[i] = "other"
     docs = [(100, " ".join(noise(50) + w[0] + noise(50))), (101, " ".join(noise(10) + near)), (102, ", ".join(w[1]).title()), (103, " ".join(noise(5) + w[2] + noise(5))), (104, " ".join(w[2][:7] + noise(30))), (105, " ".join(w[0][:12])), (106, " ".join(noise(5) + w[0][10:24] + noise(5))), (107, None), (108, ""), (109, " ".join(noise(300)))]
-    rows = [(i, t, "en", "s") for i, t in docs] + documents()
-    df = frame(spark, [(r[0] if r[0] is None or r[0] >= 100 else r[0] + 1000, *r[1:]) for r in rows])
+    rows = [(i, t, "en", "s") for i, t in docs] + [(r[0] and r[0] + 1000, *r[1:]) for r in documents()]
+    df = frame(spark, rows)
     got = {(r["doc_id"], r["item_id"]): (r["at"], r["overlap_words"], r["equal_words"]) for r in contaminations(df, items(spark, tests)).collect()}
     assert got == {(100, 1): (50, 40, 40), (100, 6): (50, 40, 40), (101, 1): (10, 40, 36), (101, 6): (10, 40, 36), (102, 2): (0, 20, 20), (103, 3): (5, 8, 8), (106, 1): (*got[106, 1][:2], 14), (106, 6): (*got[106, 6][:2], 14)}
     clean = decontaminated(df, items(spark, tests))
