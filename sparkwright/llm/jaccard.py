@@ -344,7 +344,7 @@ def region_groups(members: DataFrame) -> DataFrame:
 def split(members: DataFrame, sizes: DataFrame, pivots: int = 16) -> DataFrame:
     """Large regions by their Voronoi cells: (region, was, node, n, shingles), regions named anew."""
     pick = Window.partitionBy("region").orderBy(F.xxhash64("node", "region"), "node")
-    chosen = members.select("region", "node", "shingles").withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= pivots)
+    chosen = cut(members.select("region", "node", "shingles").withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= pivots), "pivots")
     slices = F.greatest(F.lit(1), F.ceil(F.col("sets") / SETS), F.ceil(F.col("weight") / SHINGLES))
     spread = sizes.select("region", slices.cast("int").alias("slices"))
     left = members.join(spread, "region").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).drop("slices")
