@@ -218,6 +218,27 @@ def predict(docs: DataFrame, model: Filter, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
+def recognised(docs: DataFrame, least: float, share: float = SHARE) -> DataFrame:
+    """``docs`` without the rows whose text is in none of the languages that it teaches: ``und``, or a score under ``least``."""
+    model = learn(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"), share)
+    small_batches(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        m = shared.value
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            total, counts, has = np.zeros(len(texts)), np.zeros((len(texts), len(m.langs))), np.zeros(len(texts), bool)
+            for i, n, letters_in, owner, h in grams(texts):
+                has[i : i + n] |= letters_in
+                total[i : i + n] += np.bincount(owner, minlength=n)[:n]
+                counts[i : i + n] += m.counts(owner, h, n)
+            good = has & ((m.scores(counts, total).max(axis=1, initial=0) >= least) | (total == 0))
+            yield b.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of ``docs`` (doc_id, text, lang).
 

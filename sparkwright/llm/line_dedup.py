@@ -52,7 +52,7 @@ def near_earlier(docs: DataFrame, firsts: DataFrame, halves: DataFrame, least: i
     active = sides.join(shared, ["side", "m", "h"]).groupBy("key", "n").agg(
         F.min(F.when(F.col("side") == 0, F.col("m"))).alias("after"), F.max(F.when(F.col("side") == 1, F.col("n") - F.col("m"))).alias("until"))
     active = cut(active, "active-lines")
-    texts = cut(occurrences(docs).select("key", "line").join(few(active), "key").join(firsts, "key").filter(place() == F.col("first")).select("key", "line", "n", "after", "until", "first"), "active-texts")
+    texts = cut(occurrences(docs).select("key", "line", place().alias("own")).join(few(active), "key").join(firsts, "key").filter(F.col("own") == F.col("first")).select("key", "line", "n", "after", "until", "first").dropDuplicates(["key"]), "active-texts")
     chars = texts.select("key", "n", "after", "until", F.posexplode(F.split("line", "")).alias("i", "c")).filter("i < n")
     same, moved = F.xxhash64("i", "c"), F.xxhash64(F.col("i") - 1, "c")
     line = Window.partitionBy("key").orderBy("i")

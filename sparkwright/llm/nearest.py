@@ -61,10 +61,10 @@ def extended(x: np.ndarray, norm2: float) -> np.ndarray:
 
 def scan(x: np.ndarray, q: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON) -> np.ndarray:
     """Numbers of the rows of ``x`` that may be among the k nearest to ``q``; both rotated. A superset of the k found."""
-    d, width, alive = x.shape[1], 256, []
+    d, alive = x.shape[1], []
     bound, best = np.inf, np.zeros(0)
-    for i in range(0, len(x), width):
-        rows = np.arange(i, min(len(x), i + width))
+    for i in [0, *range(256, len(x), 1024)]:
+        rows = np.arange(i, min(len(x), i + 1024 if i else 256))
         part, seen = np.zeros(len(rows)), 0
         while seen < d and len(rows):
             to = min(d, seen + columns)
@@ -77,7 +77,6 @@ def scan(x: np.ndarray, q: np.ndarray, k: int, columns: int = COLUMNS, epsilon:
         best = np.sort(np.concatenate([best, part]))[:k]
         if len(best) == k:
             bound = best[-1]
-        width = 1024
     return np.concatenate(alive) if alive else np.zeros(0, int)
 
 

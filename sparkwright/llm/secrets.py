@@ -102,8 +102,9 @@ def made_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, digits, F.concat(pick(OTHERS, 70), F.lit(" "))), (0, F.concat_ws("-", F.lit("2024"), pick(("01", "07", "11"), 50), pick(DICTIONARY, 53), pick(DICTIONARY, 60)), F.lit(" ")),
     ]
     n_kinds = len(kinds)
+    alone = F.conv(F.substring(h, 125, 1), 16, 10).cast("int") < 4  # a quarter stand without other words
     at = lambda i: F.coalesce(*[F.when(F.col("id") % n_kinds == k, x[i] if i else F.lit(x[0])) for k, x in enumerate(kinds)])
-    rows = spark.range(n).select(at(1).alias("candidate"), F.concat(plain(86), F.lit(" "), at(2)).alias("before"), F.when(at(2).rlike("\"$"), F.lit("\" ")).when(at(2).rlike("'$"), F.lit("' ")).otherwise(F.lit(" ")).alias("tail"), plain(1).alias("next"), pick(("src0", "app/main", "lib/core", "conf/prod"), 110).alias("path"), at(0).alias("label"))
+    rows = spark.range(n).select(at(1).alias("candidate"), F.concat(F.when(alone, F.lit("")).otherwise(F.concat(plain(86), F.lit(" "))), at(2)).alias("before"), F.when(at(2).rlike("\"$"), F.lit("\" ")).when(at(2).rlike("'$"), F.lit("' ")).otherwise(F.lit(" ")).alias("tail"), F.when(alone, F.lit("")).otherwise(plain(1)).alias("next"), pick(("src0", "app/main", "lib/core", "conf/prod"), 110).alias("path"), at(0).alias("label"))
     return rows.select("candidate", F.right("before", F.lit(BEFORE)).alias("before"), F.left(F.concat("tail", "next"), F.lit(AFTER)).alias("after"), "path", "label")
 
 

@@ -37,6 +37,7 @@ IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)"
 PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"
 CARD = r"(?<![\d])\d(?:[ \-]?\d){12,18}(?![\d])"
 NAME = rf"(?<![\p{{L}}])(?:{FORMS})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
+FORM = rf"^((?:{FORMS})\.?) "
 ENTITY = "|".join((EMAIL, SSN, IP, PHONE, CARD, NAME))
 #: What a text must have to hold an entity; nearly all texts are done after this.
 MAY = rf"[@\d]|(?<![\p{{L}}])(?:{FORMS})\.? \p{{Lu}}"
@@ -53,12 +54,7 @@ def kind_of(e: Column) -> Column:
 def canonical(e: Column, kind: Column) -> Column:
     """One form for all mentions of an entity: addresses in lower case, digits alone, names without form of address."""
     digits = F.regexp_replace(e, r"[^\d]", "")
-    return F.when(kind == "email", F.lower(e)).when(kind == "ip", e).when(kind == "name", F.lower(F.regexp_replace(e, rf"^(?:{FORMS})\.? ", ""))).otherwise(digits)
-
-
-def entity_key(e: Column) -> Column:
-    kind = kind_of(e)
-    return F.concat(kind, F.lit(":"), canonical(e, kind))
+    return F.when(kind == "email", F.lower(e)).when(kind == "ip", e).when(kind == "name", F.lower(F.regexp_replace(e, FORM, ""))).otherwise(digits)
 
 
 def hashed(key: str, entity: Column, attempt: Column) -> Column:
@@ -114,31 +110,45 @@ def picked(names: tuple[str, ...], h: Column, at: int) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in names]), (number(h, at, len(names)) + 1).cast("int"))
 
 
-def surrogate(e: Column, key: str, attempt: Column) -> Column:
-    """The replacement of the mention ``e``."""
-    kind = kind_of(e)
-    h = hashed(key, entity_key(e), attempt)
-    all_digits = F.regexp_replace(e, r"[^\d]", "")
+def staged(found: Column, tries: Column) -> Column:
+    """For each mention: e, kind, entity, attempt; step by step, so that each part is computed once."""
+    kinds = F.transform(found, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
+    named = F.transform(kinds, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), F.concat(s["kind"], F.lit(":"), canonical(s["e"], s["kind"])).alias("entity")))
+    return F.transform(named, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), s["entity"].alias("entity"), F.coalesce(F.element_at(tries, s["entity"]), F.lit(0)).alias("attempt")))
+
+
+def surrogates(found: Column, key: str, tries: Column) -> Column:
+    """The replacements of the mentions ``found``; ``tries``: a map from entity to attempt, 0 for those not in it."""
+    parts = lambda s, *names: [s[n].alias(n) for n in names]
+    hashes = F.transform(staged(found, tries), lambda s: F.struct(*parts(s, "e", "kind"), hashed(key, s["entity"], s["attempt"]).alias("h")))
+    digits = F.transform(hashes, lambda s: F.struct(*parts(s, "e", "kind", "h"), stream(s["h"]).alias("stream"), F.regexp_replace(s["e"], r"[^\d]", "").alias("digits"), F.regexp_replace(s["e"], FORM, "").alias("bare")))
+    return F.transform(digits, lambda s: replacement(s["e"], s["kind"], s["h"], s["stream"], s["digits"], s["bare"]))
+
+
+def replacement(e: Column, kind: Column, h: Column, digits: Column, own: Column, bare: Column) -> Column:
+    """The surrogate of the mention ``e``; own: its digits, bare: a name without its form of address, digits: the hash's."""
     # telephone: the country code stays, the first digit after it is 2 to 9
     country = F.length(F.regexp_replace(F.regexp_extract(e, r"^(\+\d{1,3})[ .(\-]", 1), r"\D", ""))
-    phone = laid_out(e, F.concat((number(h, 55, 8) + 2).cast("string"), stream(h)), country)
+    phone = laid_out(e, F.concat((number(h, 55, 8) + 2).cast("string"), digits), country)
     # card: the first digit stays; the last makes the number valid if it was
-    some = F.concat(F.left(all_digits, F.lit(1)), F.substring(stream(h), F.lit(1), F.length(all_digits) - 2))
+    some = F.concat(F.left(own, F.lit(1)), F.substring(digits, F.lit(1), F.length(own) - 2))
     check = (10 - luhn(F.concat(some, F.lit("0"))) % 10) % 10
-    last = F.when(luhn(all_digits) % 10 == 0, check).otherwise(number(h, 55, 10).cast("int")).cast("string")
-    card = laid_out(e, F.concat(F.substring(some, F.lit(2), F.length(all_digits)), last), F.lit(1))
+    last = F.when(luhn(own) % 10 == 0, check).otherwise(number(h, 55, 10).cast("int")).cast("string")
+    card = laid_out(e, F.concat(F.substring(some, F.lit(2), F.length(own)), last), F.lit(1))
     ip = F.concat_ws(".", *[(number(h, 1 + 9 * k, 223 if k == 0 else 254) + 1).cast("string") for k in range(4)])
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     email = F.concat(shaped(local, h), F.lit("@"), shaped(F.lower(F.substring_index(domain, ".", 1)), F.reverse(h)), F.lit(".example.net"))
-    form = F.regexp_extract(e, rf"^((?:{FORMS})\.?) ", 1)
-    cyrillic = F.regexp_replace(e, rf"^(?:{FORMS})\.? ", "").rlike(r"\p{IsCyrillic}")
-    gender = F.when(F.regexp_replace(form, r"\.$", "").isin(*MALE_FORMS), F.lit(0)).when(F.regexp_replace(form, r"\.$", "").isin(*FEMALE_FORMS), F.lit(1)).otherwise(number(h, 46, 2))
-    first = F.when(cyrillic, F.when(gender == 0, picked(MALE_CYRILLIC, h, 1)).otherwise(picked(FEMALE_CYRILLIC, h, 1))).otherwise(F.when(gender == 0, picked(MALE, h, 1)).otherwise(picked(FEMALE, h, 1)))
-    latin, russian = [F.initcap(F.concat(*[picked(s, h, 10 + 9 * k) for k in range(4)])) for s in (SYLLABLES, SYLLABLES_CYRILLIC)]
+    form = F.regexp_extract(e, FORM, 1)
+    plain = F.regexp_replace(form, r"\.$", "")
+    gender = F.when(plain.isin(*MALE_FORMS), F.lit(0)).when(plain.isin(*FEMALE_FORMS), F.lit(1)).otherwise(number(h, 46, 2).cast("int"))
+    cyrillic = bare.rlike(r"\p{IsCyrillic}")
+    names = F.array(*[F.array(*[F.lit(x) for x in n]) for n in (MALE, FEMALE, MALE_CYRILLIC, FEMALE_CYRILLIC)])
+    of = F.element_at(names, gender + F.when(cyrillic, 3).otherwise(1))
+    first = F.element_at(of, (F.conv(F.substring(h, 1, 9), 16, 10).cast("long") % F.size(of) + 1).cast("int"))
+    latin, russian = [F.initcap(F.concat(*[picked(x, h, 10 + 9 * k) for k in range(4)])) for x in (SYLLABLES, SYLLABLES_CYRILLIC)]
     family = F.when(cyrillic, F.concat(russian, F.when(gender == 1, F.lit("ова")).otherwise(F.lit("ов")))).otherwise(latin)
-    two = F.regexp_replace(e, rf"^(?:{FORMS})\.? ", "").contains(" ")
-    name = F.concat(form, F.lit(" "), F.when(two, F.concat(first, F.lit(" "), family)).otherwise(family))
-    ssn = laid_out(e, F.concat((number(h, 55, 8) + 1).cast("string"), stream(h)), F.lit(0))
+    name = F.concat(form, F.lit(" "), F.when(bare.contains(" "), F.concat(first, F.lit(" "))).otherwise(F.lit("")), family)
+    ssn = laid_out(e, F.concat((number(h, 55, 8) + 1).cast("string"), digits), F.lit(0))
     return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "ssn", ssn).otherwise(name)
 
 
@@ -148,8 +158,9 @@ def mentions(text: Column) -> Column:
 
 def entities(docs: DataFrame) -> DataFrame:
     """entity (kind:canonical form) and one mention of each distinct entity of ``docs`` (text)."""
-    found = docs.select(F.explode(mentions(F.col("text").cast("string"))).alias("mention"))
-    return found.groupBy(entity_key(F.col("mention")).alias("entity")).agg(F.min("mention").alias("mention"))
+    none = F.create_map().cast("map<string,int>")
+    found = docs.select(F.explode(staged(mentions(F.col("text").cast("string")), none)).alias("m")).select("m.entity", F.col("m.e").alias("mention"))
+    return found.groupBy("entity").agg(F.min("mention").alias("mention"))
 
 
 def attempts(known: DataFrame, key: str) -> DataFrame:
@@ -159,7 +170,9 @@ def attempts(known: DataFrame, key: str) -> DataFrame:
     """
     now = known.select("entity", "mention", F.lit(0).alias("attempt"))
     while True:
-        made = cut(now.withColumn("made", entity_key(surrogate(F.col("mention"), key, F.col("attempt")))), "surrogates")
+        tries = F.create_map("entity", "attempt")
+        new = now.withColumn("new", surrogates(F.array("mention"), key, tries))
+        made = cut(new.select("entity", "mention", "attempt", staged(F.col("new"), tries)[0]["entity"].alias("made")), "surrogates")
         shared = made.groupBy("made").agg(F.count("*").alias("c"), F.min("entity").alias("keeps")).filter("c > 1").drop("c")
         real = known.select(F.col("entity").alias("made"), F.lit(True).alias("real"))
         bad = made.join(shared, "made", "left").join(real, "made", "left").filter((F.col("entity") != F.col("keeps")) | F.col("real"))
@@ -172,8 +185,7 @@ def attempts(known: DataFrame, key: str) -> DataFrame:
 def rewritten(text: Column, key: str, tries: Column) -> Column:
     """``text`` with its mentions replaced; ``tries``: a map from entity to attempt, of those whose attempt is not 0."""
     gaps, found = F.split(text, ENTITY), F.regexp_extract_all(text, F.lit(ENTITY), 0)
-    new = F.transform(found, lambda e: surrogate(e, key, F.coalesce(F.element_at(tries, entity_key(e)), F.lit(0))))
-    return F.array_join(F.zip_with(gaps, new, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+    return F.array_join(F.zip_with(gaps, surrogates(found, key, tries), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
 
 
 def surrogated(docs: DataFrame, key: str = "surrogates-1", replaced: str | None = "n_replaced") -> DataFrame:
@@ -185,8 +197,6 @@ def surrogated(docs: DataFrame, key: str = "surrogates-1", replaced: str | None
     other = attempts(known, key)
     none = F.create_map().cast("map<string,int>")
     text, has = docs["text"].cast("string"), F.col("text").cast("string").rlike(MAY)
-    n = F.coalesce(F.size(mentions(text)), F.lit(0)) if replaced else None
-    kept = [docs[c] for c in docs.columns if c != "text"]
     order = [*docs.columns, *([replaced] if replaced else [])]
 
     def out(df: DataFrame, tries: Column) -> DataFrame:
@@ -198,7 +208,7 @@ def surrogated(docs: DataFrame, key: str = "surrogates-1", replaced: str | None
     if not other.limit(1).count():
         return out(docs, none)
     # the few texts that hold such an entity get their own map, by the text's hash
-    own = docs.select(F.sha2(text, 256).alias("__print"), F.explode(mentions(text)).alias("m")).select("__print", entity_key(F.col("m")).alias("entity")).distinct()
+    own = docs.select(F.sha2(text, 256).alias("__print"), F.explode(staged(mentions(text), none)).alias("m")).select("__print", "m.entity").distinct()
     maps = cut(own.join(other, "entity").groupBy("__print").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("__tries")), "attempt-maps")
     if maps.count() <= 10_000:
         maps = F.broadcast(maps)
