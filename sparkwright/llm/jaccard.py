@@ -81,35 +81,45 @@ def by_bucket(sorted_hashes: np.ndarray, bits: int):
     return [(k, int(edges[k]), int(edges[k + 1])) for k in np.flatnonzero(np.diff(edges)).tolist()]
 
 
-def profile(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """Rows of two kinds: (doc_id, n, node) of each document, and (bucket, blob) of shingle frequencies in a task."""
+def own_sets(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, print, n, node (null without shingles) of each document."""
+
+    def run(batches):
+        for b in batches:
+            ns, nodes = [], []
+            for s in shingle_sets(binary(b.column(2)), k):
+                ns.append(len(s))
+                nodes.append(node_of(s) if len(s) else None)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "print": b.column(1), "n": pa.array(ns, pa.int64()), "node": pa.array(nodes, pa.int64())})
+
+    return docs.mapInArrow(run, "doc_id long, print long, n long, node long")
+
+
+def frequencies(docs: DataFrame, k: int, bits: int) -> DataFrame:
+    """(bucket, blob): how many of a task's distinct sets hold each shingle."""
 
     def run(batches):
         held, size, seen = [], 0, set()
 
-        def frequencies():
+        def flush():
             v, c = np.unique(np.concatenate(held) >> U(24) << U(24), return_counts=True)
             rows = [(b, pack(np.diff(v[i:j] >> U(24), prepend=U(0)), np.minimum(c[i:j], 65535).astype("<u2"))) for b, i, j in by_bucket(v, bits)]
-            return pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(rows), pa.int64()), "n": pa.nulls(len(rows), pa.int64()), "node": pa.nulls(len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
         for b in batches:
-            ns, nodes = [], []
-            for s in shingle_sets(binary(b.column(1)), k):
+            for s in shingle_sets(binary(b.column(0)), k):
                 node = node_of(s)
-                ns.append(len(s))
-                nodes.append(node if len(s) else None)
                 if len(s) and node not in seen:
                     seen.add(node)
                     held.append(s)
                     size += len(s)
                     if size >= FLUSH:
-                        yield frequencies()
+                        yield flush()
                         held, size = [], 0
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n": pa.array(ns, pa.int64()), "node": pa.array(nodes, pa.int64()), "bucket": pa.nulls(len(ns), pa.int32()), "blob": pa.nulls(len(ns), pa.binary())})
         if held:
-            yield frequencies()
+            yield flush()
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, bucket int, blob binary")
+    return docs.select("text").mapInArrow(run, "bucket int, blob binary")
 
 
 def heavy_shingles(blobs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +136,7 @@ def heavy_shingles(blobs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         level = np.minimum(255, np.log2(total[often]) * 4).astype(np.uint8)
         return pd.DataFrame({"levels": [np.bincount(level, minlength=256).tolist()], "blob": [pack(v[first][often], level)]})
 
-    counted = cut(blobs.select("bucket", "blob").groupBy("bucket").applyInPandas(count, "levels array<long>, blob binary"), "frequencies")
+    counted = cut(blobs.groupBy("bucket").applyInPandas(count, "levels array<long>, blob binary"), "frequencies")
     sums = [x for x in counted.agg(*[F.sum(F.col("levels")[i]).alias(f"l{i}") for i in range(256)]).first()]
     least, total = 256, 0
     while least > 0 and total + (sums[least - 1] or 0) <= HEAVY:
@@ -398,20 +408,13 @@ def join_regions(members: DataFrame) -> DataFrame:
         large = cut(parts.join(rest, "region", "left_semi").select("region", "node", "n", "shingles"), "large-regions")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of each row of ``docs`` (doc_id, text).
-
-    Words are split by ASCII white space, A-Z lower-cased. A null text, or one without words, has no shingles and links
-    with nothing: its component_id is its own doc_id. Exact copies are one set, whichever rows hold it; a null doc_id
-    is the smallest of none, unless all of its component are null. An empty table gives no rows.
-    """
+def grouped(docs: DataFrame, k: int = 5) -> DataFrame:
+    """doc_id, print (of the text), n, root (null without shingles) of each row of ``docs`` (doc_id long, print long, text)."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = max(6, (8 * input_partitions(spark) - 1).bit_length())
-    both = cut(profile(docs, k, bits), "sets")
-    own = both.filter("bucket is null").select("doc_id", "n", "node")
-    heavy = spark.sparkContext.broadcast(heavy_shingles(both.filter("bucket is not null")))
+    own = cut(own_sets(docs, k), "sets")
+    heavy = spark.sparkContext.broadcast(heavy_shingles(frequencies(docs, k, bits)))
     close = cut(root_regions(docs, k, bits, heavy).groupBy("bucket").applyInPandas(chains, "a long, b long").distinct(), "chains")
     links = None
     if close.limit(1).count():
@@ -423,6 +426,40 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
         rooted = own.withColumn("root", F.col("node"))
     else:
         rooted = own.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.select("doc_id", "print", "n", "root")
+
+
+def printed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of each row of ``docs`` (doc_id, text).
+
+    Words are split by ASCII white space, A-Z lower-cased. A null text, or one without words, has no shingles and links
+    with nothing: its component_id is its own doc_id. Exact copies are one set, whichever rows hold it; a null doc_id
+    is the smallest of none, unless all of its component are null. An empty table gives no rows.
+    """
+    rooted = grouped(printed(docs), k)
+    least = cut(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     joined = rooted.join(least, "root", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest doc_id (nulls last; then by the text's hash).
+
+    Rows without shingles stay. Of rows that repeat both doc_id and text one stays, unless it has no shingles.
+    """
+    rooted = cut(grouped(printed(docs), k), "groups")
+    first = rooted.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")).alias("f")).select("f.doc_id", "f.print")
+    keep = first.union(rooted.filter("root is null").select("doc_id", "print")).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct()
+    marked = docs.withColumn("__of", F.xxhash64(F.col("text").cast("string")))
+    kept = marked.join(keep, marked["doc_id"].cast("long").eqNullSafe(keep["__id"]) & (marked["__of"] == keep["__print"]), "left_semi")
+    repeated = rooted.filter("root is not null").groupBy("doc_id", "print").agg(F.count("*").alias("c")).filter("c > 1")
+    if repeated.limit(1).count():
+        twice = repeated.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"))
+        same = kept["doc_id"].cast("long").eqNullSafe(twice["__id"]) & (kept["__of"] == twice["__print"])
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__of"]))
+    return kept.select(*docs.columns)
