@@ -4,12 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from sparkwright.llm.common import cut, read
+from sparkwright.llm.decontaminate import decontaminated
+from sparkwright.llm.jaccard import one_of_each
+from sparkwright.llm.language_id import recognised
+from sparkwright.llm.mixing import mixed
+from sparkwright.llm.queries import tokenizer_path
+from sparkwright.llm.token_planes import token_planes
+
+#: A text of whose n-grams less than this share is known in the language that fits best is in none of them.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return recognised(docs, LEAST_SCORE)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document in the token files, in their order."""
+    return token_planes(docs, tokenizer_path()).drop("shard")
+
+
+STAGES = [("language_id", language), ("jaccard_join", near_duplicates), ("decontamination", decontamination), ("mixing", mixture), ("token_planes", tokens)]
+#: The last stage's rows come from a tokenizer, so no SQL gives them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
