@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkwright.plans import bundle, domain, traces, traces_sql
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly events per type, completed to a gap-free grid."""
-    from pyspark.sql import functions as F
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def trace_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.ALL[name](bundle.stand_in(spark, sf_dir))
 
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly panel, baseline of the first days, scores, runs of peaks."""
+    return domain.panel_scores(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: partial(trace_query, name) for name in traces.ALL} | domain.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: traces_sql.sql(name) for name in traces.ALL} | domain.SQL
