@@ -41,7 +41,7 @@ def next_after(left: DataFrame, right: DataFrame, keys: list[str], at: str, star
 
 def nearest(left: DataFrame, right: DataFrame, x: str, y: str, column: str) -> DataFrame:
     """``left`` (few rows) with the value of ``column`` of the row of ``right`` nearest in y, smaller values first."""
-    pairs = right.crossJoin(F.broadcast(left))
+    pairs = right.select(column, y).crossJoin(F.broadcast(left))
     best = F.min_by(F.struct(F.col(column), F.col(y)), F.struct(F.abs(F.col(x) - F.col(y)), F.col(column)))
     return pairs.groupBy(*left.columns).agg(best.alias("__b")).select(*left.columns, F.col("__b")[column].alias(f"nearest_{column}"), F.abs(F.col(x) - F.col("__b")[y]).alias("distance"))
 

@@ -101,7 +101,7 @@ def route_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     e = M.economics(lines, ["from", "to"], ["l_quantity", "l_extendedprice"]).filter("trips >= 30")
     mu, sigma = M.lognormal(F.col("mean_l_extendedprice"), F.col("square_l_extendedprice"))
-    return e.select(F.concat_ws(" -> ", "from", "to").alias("route"), "trips", r6(F.col("mean_l_quantity")).alias("mean_quantity"), F.round("mean_l_extendedprice", 1).alias("mean_price"), r6(mu).alias("mu"), r6(sigma).alias("sigma"))
+    return e.select(F.concat_ws(" -> ", "from", "to").alias("route"), "trips", r6(F.col("mean_l_quantity")).alias("mean_quantity"), F.round(F.col("mean_l_extendedprice") * F.col("trips"), 2).alias("total_price"), r6(mu).alias("mu"), r6(sigma).alias("sigma"))
 
 
 def session_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +250,7 @@ SQL: dict[str, str] = {
     "residual_walk": "WITH " + EXCESS + f""", ed AS (SELECT key, quantile_cont(excess, 0.02) AS low, quantile_cont(excess, 0.98) AS high FROM ex GROUP BY 1), cl AS (SELECT key, hour, low, high, least(greatest(excess, low), high) AS x FROM ex JOIN ed USING (key)),
       ly AS (SELECT *, lag(x) OVER (PARTITION BY key ORDER BY hour) AS y FROM cl) SELECT key, round(stddev_pop(x), 6) AS std, round(min(low), 6) AS low, round(max(high), 6) AS high, round(CASE WHEN stddev_pop(x) > 0 THEN (avg(x * y) - avg(x) * avg(y)) / (stddev_pop(x) * stddev_pop(y)) END, 6) AS phi FROM ly GROUP BY 1""",
     "route_economics": """WITH e AS (SELECT a.n_name || ' -> ' || b.n_name AS route, count(*) AS trips, avg(l_quantity) AS mq, avg(l_extendedprice) AS m, avg(l_extendedprice * l_extendedprice) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey GROUP BY 1 HAVING count(*) >= 30)
-      SELECT route, trips, round(mq, 6) AS mean_quantity, round(m, 1) AS mean_price, round(ln(m) - ln(s / (m * m)) / 2, 6) AS mu, round(sqrt(ln(s / (m * m))), 6) AS sigma FROM e""",
+      SELECT route, trips, round(mq, 6) AS mean_quantity, round(m * trips, 2) AS total_price, round(ln(m) - ln(s / (m * m)) / 2, 6) AS mu, round(sqrt(ln(s / (m * m))), 6) AS sigma FROM e""",
     "session_runs": """WITH e AS (SELECT user_id, event_id, value, ts, epoch_us(ts) AS us FROM events), g AS (SELECT *, us - lag(us) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM e), v AS (SELECT *, CAST(sum(CASE WHEN gap > 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS visit FROM g)
       SELECT user_id, visit, count(*) AS n, min(us) AS first_us, (max(us) - min(us)) / 1e6 AS seconds, round(sum(value), 4) AS value FROM v GROUP BY 1, 2""",
     "band_pairs": """SELECT a.user_id, a.event_id AS error_id, b.event_id AS purchase_id, abs(epoch_us(a.ts) - epoch_us(b.ts)) / 1e6 AS seconds FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 43200000000""",
