@@ -110,3 +110,7 @@ def long_counts(text: str) -> str:
 def sql(name: str) -> str:
     more, body = BODY[name] if isinstance(BODY[name], tuple) else ("", BODY[name])
     return long_counts("WITH " + STAND_IN_SQL + (",\n" + more if more else "") + "\n" + body)
+
+
+def over_bundle(body: str) -> str:
+    return long_counts("WITH " + STAND_IN_SQL + "\n" + body)

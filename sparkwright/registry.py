@@ -7,13 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.plans import bundle, domain, traces, traces_sql
+from sparkwright.plans import annotations, bundle, domain, traces, traces_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def trace_query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traces.ALL[name](bundle.stand_in(spark, sf_dir))
+    return (traces.ALL | annotations.ALL)[name](bundle.stand_in(spark, sf_dir))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: partial(trace_query, name) for name in traces.ALL} | domain.QUERIES
+    return {name: partial(trace_query, name) for name in traces.ALL | annotations.ALL} | domain.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: traces_sql.sql(name) for name in traces.ALL} | domain.SQL
+    return {name: traces_sql.sql(name) for name in traces.ALL} | {name: traces_sql.over_bundle(text) for name, text in annotations.SQL.items()} | domain.SQL
