@@ -13,7 +13,7 @@ from sparkwright.llm.queries import tokenizer_path
 from sparkwright.llm.token_planes import token_planes
 
 #: A text of whose n-grams less than this share is known in the language that fits best is in none of them.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

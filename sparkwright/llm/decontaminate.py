@@ -7,8 +7,8 @@ the hit's diagonal, and the longest stretch is taken of which at least ``agree``
 contaminated by an item if that stretch has at least ``least`` words, or covers an item that is shorter. Items with fewer
 words than a mask spans are found as a whole, without substitutions.
 
-A bitmap of fixed size (2 MB) of the items' hashes goes to the documents' tasks; only windows that pass it, with the
-words around them, are shuffled. Items with equal words are searched for once.
+A bitmap of fixed size (2 MB), in which each of the items' hashes sets two places, goes to the documents' tasks; only
+windows whose two places are set, with the words around them, are shuffled. Items with equal words are searched for once.
 """
 
 from __future__ import annotations
@@ -82,8 +82,10 @@ def passages(docs: DataFrame, bits, lengths: list[int], longest: int, keep: list
             for first, bounds, h in word_blocks(texts, ALNUM):
                 found = []
                 for _, s in seeds(h, lengths):
-                    p = (s & U((1 << BITS) - 1)).astype(np.int64)
-                    at = np.flatnonzero(on[p >> 3] >> (p & 7) & 1)
+                    at = np.arange(len(s))
+                    for shift in (0, BITS):
+                        p = (s[at] >> U(shift) & U((1 << BITS) - 1)).astype(np.int64)
+                        at = at[on[p >> 3] >> (p & 7) & 1 > 0]
                     found.append(np.stack([at, s[at].astype(np.int64)], axis=1))
                 hits = np.concatenate(found)
                 hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
@@ -132,7 +134,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
     spread = items.agg(F.max("n")).first()[0] or 0
     lengths = [r["n"] for r in items.filter(F.col("n") < SPAN).select("n").distinct().collect()]  # below SPAN different ones
     targets = cut(item_seeds(items), "item-seeds")
-    bits = spark.sparkContext.broadcast(bitmap(targets.select("hash"), BITS))
+    places = targets.select("hash").union(targets.select(F.shiftright("hash", BITS)))
+    bits = spark.sparkContext.broadcast(bitmap(places, BITS))
     found = cut(passages(docs, bits, lengths, max(int(spread), SPAN), keep), "passages")
     hits = found.select("pid", F.explode("hits").alias("h")).select("pid", "h.hash", F.col("h.at").alias("place")).distinct()
     diagonals = hits.join(targets, "hash").select("pid", "key", (F.col("place") - F.col("at")).alias("shift")).distinct()

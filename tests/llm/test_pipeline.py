@@ -26,7 +26,7 @@ def test_one_document_of_each_group_stays(spark):
 
 def test_texts_of_no_language_go_and_others_stay(spark):
     rows = [r for s in range(6) for r in documents(s)]
-    rows = [(None if r[0] is None else r[0] + 1000 * (k // 90), *r[1:]) for k, r in enumerate(rows)] + [(10**6, "qwrtzp " * 200, "en", "s"), (10**6 + 1, "$$$ 12", "en", "s")]
+    rows = [(None if r[0] is None else r[0] + 1000 * (k // 90), *r[1:]) for k, r in enumerate(rows)] + [(10**6, "qwrtzp " * 200, None, "s"), (10**6 + 1, "$$$ 12", "en", "s")]
     got = recognised(frame(spark, rows), 0.5)
     assert got.columns == frame(spark, rows).columns
     ids = {r["doc_id"] for r in got.collect()}
