@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import small_batches
+from sparkwright.llm.common import cut, small_batches
 from sparkwright.llm.shingles import PLACE, U, mix
 
 GRAM, SHARE, PROBES, BLOCK = 4, 1e-5, 2, 1 << 19
@@ -178,8 +178,6 @@ def learn(labelled: DataFrame, share: float = SHARE) -> Filter:
     known = labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     counted = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # n-grams below the share are dropped by their language's total, so at most 1 / share of a language reach the driver
-    from sparkwright.llm.common import cut
-
     counted = cut(counted, "grams")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     langs = sorted(r["lang"] for r in totals.select("lang").collect())
