@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sparkwright.llm.common import cut
 
 SAMPLE, PROBE, EPSILON, COLUMNS = 20_000, 0.65, 2.1, 16
-SLICE, QUERIES = 4096, 512
+SLICE, QUERIES = 4096, 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -59,25 +59,42 @@ def extended(x: np.ndarray, norm2: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0, norm2 - (x**2).sum(axis=1)))[:, None]])
 
 
-def scan(x: np.ndarray, q: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON) -> np.ndarray:
-    """Numbers of the rows of ``x`` that may be among the k nearest to ``q``; both rotated. A superset of the k found."""
-    d, alive = x.shape[1], []
-    bound, best = np.inf, np.zeros(0)
+def scan(x: np.ndarray, q: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) numbers of the rows of ``x`` that may be among the k nearest to each of ``q``; both rotated.
+
+    Rows come in chunks, and for all queries together a chunk's columns in blocks; after each block the test abandons
+    candidates. While most are alive a block is one matrix product, afterwards only the survivors are computed.
+    """
+    d, best, found = x.shape[1], np.full((len(q), k), np.inf), []
+    blocks = [(a, min(d, a + columns)) for a in range(0, d, columns)]
     for i in [0, *range(256, len(x), 1024)]:
-        rows = np.arange(i, min(len(x), i + 1024 if i else 256))
-        part, seen = np.zeros(len(rows)), 0
-        while seen < d and len(rows):
-            to = min(d, seen + columns)
-            part = part + ((x[rows, seen:to] - q[seen:to]) ** 2).sum(axis=1)
-            seen = to
-            limit = bound * (1 + epsilon / math.sqrt(seen)) ** 2 if seen < d else bound
-            on = part * (d / seen) <= limit * (1 + 1e-9)
-            rows, part = rows[on], part[on]
-        alive.append(rows)
-        best = np.sort(np.concatenate([best, part]))[:k]
-        if len(best) == k:
-            bound = best[-1]
-    return np.concatenate(alive) if alive else np.zeros(0, int)
+        c = x[i : i + 1024 if i else 256]
+        bound, part, on = best[:, -1:], np.zeros((len(q), len(c))), None
+        rest = list(blocks)
+        while rest and (on is None or on.mean() > 0.25):
+            a, b = rest.pop(0)
+            part += (c[:, a:b] ** 2).sum(axis=1) + (q[:, a:b] ** 2).sum(axis=1)[:, None] - 2 * q[:, a:b] @ c[:, a:b].T
+            on = part * (d / b) <= limit(bound, b, d, epsilon)
+            part[~on] = np.inf
+        of, row = np.nonzero(on)
+        dist = part[of, row]
+        for a, b in rest:
+            dist = dist + ((c[row, a:b] - q[of, a:b]) ** 2).sum(axis=1)
+            keep = dist * (d / b) <= limit(bound[of, 0], b, d, epsilon)
+            of, row, dist = of[keep], row[keep], dist[keep]
+        part[:] = np.inf
+        part[of, row] = dist
+        best = np.sort(np.concatenate([best, np.partition(part, min(k, part.shape[1]) - 1, axis=1)[:, :k]], axis=1), axis=1)[:, :k]
+        near = dist <= best[of, -1] * (1 + 1e-9)
+        found.append((of[near], row[near] + i, dist[near]))
+    of, row, dist = (np.concatenate(f) for f in zip(*found, strict=True))
+    near = dist <= best[of, -1] * (1 + 1e-9)
+    return of[near], row[near]
+
+
+def limit(bound, seen: int, d: int, epsilon: float):
+    """What a scaled partial distance over ``seen`` of ``d`` columns may be, given the k-th best distance so far."""
+    return bound * (1 + epsilon / math.sqrt(seen)) ** 2 + 1e-9 if seen < d else bound * (1 + 1e-9) + 1e-12
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PROBE, sample: int = SAMPLE, lists: int | None = None) -> DataFrame:
@@ -132,16 +149,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
             got = {"query_key": [], "key": [], "least": [], "score": []}
             if len(xs) and len(qs):
                 x, q = np.array(xs["v"].tolist()), np.array(qs["v"].tolist())
-                key, least = xs["key"].to_numpy(), xs["least"].to_numpy()
-                rx, rq = extended(x, norm2) @ turn, np.hstack([q, np.zeros((len(q), 1))]) @ turn
-                for i, name in enumerate(qs["query_key"].tolist()):
-                    rows = scan(rx, rq[i], k + 1)
-                    score = (x[rows] * q[i]).sum(axis=1)
-                    top = np.lexsort((least[rows], -score))[: k + 1]
-                    got["query_key"] += [name] * len(top)
-                    got["key"] += key[rows[top]].tolist()
-                    got["least"] += least[rows[top]].tolist()
-                    got["score"] += score[top].tolist()
+                least = xs["least"].to_numpy()
+                of, row = scan(extended(x, norm2) @ turn, np.hstack([q, np.zeros((len(q), 1))]) @ turn, k + 1)
+                score = (x[row] * q[of]).sum(axis=1)
+                order = np.lexsort((least[row], -score, of))
+                of, row, score = of[order], row[order], score[order]
+                top = np.arange(len(of)) - np.searchsorted(of, of) <= k
+                got = {"query_key": qs["query_key"].to_numpy()[of[top]], "key": xs["key"].to_numpy()[row[top]], "least": least[row[top]], "score": score[top]}
             return pd.DataFrame(got)
 
         found = left.groupBy("list", "slice", "group").cogroup(right.groupBy("list", "slice", "group")).applyInPandas(search, out)

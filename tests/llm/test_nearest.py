@@ -45,12 +45,13 @@ def test_few_rows_and_none(spark):
 
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(1)
-    turn, x = rotation(48), rng.standard_normal((3000, 48))
-    kept = lost = 0
-    for _ in range(20):
-        q = rng.standard_normal(48)
-        rows = scan(x @ turn, q @ turn, 20)
-        true = np.argsort(((x - q) ** 2).sum(axis=1))[:20]
-        kept += len(rows)
-        lost += len(set(true.tolist()) - set(rows.tolist()))
-    assert lost <= 8 and kept < 20 * 2000
+    turn, x, q = rotation(48), rng.standard_normal((3000, 48)), rng.standard_normal((20, 48))
+    x[:40] += 3 * q[0]  # for some queries the test leaves few alive
+    of, row = scan(x @ turn, q @ turn, 20)
+    lost = 0
+    for i in range(20):
+        true = np.argsort(((x - q[i]) ** 2).sum(axis=1))[:20]
+        lost += len(set(true.tolist()) - set(row[of == i].tolist()))
+    assert lost <= 8 and len(row) < 20 * 60
+    few = scan(x[:5] @ turn, q @ turn, 20)
+    assert len(few[0]) == 100
