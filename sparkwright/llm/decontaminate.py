@@ -1,11 +1,14 @@
 """Benchmark decontamination: spaced-seed hashing.
 
-Words are runs of letters and digits, lower-cased. A fixed mask over ``SPAN`` neighbouring words keeps the words at its
-ones and ignores those at its zeros, so a window's hash survives substitutions there. Hashes of all windows of the
+Words are runs of letters and digits, lower-cased. A fixed mask over neighbouring words keeps the words at its ones and
+ignores those at its zeros, so a window's hash survives substitutions there. Hashes of all windows of the
 test items are joined with those of the documents; around each hit the words of item and passage are compared along
 the hit's diagonal, and the longest stretch is taken of which at least ``agree`` fifths are equal words. A document is
 contaminated by an item if that stretch has at least ``least`` words, or covers an item that is shorter. Items with fewer
-words than a mask spans are found as a whole, without substitutions.
+words than ``SPAN`` are found as a whole, without substitutions.
+
+The masks miss no such stretch: some window of some mask is free of substitutions, whichever fifth of the words they are
+(enumerated for 12 to 25 words in the tests; of a longer stretch one half has 13 words or more and four fifths equal).
 
 A bitmap of fixed size (2 MB), in which each of the items' hashes sets two places, goes to the documents' tasks; only
 windows whose two places are set, with the words around them, are shuffled. Items with equal words are searched for once.
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from sparkwright.llm.common import bitmap, cut, small_batches
 from sparkwright.llm.shingles import ALNUM, U, mix, windows, word_blocks
 
-MASKS = ("111010110101", "110110011011", "101101100111", "111001101101")
+MASKS = ("1111011", "110000010111", "1110001011", "1110111")
 SPAN, BITS = 12, 24
 LEAST, AGREE = 13, 4
 
@@ -34,9 +37,9 @@ def kept(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
-def seeds(h: np.ndarray, lengths: list[int]) -> list[tuple[int, np.ndarray]]:
+def seeds(h: np.ndarray, lengths: list[int], masks: tuple[str, ...] = MASKS) -> list[tuple[int, np.ndarray]]:
     """(kind, hashes by position): one for each mask, and one for each length of short items."""
-    out = [(m, mix(windows(h, SPAN, kept(mask)) + U(m + 1))) for m, mask in enumerate(MASKS)]
+    out = [(m, mix(windows(h, len(mask), kept(mask)) + U(m + 1))) for m, mask in enumerate(masks)]
     return out + [(100 + n, mix(windows(h, n) + U(100 + n))) for n in lengths]
 
 
@@ -65,7 +68,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
         for f in frames:
             for key, data in zip(f["key"], f["words"], strict=True):
                 h = np.frombuffer(data, np.uint64)
-                for _, s in seeds(h, [len(h)] if len(h) < SPAN else []):
+                for _, s in seeds(h, [len(h)], ()) if len(h) < SPAN else seeds(h, []):
                     if len(s):
                         yield pd.DataFrame({"key": key, "hash": s.astype(np.int64), "at": np.arange(len(s))})
 

@@ -1,8 +1,9 @@
 import random
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from sparkwright.llm.decontaminate import contaminations, decontaminated, longest_stretch
+from sparkwright.llm.decontaminate import MASKS, contaminations, decontaminated, kept, longest_stretch
 
 from .helpers import documents, empty, frame
 
@@ -20,6 +21,21 @@ def test_longest_stretch_is_the_longest():
         assert z - a == best and 5 * sum(e[a:z]) >= 4 * (z - a)
 
 
+def test_masks_miss_no_accepted_pattern():
+    for n in range(12, 26):
+        spots = [sum(1 << at + i for i in kept(m)) for m in MASKS for at in range(n - len(m) + 1)]
+        for k in range(n // 5 + 1):
+            assert all(any(not s & changed for s in spots) for changed in (sum(1 << i for i in c) for c in combinations(range(n), k))), (n, k)
+
+
+def test_short_items_with_any_two_words_changed(spark):
+    for n in (12, 13):
+        w = [f"w{n}x{i}" for i in range(n)]
+        docs = [(k, " ".join([f"before{k}"] + ["new" if i in c else x for i, x in enumerate(w)] + [f"after{k}"])) for k, c in enumerate(combinations(range(n), 2))]
+        got = contaminations(spark.createDataFrame(docs, "doc_id long, text string"), items(spark, [(1, " ".join(w))])).collect()
+        assert {r["doc_id"] for r in got} == set(range(len(docs)))
+
+
 def test_planted(spark):
     rng = random.Random(5)
     w = [[f"t{rng.randrange(5000)}" for _ in range(n)] for n in (40, 20, 8)]
