@@ -7,14 +7,19 @@ then laid out in the mention's own format. So one entity has one surrogate in al
 (coreference), and a surrogate keeps the type, the script, the gender that the form of address shows, the letters'
 case, the separators, and a card number's check digit where it has one.
 
-Collision check: all distinct entities are gathered once; where two share a surrogate, or a surrogate is an entity of
-the corpus, all but the smallest entity take another attempt, until none collide. Only those few entities need a
-table; the others' surrogates follow from the mention alone, so texts without them are rewritten where they lie.
+Some written forms show a trait (a name's gender, the length of a telephone number's country code), others do not: a
+mention without it takes the entity's, the smallest of all its mentions. A name under forms of both genders is two
+people, each with a first name of the own gender; the other mentions are of the first.
+
+Collision check: all distinct entities, in each of their traits, are gathered once; where two share a surrogate, or a
+surrogate is an entity of the corpus, all but the smallest entity take another attempt, until none collide. Only those
+entities and the ones whose mentions differ in their trait need a table; the others' surrogates follow from the mention
+alone, so texts without them are rewritten where they lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.llm.common import cut
@@ -57,6 +62,17 @@ def canonical(e: Column, kind: Column) -> Column:
     return F.when(kind == "email", F.lower(e)).when(kind == "ip", e).when(kind == "name", F.lower(F.regexp_replace(e, FORM, ""))).otherwise(digits)
 
 
+def trait(e: Column, kind: Column) -> Column:
+    """What the mention itself shows: a name's gender (0 male, 1 female), the digits of a number's country code; or null."""
+    plain = F.regexp_replace(F.regexp_extract(e, FORM, 1), r"\.$", "")
+    country = F.length(F.regexp_replace(F.regexp_extract(e, r"^(\+\d{1,3})[ .(\-]", 1), r"\D", ""))
+    return F.when(kind == "name", F.when(plain.isin(*MALE_FORMS), 0).when(plain.isin(*FEMALE_FORMS), 1)).when((kind == "phone") & (country > 0), country)
+
+
+def no_tries() -> Column:
+    return F.create_map().cast("map<string,struct<attempt:int,common:int>>")
+
+
 def hashed(key: str, entity: Column, attempt: Column) -> Column:
     return F.sha2(F.concat(F.lit(key), F.lit("|"), entity, F.lit("|"), attempt.cast("string")), 256)
 
@@ -111,25 +127,28 @@ def picked(names: tuple[str, ...], h: Column, at: int) -> Column:
 
 
 def staged(found: Column, tries: Column) -> Column:
-    """For each mention: e, kind, entity, attempt; step by step, so that each part is computed once."""
+    """For each mention: e, kind, entity, own (trait), attempt, common (trait); step by step, so that each part is computed once."""
     kinds = F.transform(found, lambda e: F.struct(e.alias("e"), kind_of(e).alias("kind")))
-    named = F.transform(kinds, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), F.concat(s["kind"], F.lit(":"), canonical(s["e"], s["kind"])).alias("entity")))
-    return F.transform(named, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), s["entity"].alias("entity"), F.coalesce(F.element_at(tries, s["entity"]), F.lit(0)).alias("attempt")))
+    named = F.transform(kinds, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), F.concat(s["kind"], F.lit(":"), canonical(s["e"], s["kind"])).alias("entity"), trait(s["e"], s["kind"]).alias("own")))
+    known = F.transform(named, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), s["entity"].alias("entity"), s["own"].alias("own"), F.element_at(tries, s["entity"]).alias("t")))
+    return F.transform(known, lambda s: F.struct(s["e"].alias("e"), s["kind"].alias("kind"), s["entity"].alias("entity"), s["own"].alias("own"), F.coalesce(s["t"]["attempt"], F.lit(0)).alias("attempt"), s["t"]["common"].alias("common")))
 
 
 def surrogates(found: Column, key: str, tries: Column) -> Column:
-    """The replacements of the mentions ``found``; ``tries``: a map from entity to attempt, 0 for those not in it."""
+    """The replacements of the mentions ``found``; ``tries``: a map from entity to attempt (0 for those not in it) and common trait."""
     parts = lambda s, *names: [s[n].alias(n) for n in names]
-    hashes = F.transform(staged(found, tries), lambda s: F.struct(*parts(s, "e", "kind"), hashed(key, s["entity"], s["attempt"]).alias("h")))
-    digits = F.transform(hashes, lambda s: F.struct(*parts(s, "e", "kind", "h"), stream(s["h"]).alias("stream"), F.regexp_replace(s["e"], r"[^\d]", "").alias("digits"), F.regexp_replace(s["e"], FORM, "").alias("bare")))
-    return F.transform(digits, lambda s: replacement(s["e"], s["kind"], s["h"], s["stream"], s["digits"], s["bare"]))
+    hashes = F.transform(staged(found, tries), lambda s: F.struct(*parts(s, "e", "kind", "own", "common"), hashed(key, s["entity"], s["attempt"]).alias("h")))
+    digits = F.transform(hashes, lambda s: F.struct(*parts(s, "e", "kind", "own", "common", "h"), stream(s["h"]).alias("stream"), F.regexp_replace(s["e"], r"[^\d]", "").alias("digits"), F.regexp_replace(s["e"], FORM, "").alias("bare")))
+    return F.transform(digits, lambda s: replacement(s["e"], s["kind"], s["h"], s["stream"], s["digits"], s["bare"], s["own"], s["common"]))
+
 
+def replacement(e: Column, kind: Column, h: Column, digits: Column, own: Column, bare: Column, shown: Column, common: Column) -> Column:
+    """The surrogate of the mention ``e``; own: its digits, bare: a name without its form of address, digits: the hash's.
 
-def replacement(e: Column, kind: Column, h: Column, digits: Column, own: Column, bare: Column) -> Column:
-    """The surrogate of the mention ``e``; own: its digits, bare: a name without its form of address, digits: the hash's."""
+    shown: the mention's trait, common: its entity's, given where mentions differ.
+    """
     # telephone: the country code stays, the first digit after it is 2 to 9
-    country = F.length(F.regexp_replace(F.regexp_extract(e, r"^(\+\d{1,3})[ .(\-]", 1), r"\D", ""))
-    phone = laid_out(e, F.concat((number(h, 55, 8) + 2).cast("string"), digits), country)
+    phone = laid_out(e, F.concat((number(h, 55, 8) + 2).cast("string"), digits), F.coalesce(common, shown, F.lit(0)))
     # card: the first digit stays; the last makes the number valid if it was
     some = F.concat(F.left(own, F.lit(1)), F.substring(digits, F.lit(1), F.length(own) - 2))
     check = (10 - luhn(F.concat(some, F.lit("0"))) % 10) % 10
@@ -139,8 +158,7 @@ def replacement(e: Column, kind: Column, h: Column, digits: Column, own: Column,
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     email = F.concat(shaped(local, h), F.lit("@"), shaped(F.lower(F.substring_index(domain, ".", 1)), F.reverse(h)), F.lit(".example.net"))
     form = F.regexp_extract(e, FORM, 1)
-    plain = F.regexp_replace(form, r"\.$", "")
-    gender = F.when(plain.isin(*MALE_FORMS), F.lit(0)).when(plain.isin(*FEMALE_FORMS), F.lit(1)).otherwise(number(h, 46, 2).cast("int"))
+    gender = F.coalesce(shown, common, number(h, 46, 2).cast("int"))
     cyrillic = bare.rlike(r"\p{IsCyrillic}")
     names = F.array(*[F.array(*[F.lit(x) for x in n]) for n in (MALE, FEMALE, MALE_CYRILLIC, FEMALE_CYRILLIC)])
     of = F.element_at(names, gender + F.when(cyrillic, 3).otherwise(1))
@@ -157,33 +175,34 @@ def mentions(text: Column) -> Column:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """entity (kind:canonical form) and one mention of each distinct entity of ``docs`` (text)."""
-    none = F.create_map().cast("map<string,int>")
-    found = docs.select(F.explode(staged(mentions(F.col("text").cast("string")), none)).alias("m")).select("m.entity", F.col("m.e").alias("mention"))
-    return found.groupBy("entity").agg(F.min("mention").alias("mention"))
+    """entity (kind:canonical form), own (trait), one mention with it, common (the entity's trait), several (traits) of ``docs`` (text)."""
+    found = docs.select(F.explode(staged(mentions(F.col("text").cast("string")), no_tries())).alias("m")).select("m.entity", "m.own", F.col("m.e").alias("mention"))
+    of = Window.partitionBy("entity")
+    return found.groupBy("entity", "own").agg(F.min("mention").alias("mention")).withColumns({"common": F.min("own").over(of), "several": F.count("*").over(of) > 1})
 
 
 def attempts(known: DataFrame, key: str) -> DataFrame:
-    """entity, attempt (1, 2 ...) of the entities of ``known`` (entity, mention) that need another than the first.
+    """entity, attempt, common of the entities of ``known`` whose surrogates do not follow from each mention alone.
 
-    Rounds go on while a surrogate is shared or is itself an entity; the smallest entity keeps a shared one.
+    That is, another attempt than the first is needed, or mentions differ in their trait. Rounds go on while a surrogate
+    is shared or is itself an entity; the smallest entity keeps a shared one.
     """
-    now = known.select("entity", "mention", F.lit(0).alias("attempt"))
+    now = known.select("entity", "mention", "common", "several", F.lit(0).alias("attempt"))
     while True:
-        tries = F.create_map("entity", "attempt")
+        tries = F.create_map("entity", F.struct("attempt", "common"))
         new = now.withColumn("new", surrogates(F.array("mention"), key, tries))
-        made = cut(new.select("entity", "mention", "attempt", staged(F.col("new"), tries)[0]["entity"].alias("made")), "surrogates")
-        shared = made.groupBy("made").agg(F.count("*").alias("c"), F.min("entity").alias("keeps")).filter("c > 1").drop("c")
-        real = known.select(F.col("entity").alias("made"), F.lit(True).alias("real"))
+        made = cut(new.select("entity", "mention", "common", "several", "attempt", staged(F.col("new"), tries)[0]["entity"].alias("made")), "surrogates")
+        shared = made.groupBy("made").agg(F.min("entity").alias("keeps"), F.max("entity").alias("last")).filter("keeps < last").drop("last")
+        real = known.select(F.col("entity").alias("made"), F.lit(True).alias("real")).distinct()
         bad = made.join(shared, "made", "left").join(real, "made", "left").filter((F.col("entity") != F.col("keeps")) | F.col("real"))
-        again = cut(bad.select("entity"), "collisions")
+        again = cut(bad.select("entity").distinct(), "collisions")
         if not again.limit(1).count():
-            return made.filter("attempt > 0").select("entity", "attempt")
-        now = made.join(again.withColumn("again", F.lit(1)), "entity", "left").select("entity", "mention", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
+            return made.filter("attempt > 0 or several").select("entity", "attempt", "common").distinct()
+        now = made.join(again.withColumn("again", F.lit(1)), "entity", "left").select("entity", "mention", "common", "several", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
 
 
 def rewritten(text: Column, key: str, tries: Column) -> Column:
-    """``text`` with its mentions replaced; ``tries``: a map from entity to attempt, of those whose attempt is not 0."""
+    """``text`` with its mentions replaced; ``tries``: a map from entity to attempt and common trait, of those that need it."""
     gaps, found = F.split(text, ENTITY), F.regexp_extract_all(text, F.lit(ENTITY), 0)
     return F.array_join(F.zip_with(gaps, surrogates(found, key, tries), lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
 
@@ -195,7 +214,7 @@ def surrogated(docs: DataFrame, key: str = "surrogates-1", replaced: str | None
     """
     known = cut(entities(docs), "entities")
     other = attempts(known, key)
-    none = F.create_map().cast("map<string,int>")
+    none = no_tries()
     text, has = docs["text"].cast("string"), F.col("text").cast("string").rlike(MAY)
     order = [*docs.columns, *([replaced] if replaced else [])]
 
@@ -209,7 +228,7 @@ def surrogated(docs: DataFrame, key: str = "surrogates-1", replaced: str | None
         return out(docs, none)
     # the few texts that hold such an entity get their own map, by the text's hash
     own = docs.select(F.sha2(text, 256).alias("__print"), F.explode(staged(mentions(text), none)).alias("m")).select("__print", "m.entity").distinct()
-    maps = cut(own.join(other, "entity").groupBy("__print").agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("__tries")), "attempt-maps")
+    maps = cut(own.join(other, "entity").groupBy("__print").agg(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("attempt", "common")))).alias("__tries")), "attempt-maps")
     if maps.count() <= 10_000:
         maps = F.broadcast(maps)
     joined = docs.withColumn("__print", F.sha2(F.col("text").cast("string"), 256)).join(maps, "__print", "left")

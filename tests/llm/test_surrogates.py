@@ -39,6 +39,29 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert "+1 (905) 555-0000" not in {x for m in made.values() for x in m}
 
 
+def test_one_surrogate_whatever_the_form_shows(spark):
+    people = [f"{f} {'Smith' if f < 'J' else 'Young'}" for f in ("Adam", "Bert", "Carl", "Dora", "Emil", "Frank", "Greg", "Hans", "Jack", "Karl", "Lars", "Mike")]
+    rows = [(2 * i + k, f"{form} {p} came.", "en", "s") for i, p in enumerate(people) for k, form in enumerate(("Mr.", "Dr."))]
+    rows += [(100, "г-жа Анна Ким.", "ru", "s"), (101, "Dr. Анна Ким. Prof. Анна Ким.", "ru", "s"), (102, "call +15551234567 now", "en", "s"), (103, "call +1 555 123 4567 now", "en", "s"), (104, "Ms. Adam Smith came.", "en", "s")]
+    got = {r["doc_id"]: r["text"] for r in s.surrogated(frame(spark, rows)).collect()}
+    bare = {i: re.sub(r"^\S+ ", "", t) for i, t in got.items()}
+    for i in range(len(people)):
+        assert bare[2 * i] == bare[2 * i + 1] and bare[2 * i].split()[0] in s.MALE
+    assert len({bare[2 * i] for i in range(len(people))}) == len(people)
+    assert bare[101] == f"{bare[100]} Prof. {bare[100]}" and bare[100].split()[0] in s.FEMALE_CYRILLIC
+    assert re.sub(r"\D", "", got[102]) == re.sub(r"\D", "", got[103]) and got[103].startswith("call +1 ") and "5551234567" not in got[102]
+    assert bare[104].split()[0] in s.FEMALE
+
+
+def test_each_trait_is_checked_for_collisions(spark, monkeypatch):
+    few = lambda e, kind, h, *_: F.when(e.startswith("Ms."), F.concat(F.lit("Ms. Q"), F.translate(F.lpad(s.number(h, 1, 90).cast("string"), 2, "0"), "0123456789", "abcdefghij"))).otherwise(F.concat(F.lit("Mr. W"), F.translate(F.substring(h, 1, 12), "0123456789", "ghijklmnop")))
+    monkeypatch.setattr(s, "replacement", few)
+    names = [f"B{a}{b}" for a in "abcde" for b in "uvwxyz"]
+    rows = [(i, f"Mr. {p} and Ms. {p} came", "en", "s") for i, p in enumerate(names)]
+    made = [re.search(r"Ms\. (\w+)", r["text"])[1] for r in s.surrogated(frame(spark, rows)).collect()]
+    assert len(set(made)) == len(names)
+
+
 def test_clean_texts_and_columns_stay(spark):
     rows = documents()
     df = frame(spark, rows)
