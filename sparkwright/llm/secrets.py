@@ -30,9 +30,12 @@ OTHERS = ("commit", "revision", "sha1", "sha256", "md5", "checksum", "digest", "
 DICTIONARY = ("about", "access", "account", "admin", "after", "all", "and", "api", "app", "auth", "base", "build", "case", "change", "class", "client", "code", "config", "count", "data", "date", "default", "delete", "dev", "dir", "error", "event", "example", "false", "field", "file", "first", "for", "from", "get", "group", "handler", "have", "here", "host", "index", "info", "input", "item", "key", "last", "level", "line", "list", "local", "log", "main", "manager", "map", "max", "message", "min", "model", "name", "new", "node", "not", "null", "number", "object", "open", "option", "order", "output", "page", "param", "pass", "password", "path", "point", "port", "private", "public", "query", "read", "record", "release", "request", "result", "root", "row", "sample", "secret", "server", "service", "session", "set", "size", "source", "start", "state", "string", "table", "task", "test", "text", "the", "time", "token", "total", "true", "type", "update", "user", "value", "version", "view", "with", "word", "work", "write", "your")
 PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co", "me", "de", "hi", "ri", "ro", "ic", "ne", "ea", "ra", "ce")
 
-ASSIGNED = rf"(?<=(?:{'|'.join(NAMES)})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)[^\s\"',;:=]{{6,200}}"
-RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,40}\d)[A-Za-z0-9+/_\-]{16,200}={0,2}"
-CANDIDATE = rf"(?i:{ASSIGNED})|{RUN}"
+ASSIGNED = rf"(?<=(?:{'|'.join(NAMES)})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)[^\s\"',;:=]{{6,}}+"
+RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+\d)[A-Za-z0-9+/_\-]{16,}+={0,2}"
+PREFIXED = rf"(?:{'|'.join(PREFIXES)})[A-Za-z0-9+/_\-]{{12,}}+={{0,2}}"
+CANDIDATE = rf"(?i:{ASSIGNED})|{RUN}|{PREFIXED}"
+#: What a text must have to hold a candidate: the digit of a run, a name, or a prefix.
+MAY = rf"\d|(?i:{'|'.join(NAMES)})|{'|'.join(PREFIXES)}"
 FEATURES = ("length", "transitions", "pairs", "covered", "variety", "digits", "uppers", "hex", "prefix", "repeats", "named", "assigned", "quoted", "doubted", "other", "test_path", "words_around")
 
 
@@ -44,7 +47,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, path, at (number within the text), candidate, before, after of each candidate in ``docs`` (doc_id, text, source)."""
     text = F.col("text")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")).alias("path"), F.col("text").cast("string").alias("text"))
-    may = own.filter(text.rlike(rf"\d[A-Za-z0-9+/_\-]|(?i:{either(NAMES)})"))
+    may = own.filter(text.rlike(MAY))
     both = may.select("doc_id", "path", F.split(text, CANDIDATE).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("found")).filter(F.size("found") > 0)
     around = F.transform("found", lambda c, i: F.struct(c.alias("candidate"), F.right(F.element_at("gaps", i + 1), F.lit(BEFORE)).alias("before"), F.left(F.element_at("gaps", i + 2), F.lit(AFTER)).alias("after")))
     return both.select("doc_id", "path", F.posexplode(around).alias("at", "c")).select("doc_id", "path", "at", "c.*")
