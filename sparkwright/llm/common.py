@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +18,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster executors would write apart, so it raises.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -33,12 +40,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches are counted in rows; texts can be long, so batches of them are kept short."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete what ``cut`` wrote, once nothing that is still to run reads it."""
+    for table in tables:
+        if table is not None:
+            jvm = table.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(table.cut_path)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of about ``most`` bytes, or single rows; Spark bounds a batch by rows and bytes (64 MB) itself."""
+    for b in batches:
+        step = max(1, b.num_rows * most // max(1, b.nbytes))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
 
 
 def input_partitions(spark: SparkSession) -> int:

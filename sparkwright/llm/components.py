@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import cut
+from sparkwright.llm.common import cut, forget
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for each node of ``links`` (a, b); links may repeat.
 
     Each round gives a node the least root among its neighbours' and its own, then its root's root; the rounds needed
-    grow with the logarithm of the longest path. Each round's table is written to the shared folder.
+    grow with the logarithm of the longest path. Each round's table is written to the shared folder, the one before it deleted.
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    roots = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
+    roots = table = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
     while True:
         near = both.join(roots, both["b"] == roots["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = roots.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         of = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
         jumped = cut(step.join(of, "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root"), "was"), "roots")
-        roots = jumped.select("node", "root")
+        forget(table)
+        table, roots = jumped, jumped.select("node", "root")
         if not jumped.filter("root < was").limit(1).count():
+            forget(both)
             return roots

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import bitmap, cut, small_batches
+from sparkwright.llm.common import bitmap, cut, small
 from sparkwright.llm.shingles import ALNUM, U, mix, windows, word_blocks
 
 MASKS = ("1111011", "110000010111", "1110001011", "1110111")
@@ -51,7 +51,7 @@ def item_words(benchmark: DataFrame) -> DataFrame:
     """item_id, n, words (hashes), key (equal for items with equal words)."""
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             texts, words = lower_bytes(b.column(1).to_pylist()), []
             for _, bounds, h in word_blocks(texts, ALNUM):
                 words += [h[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
@@ -80,7 +80,7 @@ def passages(docs: DataFrame, bits, lengths: list[int], longest: int, keep: list
 
     def run(batches):
         on = bits.value
-        for b in batches:
+        for b in small(batches):
             texts, rows = lower_bytes(b.column(len(keep)).to_pylist()), []
             for first, bounds, h in word_blocks(texts, ALNUM):
                 found = []
@@ -131,7 +131,6 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
     empty. Clean documents have no row.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     keep = list(keep)
     items = cut(item_words(benchmark), "items")
     spread = items.agg(F.max("n")).first()[0] or 0

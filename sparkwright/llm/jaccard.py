@@ -1,20 +1,24 @@
 """N-gram Jaccard join: a metric-space join, exact, over the distinct shingle sets of all documents.
 
-Jaccard distance is a metric, and so is the distance to any pivot set. The join looks for all pairs of sets at a
-distance of at most eps = 1 - 0.8 and returns the groups that they connect.
-
-1. Root pivots. Random documents are useless as first pivots: nearly all texts are at distance 1 from each of them, so
-   every window would hold everything. The root pivots are the sets of one shingle, {s}. A set's home is the pivot of
-   its first shingle in one order of all shingles (rare ones first); of two sets within eps, the smaller (n shingles)
-   differs from the other in at most n / 9 shingles and the larger in at most n / 5, so their first common
-   shingle stands within these many places: the window, over which a set is replicated to further pivots' regions.
-2. Sets that meet in a root region and whose sizes allow the distance are chained; chains that touch make one region
-   (pairs within eps never lie in two).
-3. In a region documents are the pivots. Each set belongs to the nearest pivot's Voronoi cell and, by the triangle
-   inequality, to each other cell whose pivot is at most 2 eps farther; cells are joined recursively, and those that
-   are small, or that pivots no longer split, by exact counts of common shingles. Regions that fit a task are done in
-   it; larger ones are split by pivots as distributed steps, in slices, and where pivots don't split them, by pairs of
-   slices of bounded size.
+Jaccard distance is a metric. The join looks for all pairs of sets at a distance of at most eps = 1 - 0.8 and returns the
+groups that they connect. Pivots are sets of the corpus itself.
+
+1. Every text's shingles are hashed once and written. A set's name is 64 bits of a 128-bit fingerprint; names that two
+   fingerprints share are looked for and given up (``names``), so sets are told apart by 128 bits.
+2. First pivots. Nearly all texts are at distance 1 from any few of them, so few pivots would put everything into every
+   window. So a shingle picks them: in one order of all shingles (rare ones first), two sets within eps share one
+   among their first places (the smaller, of n shingles, differs from the other in at most n / 9, the larger in at most
+   n / 5). Of the sets that hold a shingle there, and whose sizes allow the distance, the first is the pivot, the others
+   are attached to it; sets that are attached to nothing are alone with themselves. Pivots that share sets make one
+   region; two sets within eps are always in one. This only picks pivots: what is linked is decided by distances.
+3. In a region, pivots create Voronoi cells: a set belongs to its nearest pivot's cell, and by the triangle inequality to
+   each other cell whose pivot is at most 2 eps farther (``cells``). Sets farther than ``REACH`` from all pivots, and by
+   the same inequality those up to eps nearer, form the far cell; so no other cell needs a set farther than REACH + eps.
+   A pivot's distances to all its region are known exactly, so its links are, and it leaves. Cells are joined
+   recursively until no cell holds sets that are not connected already.
+4. Regions of at most ``SETS`` sets are joined in one task; larger ones are split by the same cells as distributed steps,
+   in slices. Where cells hardly split them (sets that are all near each other), the sets that the pivots don't connect
+   with the others meet all of them, by pairs of slices of bounded size, each a region of its own.
 
 Shuffled are: for each task, sorted hashes of all shingles (a few bytes each, to know the frequent ones), of the
 windows' shingles, and whole sets only of documents that share a region with others. Nothing is dropped: the number of
@@ -31,25 +35,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwright.llm.common import bitmap, cut, input_partitions, small_batches
+from sparkwright.llm.common import bitmap, cut, forget, input_partitions, small
 from sparkwright.llm.components import components
-from sparkwright.llm.shingles import U, mix, shingle_sets
+from sparkwright.llm.shingles import PLACE, U, mix, shingle_sets
 
-EPS = 0.2
+EPS, REACH = 0.2, 0.4
 HEAVY = 1 << 21
 BITMAP = 26
 FLUSH = 1 << 21
-#: A region of at most so many sets and shingles is joined in one task.
-SETS, SHINGLES = 4096, 1 << 21
+#: A region of at most so many sets and shingles is joined in one task; others by so many pivots at a time.
+SETS, SHINGLES, PIVOTS = 128, 1 << 21, 16
 
 
 def linked(common, a, b):
     return 100 * common >= 80 * (a + b - common)
 
 
-def node_of(s: np.ndarray) -> int:
-    """A signed 64-bit fingerprint of a set."""
-    return int((mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + U(len(s))).astype(np.int64)) if len(s) else 0
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """A set's 128 bits, as two signed numbers; 0, 0 of an empty one."""
+    if not len(s):
+        return 0, 0
+    low, high = (int((mix(s ^ c).sum(dtype=np.uint64) + U(len(s))).astype(np.int64)) for c in (U(0x5851F42D4C957F2D), U(0x2545F4914F6CDD1D)))
+    return low, high
+
+
+def renamed(low: int, high: int) -> int:
+    return int(mix(np.array([low, high]).astype(np.uint64) * PLACE[:2]).sum(dtype=np.uint64).astype(np.int64))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -82,44 +93,59 @@ def by_bucket(sorted_hashes: np.ndarray, bits: int):
 
 
 def own_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, print, n, node (null without shingles) of each document."""
+    """doc_id, print, n, low, high (fingerprint; null without shingles), shingles (where a task meets the set first) of each document."""
 
     def run(batches):
-        for b in batches:
-            ns, nodes = [], []
+        seen = set()
+        for b in small(batches):
+            ns, names, held = [], [], []
             for s in shingle_sets(binary(b.column(2)), k):
+                name = fingerprint(s)
                 ns.append(len(s))
-                nodes.append(node_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "print": b.column(1), "n": pa.array(ns, pa.int64()), "node": pa.array(nodes, pa.int64())})
+                names.append(name if len(s) else (None, None))
+                held.append(s.tobytes() if len(s) and name not in seen else None)
+                seen.add(name)
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "print": b.column(1), "n": pa.array(ns, pa.int64()), "low": pa.array([x[0] for x in names], pa.int64()), "high": pa.array([x[1] for x in names], pa.int64()), "shingles": pa.array(held, pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, print long, n long, node long")
+    return docs.mapInArrow(run, "doc_id long, print long, n long, low long, high long, shingles binary")
 
 
-def frequencies(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """(bucket, blob): how many of a task's distinct sets hold each shingle."""
+def named(own: DataFrame) -> DataFrame:
+    """``own`` with node, a name of 64 bits that no other fingerprint has; null without shingles.
+
+    It is the fingerprint's lower half, but for the few (n^2 / 2^65 are expected among n sets) that share it.
+    """
+    shared = own.groupBy("low").agg(F.min("high").alias("a"), F.max("high").alias("b")).filter("a < b").select("low")
+    names = own.join(shared, "low", "left_semi").select("low", "high").distinct().collect()
+    other = [((r["low"], r["high"]), renamed(r["low"], r["high"])) for r in names]
+    node = F.col("low")
+    for (low, high), new in other:
+        node = F.when((F.col("low") == low) & (F.col("high") == high), F.lit(new)).otherwise(node)
+    return own.withColumn("node", node)
+
+
+def frequencies(sets: DataFrame, bits: int) -> DataFrame:
+    """(bucket, blob): how many of a task's ``sets`` (shingles) hold each shingle."""
 
     def run(batches):
-        held, size, seen = [], 0, set()
+        held, size = [], 0
 
         def flush():
             v, c = np.unique(np.concatenate(held) >> U(24) << U(24), return_counts=True)
             rows = [(b, pack(np.diff(v[i:j] >> U(24), prepend=U(0)), np.minimum(c[i:j], 65535).astype("<u2"))) for b, i, j in by_bucket(v, bits)]
             return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-        for b in batches:
-            for s in shingle_sets(binary(b.column(0)), k):
-                node = node_of(s)
-                if len(s) and node not in seen:
-                    seen.add(node)
-                    held.append(s)
-                    size += len(s)
-                    if size >= FLUSH:
-                        yield flush()
-                        held, size = [], 0
+        for b in small(batches):
+            for s in b.column(0).to_pylist():
+                held.append(np.frombuffer(s, np.uint64))
+                size += len(held[-1])
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, blob binary")
+    return sets.select("shingles").mapInArrow(run, "bucket int, blob binary")
 
 
 def heavy_shingles(blobs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +177,7 @@ def heavy_shingles(blobs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     yield pd.DataFrame({"blob": [pack(v[level >= least], level[level >= least])]})
 
     found = [unpack(r["blob"], "<u8", "u1") for r in counted.select("blob").mapInPandas(keep, "blob binary").collect()]
+    forget(counted)
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
     v, level = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
@@ -158,12 +185,12 @@ def heavy_shingles(blobs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return v[order], level[order]
 
 
-def root_regions(docs: DataFrame, k: int, bits: int, heavy) -> DataFrame:
-    """(bucket, blob): the shingles in each set's window, with the set, its size and whether the smaller set's bound holds."""
+def root_regions(sets: DataFrame, bits: int, heavy) -> DataFrame:
+    """(bucket, blob): the shingles in each set's first places, with the set, its size and whether the smaller set's bound holds."""
 
     def run(batches):
         v, level = heavy.value
-        held, nodes, seen, size = [], [], set(), 0
+        held, nodes, size = [], [], 0
 
         def flush():
             s, place, near = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -176,12 +203,10 @@ def root_regions(docs: DataFrame, k: int, bits: int, heavy) -> DataFrame:
                 rows.append((b, pack(np.diff(s[i:j], prepend=U(0)), local.astype("<u4"), near[i:j].astype("u1"), ids[used], ns[used])))
             return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-        for b in batches:
-            for s in shingle_sets(binary(b.column(0)), k):
-                n, node = len(s), node_of(s)
-                if not n or node in seen:
-                    continue
-                seen.add(node)
+        for b in small(batches):
+            for node, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(data, np.uint64)
+                n = len(s)
                 top, often = s >> U(24), np.zeros(n, np.uint8)
                 if len(v):
                     at = np.minimum(np.searchsorted(v, top), len(v) - 1)
@@ -197,14 +222,14 @@ def root_regions(docs: DataFrame, k: int, bits: int, heavy) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, blob binary")
+    return sets.select("node", "shingles").mapInArrow(run, "bucket int, blob binary")
 
 
 STEP_ORDER = U(0xA0761D6478BD642F)
 
 
-def chains(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b) that connect, within each root region of a bucket, all sets whose sizes and windows allow a pair."""
+def attached(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(a pivot, b a set attached to it) for each shingle of a bucket: all that hold it in places and with sizes that allow a pair."""
     parts = [unpack(x, "<u8", "<u4", "u1", "<i8", "<u4") for x in pdf["blob"]]
     s = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
     node, n, near = (np.concatenate(x) for x in (([p[3][p[1]] for p in parts]), [p[4][p[1]] for p in parts], [p[2] for p in parts]))
@@ -222,21 +247,33 @@ def chains(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
-    """Jaccard distances, one row for each set, one column for each pivot."""
+def common_with(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set (rows) shares with each pivot (columns)."""
     every, n = np.concatenate(sets), np.array([len(s) for s in sets])
     begin = np.cumsum(n) - n
-    out = np.empty((len(sets), len(pivots)))
+    out = np.empty((len(sets), len(pivots)), np.int64)
     for j, p in enumerate(pivots):
         at = np.minimum(np.searchsorted(p, every), len(p) - 1)
-        common = np.add.reduceat((p[at] == every).astype(np.int64), begin)
-        out[:, j] = 1 - common / (n + len(p) - common)
+        out[:, j] = np.add.reduceat((p[at] == every).astype(np.int64), begin)
     return out
 
 
-def cells(d: np.ndarray, eps: float) -> np.ndarray:
-    """Which Voronoi cells each set is in: the nearest pivot's, and those within its window."""
-    return d <= d.min(axis=1, keepdims=True) + 2 * eps + 1e-9
+def measured(sets: list[np.ndarray], pivots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard distances and links of each set (rows) with each pivot (columns)."""
+    common = common_with(sets, pivots)
+    n, m = np.array([len(s) for s in sets])[:, None], np.array([len(p) for p in pivots])[None, :]
+    return 1 - common / (n + m - common), linked(common, n, m)
+
+
+def cells(d: np.ndarray, eps: float = EPS, reach: float = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """Which Voronoi cells each set is in (nearest pivot, and those within its window), and which sets are in the far cell.
+
+    Of two sets within eps let one be nearest to pivot p, at distance r. If r <= reach, the other is at most r + eps from
+    p, and r is at most eps more than the other's own least distance. If r > reach, the other is farther than reach - eps
+    from all pivots.
+    """
+    least = d.min(axis=1, keepdims=True)
+    return d <= np.minimum(least + 2 * eps, reach + eps) + 1e-9, least[:, 0] > reach - eps - 1e-9
 
 
 def groups_in(sets: list[np.ndarray], eps: float = EPS) -> np.ndarray:
@@ -249,77 +286,45 @@ def groups_in(sets: list[np.ndarray], eps: float = EPS) -> np.ndarray:
             x = root[x]
         return x
 
-    todo = [np.argsort([len(s) for s in sets], kind="stable")]
+    todo = [np.arange(len(sets))]
     while todo:
         idx = todo.pop()
-        if len(idx) > 64:
-            pivots = idx[np.linspace(0, len(idx) - 1, min(16, len(idx) // 16)).astype(int)]
-            inside = cells(distances([sets[i] for i in idx], [sets[i] for i in pivots]), eps)
-            if inside.sum(axis=0).max() <= 0.75 * len(idx) and inside.sum() <= 2 * len(idx):
-                todo += [idx[inside[:, j]] for j in range(len(pivots)) if inside[:, j].sum() > 1]
-                continue
-        if len(idx) > 1:
-            for i, j in spanning([sets[i] for i in idx]):
-                a, b = sorted((find(idx[i]), find(idx[j])))
-                root[b] = a
+        own = np.array([find(i) for i in idx])
+        names, times = np.unique(own, return_counts=True)
+        if len(names) < 2:
+            continue
+        here = [sets[i] for i in idx]
+        # first a set of the smallest group, then what is farthest from all pivots
+        chosen = [int(np.flatnonzero(own == names[times.argmin()])[0])]
+        d, near = measured(here, [here[chosen[0]]])
+        while len(chosen) < PIVOTS and d.min(axis=1).max() > REACH:
+            chosen.append(int(d.min(axis=1).argmax()))
+            more = measured(here, [here[chosen[-1]]])
+            d, near = np.hstack([d, more[0]]), np.hstack([near, more[1]])
+        for i, j in np.argwhere(near).tolist():
+            a, b = sorted((find(idx[i]), find(idx[chosen[j]])))
+            root[b] = a
+        rest = np.setdiff1d(np.arange(len(idx)), chosen)
+        if len(rest) < 2:
+            continue
+        inside, far = cells(d[rest], eps)
+        if not (d[rest].min(axis=1) > REACH).any():
+            far[:] = False
+        parts = [idx[rest[x]] for x in (*inside.T, far) if x.sum() > 1]
+        todo += parts if sum(map(len, parts)) <= 1.5 * len(rest) else [idx[rest]]  # cells that hardly differ are one
     return np.array([find(i) for i in range(len(sets))])
 
 
-def spanning(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Enough of the pairs within eps to connect all that are connected, from counts of common shingles of all pairs."""
-    m, n = len(sets), np.array([len(s) for s in sets])
-    every, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    first = np.flatnonzero(np.diff(every, prepend=every[:1] ^ U(1)))
-    times = np.diff(first, append=len(every))
-    common = np.zeros((m, m), np.float32)
-    for t in range(2, 9):
-        of = owner[first[times == t][:, None] + np.arange(t)]
-        for x in range(t):
-            for y in range(x + 1, t):
-                common += np.bincount(of[:, x] * m + of[:, y], minlength=m * m).reshape(m, m).astype(np.float32) if len(of) else 0
-    often, width = first[times > 8], max(1, (1 << 22) // m)
-    counts = times[times > 8]
-    upper = np.zeros((m, m), np.float32)
-    for i in range(0, len(often), width):
-        f, c = often[i : i + width], counts[i : i + width]
-        col = np.repeat(np.arange(len(f)), c)
-        row = owner[np.repeat(f, c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)]
-        held = np.zeros((m, len(f)), np.float32)
-        held[row, col] = 1
-        upper += held @ held.T
-    near = linked(common + common.T + upper, n[:, None], n[None, :])
-    np.fill_diagonal(near, False)
-    out, left = [], np.ones(m, bool)
-    for i in range(m):
-        if left[i]:
-            left[i], front = False, [i]
-            while front:
-                x = front.pop()
-                new = np.flatnonzero(near[x] & left)
-                left[new] = False
-                out += [(x, y) for y in new.tolist()]
-                front += new.tolist()
-    return out
-
-
-def whole_sets(docs: DataFrame, k: int, bits) -> DataFrame:
-    """node, n, shingles of each set whose place in the bitmap is set, once a task."""
+def whole_sets(sets: DataFrame, bits) -> DataFrame:
+    """node, n, shingles of each of ``sets`` whose place in the bitmap is set."""
 
     def run(batches):
-        on, seen = bits.value, set()
-        for b in batches:
-            rows = []
-            for s in shingle_sets(binary(b.column(0)), k):
-                node = node_of(s)
-                p = node % (1 << BITMAP)
-                if len(s) and on[p >> 3] >> (p & 7) & 1 and node not in seen:
-                    seen.add(node)
-                    rows.append((node, len(s), s.tobytes()))
-            yield pa.RecordBatch.from_pydict({"node": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "shingles": pa.array([r[2] for r in rows], pa.binary())})
+        on = bits.value
+        for b in small(batches):
+            p = b.column(0).to_numpy() % (1 << BITMAP)
+            yield b.filter(pa.array(on[p >> 3] >> (p & 7) & 1 > 0))
 
-    return docs.select("text").mapInArrow(run, "node long, n long, shingles binary")
+    return sets.select("node", "n", "shingles").mapInArrow(run, "node long, n long, shingles binary")
 
 
 def region_groups(members: DataFrame) -> DataFrame:
@@ -351,40 +356,68 @@ def region_groups(members: DataFrame) -> DataFrame:
     return members.select("region", "node", "shingles").repartition("region").sortWithinPartitions("region", "node").mapInPandas(run, "a long, b long")
 
 
-def split(members: DataFrame, sizes: DataFrame, pivots: int = 16) -> DataFrame:
-    """Large regions by their Voronoi cells: (region, was, node, n, shingles), regions named anew."""
+def sliced(sizes: DataFrame, name: str = "slices") -> DataFrame:
+    """region and into how many slices it is dealt."""
+    return sizes.select("region", F.greatest(F.lit(1), F.ceil(2 * F.col("sets") / SETS), F.ceil(2 * F.col("weight") / SHINGLES)).cast("int").alias(name))
+
+
+def placed(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``members`` of large regions with pivot (boolean), to (pivots within eps) and in (names of the cells), PIVOTS of each region being pivots."""
     pick = Window.partitionBy("region").orderBy(F.xxhash64("node", "region"), "node")
-    chosen = cut(members.select("region", "node", "shingles").withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= pivots), "pivots")
-    slices = F.greatest(F.lit(1), F.ceil(F.col("sets") / SETS), F.ceil(F.col("weight") / SHINGLES))
-    spread = sizes.select("region", slices.cast("int").alias("slices"))
+    chosen = cut(members.select("region", "node", "shingles").withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= PIVOTS), "pivots")
+    spread = sliced(sizes)
     left = members.join(spread, "region").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")).drop("slices")
     right = chosen.join(spread, "region").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    columns = ["region", "node", "n", "shingles", "pivot", "to", "in"]
 
     def place(pdf: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({c: [] for c in ("region", "was", "node", "n", "shingles")})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
         chosen = chosen.sort_values("rank").drop_duplicates("node")
-        d = distances([np.frombuffer(x, np.uint64) for x in pdf["shingles"]], [np.frombuffer(x, np.uint64) for x in chosen["shingles"]])
-        row, cell = np.nonzero(cells(d, EPS))
-        out = pdf.iloc[row]
-        names = chosen["node"].to_numpy()[cell]
-        return pd.DataFrame({"region": [f"{r}/{c}" for r, c in zip(out["region"], names, strict=True)], "was": out["region"].to_numpy(), "node": out["node"].to_numpy(), "n": out["n"].to_numpy(), "shingles": out["shingles"].to_numpy()})
+        names = chosen["node"].to_numpy()
+        d, near = measured([np.frombuffer(x, np.uint64) for x in pdf["shingles"]], [np.frombuffer(x, np.uint64) for x in chosen["shingles"]])
+        inside, far = cells(d)
+        of = [[*(str(x) for x in names[i]), *(["far"] if f else [])] for i, f in zip(inside, far, strict=True)]
+        return pdf[["region", "node", "n", "shingles"]].assign(pivot=pdf["node"].isin(names), to=[names[x].tolist() for x in near], **{"in": of})[columns]
+
+    return left.groupBy("region", "slice").cogroup(right.groupBy("region", "slice")).applyInPandas(place, "region string, node long, n long, shingles binary, pivot boolean, to array<long>, in array<string>")
+
 
-    return left.groupBy("region", "slice").cogroup(right.groupBy("region", "slice")).applyInPandas(place, "region string, was string, node long, n long, shingles binary")
+def pivot_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    """region, first, group: the pivots of a region that sets connect, from its distinct lists ``to``."""
+    root = {}
 
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
 
-def slice_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Regions that pivots don't split, as the pairs of their slices; any two sets are in one pair's region."""
-    slices = F.greatest(F.lit(2), F.ceil(2 * F.col("sets") / SETS), F.ceil(2 * F.col("weight") / SHINGLES)).cast("int")
-    of = members.join(sizes.select("region", slices.alias("slices")), "region").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
-    other = of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).filter((F.col("slices") == 1) | (F.col("own") != F.col("other")))
-    return other.select(F.concat_ws("*", "region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "node", "n", "shingles")
+    for to in pdf["to"]:
+        for x in to:
+            a, b = sorted((find(to[0]), find(x)))
+            root[b] = a
+    return pd.DataFrame({"region": pdf["region"].iloc[0], "first": list(root), "group": [find(x) for x in root]})
 
 
 def region_sizes(members: DataFrame, *more: str) -> DataFrame:
     return members.groupBy("region", *more).agg(F.count("*").alias("sets"), F.sum("n").alias("weight"))
 
 
+def slice_pairs(rest: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Regions that pivots don't split: what is not in a region's largest group meets all of it, by pairs of slices."""
+    counts = rest.groupBy("region", "group").agg(F.count("*").alias("c"))
+    largest = counts.groupBy("region").agg(F.max_by("group", F.struct("c", "group")).alias("largest"))
+    all_ = rest.join(largest, "region").join(sliced(sizes), "region").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    others = all_.filter("group <> largest")
+    of = others.groupBy("region").agg(F.greatest(F.lit(1), F.ceil(2 * F.count("*") / SETS), F.ceil(2 * F.sum("n") / SHINGLES)).cast("int").alias("parts"))
+    part = lambda c: F.explode(F.sequence(F.lit(0), c - 1))
+    name = F.concat_ws("*", "region", "part", "own")
+    a = others.join(of, "region").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int")).withColumn("own", part(F.col("slices")))
+    b = all_.join(of, "region").withColumn("part", part(F.col("parts")))
+    return a.select(name.alias("region"), "node", "n", "shingles").union(b.select(name.alias("region"), "node", "n", "shingles"))
+
+
 def join_regions(members: DataFrame) -> DataFrame:
     """Links (a, b) that connect all sets connected within the regions of ``members`` (region string, node, n, shingles)."""
     fits = (F.col("sets") <= SETS) & (F.col("weight") <= SHINGLES)
@@ -395,33 +428,40 @@ def join_regions(members: DataFrame) -> DataFrame:
     large = cut(members.join(sizes.filter(~fits).select("region"), "region", "left_semi").dropDuplicates(["region", "node"]), "large-regions")
     while True:
         sizes = cut(region_sizes(large), "region-sizes")
-        parts = cut(split(large, sizes), "cells")
-        own = cut(region_sizes(parts, "was").join(sizes.select(F.col("region").alias("was"), F.col("sets").alias("of")), "was"), "region-sizes")
-        dense = own.groupBy("was").agg((F.max(F.col("sets") / F.col("of")) > 0.75).alias("a"), (F.sum("sets") > 3 * F.max("of")).alias("b")).filter("a or b").select("was")
-        stuck = large.join(dense.withColumnRenamed("was", "region"), "region", "left_semi")
-        found = found.union(region_groups(slice_pairs(stuck, sizes)))
-        own = own.join(dense, "was", "left_anti")
-        found = found.union(region_groups(parts.join(own.filter(fits).select("region"), "region", "left_semi")))
-        rest = own.filter(~fits).select("region")
-        if not rest.limit(1).count():
+        at = cut(placed(large, sizes), "placed")
+        first = F.get("to", F.lit(0))
+        found = found.union(at.select(first.alias("a"), F.col("node").alias("b")).filter("a <> b")).union(at.filter("size(to) > 1").select("to").distinct().select(first.alias("a"), F.explode("to").alias("b")).filter("a <> b"))
+        groups = at.filter("size(to) > 0").select("region", "to").distinct().groupBy("region").applyInPandas(pivot_groups, "region string, first long, group long")
+        rest = cut(at.filter("not pivot").withColumn("first", first).join(groups, ["region", "first"], "left").select("region", "node", "n", "shingles", "in", F.coalesce("group", "node").alias("group")), "rest")
+        # cells whose sets are all connected are done; what is left of a region is split if its cells are really smaller
+        open_ = cut(rest.select("region", "n", "group", F.explode("in").alias("cell")).groupBy("region", "cell").agg(F.count("*").alias("sets"), F.sum("n").alias("weight"), F.min("group").alias("a"), F.max("group").alias("b")).filter("a <> b and sets > 1").join(sizes.select("region", F.col("sets").alias("of")), "region"), "cells")
+        dense = open_.groupBy("region").agg((F.max(F.col("sets") / F.col("of")) > 0.75).alias("a"), (F.sum("sets") > 1.5 * F.max("of")).alias("b")).filter("a or b").select("region")
+        found = found.union(region_groups(slice_pairs(rest.join(dense, "region", "left_semi"), sizes)))
+        split = open_.join(dense, "region", "left_anti")
+        name = F.concat_ws("/", "region", "cell").alias("region")
+        parts = rest.withColumn("cell", F.explode("in")).join(split.select("region", "cell", fits.alias("fits")), ["region", "cell"]).select(name, "node", "n", "shingles", "fits")
+        found = found.union(region_groups(parts.filter("fits")))
+        if not split.filter(~fits).limit(1).count():
             return found
-        large = cut(parts.join(rest, "region", "left_semi").select("region", "node", "n", "shingles"), "large-regions")
+        large = cut(parts.filter("not fits").drop("fits"), "large-regions")
 
 
 def grouped(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, print (of the text), n, root (null without shingles) of each row of ``docs`` (doc_id long, print long, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     bits = max(6, (8 * input_partitions(spark) - 1).bit_length())
-    own = cut(own_sets(docs, k), "sets")
-    heavy = spark.sparkContext.broadcast(heavy_shingles(frequencies(docs, k, bits)))
-    close = cut(root_regions(docs, k, bits, heavy).groupBy("bucket").applyInPandas(chains, "a long, b long").distinct(), "chains")
+    own = named(cut(own_sets(docs, k), "sets"))
+    sets = own.filter("shingles is not null")
+    heavy = spark.sparkContext.broadcast(heavy_shingles(frequencies(sets, bits)))
+    close = cut(root_regions(sets, bits, heavy).groupBy("bucket").applyInPandas(attached, "a long, b long").distinct(), "attached")
     links = None
     if close.limit(1).count():
         region = components(close)
         kept = spark.sparkContext.broadcast(bitmap(region.select("node"), BITMAP))
-        members = cut(whole_sets(docs, k, kept).join(region, "node").select(F.col("root").cast("string").alias("region"), "node", "n", "shingles"), "members")
+        members = cut(whole_sets(sets, kept).join(region, "node").select(F.col("root").cast("string").alias("region"), "node", "n", "shingles"), "members")
         links = cut(join_regions(members), "links")
+        forget(members)
+    forget(close)
     if links is None or not links.limit(1).count():
         rooted = own.withColumn("root", F.col("node"))
     else:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import cut, small_batches
+from sparkwright.llm.common import cut, small
 from sparkwright.llm.shingles import PLACE, U, mix
 
 GRAM, SHARE, PROBES, BLOCK = 4, 1e-5, 2, 1 << 19
@@ -157,7 +157,7 @@ def learn(labelled: DataFrame, share: float = SHARE) -> Filter:
                 held[lang] = (g, c.astype(np.int64))
             waiting.clear()
 
-        for b in batches:
+        for b in small(batches):
             langs = np.array(b.column(1).to_pylist(), object)
             for i, n, _, owner, h in grams(b.column(0).to_pylist()):
                 of = langs[i : i + n]
@@ -174,7 +174,6 @@ def learn(labelled: DataFrame, share: float = SHARE) -> Filter:
         if held:
             yield rows()
 
-    small_batches(labelled.sparkSession)
     known = labelled.select("text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     counted = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # n-grams below the share are dropped by their language's total, so at most 1 / share of a language reach the driver
@@ -193,12 +192,11 @@ def learn(labelled: DataFrame, share: float = SHARE) -> Filter:
 
 def predict(docs: DataFrame, model: Filter, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` (text, ...), then lang_pred and score."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in small(batches):
             texts = b.column(len(keep)).to_pylist()
             total, counts, has = np.zeros(len(texts)), np.zeros((len(texts), len(m.langs))), np.zeros(len(texts), bool)
             for i, n, letters_in, owner, h in grams(texts):
@@ -219,12 +217,11 @@ def predict(docs: DataFrame, model: Filter, keep: list[str]) -> DataFrame:
 def recognised(docs: DataFrame, least: float, share: float = SHARE) -> DataFrame:
     """``docs`` without the rows whose text is in none of the languages that it teaches: ``und``, or a score under ``least``."""
     model = learn(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"), share)
-    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in small(batches):
             texts = b.column(at).to_pylist()
             total, counts, has = np.zeros(len(texts)), np.zeros((len(texts), len(m.langs))), np.zeros(len(texts), bool)
             for i, n, letters_in, owner, h in grams(texts):

@@ -12,17 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import small_batches
+from sparkwright.llm.common import small
 
 
 def with_sizes(docs: DataFrame, text: str = "text", to: str = "size") -> DataFrame:
     """``docs`` without ``text`` and with its number of words split by ASCII white space; a null has none."""
-    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != text]
     schema = docs.select(*others, F.lit(0).cast("long").alias(to)).schema
 
     def count(batches):
-        for b in batches:
+        for b in small(batches):
             n = [len(t.encode().split()) if t else 0 for t in b.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(n, pa.int64())], names=[*others, to])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import small_batches
+from sparkwright.llm.common import small
 from sparkwright.llm.pieces import PieceEncoder
 
 CHUNK, OVERLAP = 32_768, 512
@@ -72,11 +72,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUN
     ``path``: a tokenizers .json or a sentencepiece .model. No special tokens are added; a null text counts as empty;
     rows are independent of each other, so ties, repeated rows and other columns change nothing.
     """
-    small_batches(docs.sparkSession)
 
     def count(batches):
         encoder = Encoder(path, chunk, overlap)
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([encoder(t) for t in b.column(2).to_pylist()], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").cast("string").alias("text"))

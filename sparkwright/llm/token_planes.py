@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import cut, fresh_path, input_partitions, small_batches
+from sparkwright.llm.common import cut, fresh_path, input_partitions, small
 from sparkwright.llm.pieces import PieceEncoder
 
 MAGIC = b"TIDPLN1\n"
@@ -162,13 +162,12 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int | None =
     document, and ``end_id`` (none if None) is appended to each. An empty table writes no shard.
     """
     spark = docs.sparkSession
-    small_batches(spark)
 
     def write(batches):
         part, shard, writer, sink, first = TaskContext.get().partitionId(), None, None, None, None
         end = b"" if end_id is None else struct.pack("<I", end_id)
         encoder = None
-        for b in batches:
+        for b in small(batches):
             if writer is None and b.num_rows:
                 encoder = PieceEncoder(tokenizer)
                 fs, base = filesystem(out)

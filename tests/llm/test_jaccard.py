@@ -73,5 +73,40 @@ def test_region_groups_with_pivots():
     assert len(set(zip(got.tolist(), root.tolist(), strict=True))) == len(set(got.tolist())) == len(set(root.tolist()))
 
 
+def test_cells_decide_what_meets(monkeypatch):
+    rng = np.random.default_rng(2)
+    common = rng.integers(0, 1 << 60, 20, dtype=np.uint64)  # all sets share some, so one region holds them
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 60, 80, dtype=np.uint64)])) for _ in range(40)]
+    sets += [np.unique(np.concatenate([s[: 100 - i], rng.integers(0, 1 << 60, i, dtype=np.uint64)])) for s in sets for i in (3, 6)]
+    met = set()
+    whole = jaccard.measured
+
+    def watched(here, pivots):
+        met.update((s.tobytes(), p.tobytes()) for s in here for p in pivots if s is not p)
+        return whole(here, pivots)
+
+    monkeypatch.setattr(jaccard, "measured", watched)
+    root = groups_in(sets)
+    assert len(set(root.tolist())) == 40 and len(met) < 0.6 * len(sets) * (len(sets) - 1) / 2
+
+
+def test_cells_lose_no_pair_and_pivots_need_not_be_near():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 100 - i], rng.integers(0, 1 << 60, i, dtype=np.uint64)])) for i in range(0, 100, 2) for _ in range(3)]
+    d, _ = jaccard.measured(sets, [sets[0], sets[60], rng.integers(0, 1 << 60, 50, dtype=np.uint64)])
+    inside, far = jaccard.cells(d)
+    for i, s in enumerate(sets):
+        near = jaccard.measured(sets, [s])[1][:, 0]
+        together = (inside & inside[i]).any(axis=1) | (far & far[i])
+        assert together[near].all()
+
+
+def test_names_that_two_fingerprints_share(spark):
+    own = spark.createDataFrame([(1, 5, 10), (2, 5, 11), (3, 5, 10), (4, 6, 10), (5, None, None)], "doc_id long, low long, high long")
+    node = {r["doc_id"]: r["node"] for r in jaccard.named(own).collect()}
+    assert node[1] == node[3] != node[2] and node[4] == 6 and node[5] is None and len(set(node.values())) == 4
+
+
 def test_empty(spark):
     assert jaccard_components(empty(spark)).collect() == []
