@@ -3,8 +3,9 @@
 Jaccard distance is a metric. The join looks for all pairs of sets at a distance of at most eps = 1 - 0.8 and returns the
 groups that they connect. Pivots are sets of the corpus itself.
 
-1. Every text's shingles are hashed once and written. A set's name is 64 bits of a 128-bit fingerprint; names that two
-   fingerprints share are looked for and given up (``names``), so sets are told apart by 128 bits.
+1. A set's name is 64 bits of a 128-bit fingerprint; names that two fingerprints share are looked for and given up
+   (``shared_names``), so sets are told apart by 128 bits. Sets are made from the texts in each of the four passes that
+   need them: written once, they take more room than the texts.
 2. First pivots. Nearly all texts are at distance 1 from any few of them, so few pivots would put everything into every
    window. So a shingle picks them: in one order of all shingles (rare ones first), two sets within eps share one
    among their first places (the smaller, of n shingles, differs from the other in at most n / 9, the larger in at most
@@ -93,39 +94,46 @@ def by_bucket(sorted_hashes: np.ndarray, bits: int):
 
 
 def own_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, print, n, low, high (fingerprint; null without shingles), shingles (where a task meets the set first) of each document."""
+    """doc_id, print, n, low, high (fingerprint; null without shingles) of each document."""
 
     def run(batches):
-        seen = set()
         for b in small(batches):
-            ns, names, held = [], [], []
+            ns, names = [], []
             for s in shingle_sets(binary(b.column(2)), k):
-                name = fingerprint(s)
                 ns.append(len(s))
-                names.append(name if len(s) else (None, None))
-                held.append(s.tobytes() if len(s) and name not in seen else None)
-                seen.add(name)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "print": b.column(1), "n": pa.array(ns, pa.int64()), "low": pa.array([x[0] for x in names], pa.int64()), "high": pa.array([x[1] for x in names], pa.int64()), "shingles": pa.array(held, pa.binary())})
+                names.append(fingerprint(s) if len(s) else (None, None))
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "print": b.column(1), "n": pa.array(ns, pa.int64()), "low": pa.array([x[0] for x in names], pa.int64()), "high": pa.array([x[1] for x in names], pa.int64())})
 
-    return docs.mapInArrow(run, "doc_id long, print long, n long, low long, high long, shingles binary")
+    return docs.mapInArrow(run, "doc_id long, print long, n long, low long, high long")
 
 
-def named(own: DataFrame) -> DataFrame:
-    """``own`` with node, a name of 64 bits that no other fingerprint has; null without shingles.
+def shared_names(own: DataFrame) -> dict[tuple[int, int], int]:
+    """New names for the fingerprints whose lower halves are equal; n^2 / 2^65 are expected among n sets."""
+    prints = own.groupBy("low", "high").agg(F.lit(1).alias("one"))  # copies are one row before anything is sorted
+    lists = prints.groupBy("low").agg(F.min("high").alias("a"), F.max("high").alias("b"), F.collect_set("high").alias("of")).filter("a < b")
+    return {(r["low"], h): renamed(r["low"], h) for r in lists.select("low", "of").collect() for h in r["of"]}
 
-    It is the fingerprint's lower half, but for the few (n^2 / 2^65 are expected among n sets) that share it.
-    """
-    shared = own.groupBy("low").agg(F.min("high").alias("a"), F.max("high").alias("b")).filter("a < b").select("low")
-    names = own.join(shared, "low", "left_semi").select("low", "high").distinct().collect()
-    other = [((r["low"], r["high"]), renamed(r["low"], r["high"])) for r in names]
+
+def named(own: DataFrame, names: dict[tuple[int, int], int]) -> DataFrame:
+    """``own`` with node, a name that no other fingerprint has: the lower half, or one of ``names``; null without shingles."""
     node = F.col("low")
-    for (low, high), new in other:
+    for (low, high), new in names.items():
         node = F.when((F.col("low") == low) & (F.col("high") == high), F.lit(new)).otherwise(node)
     return own.withColumn("node", node)
 
 
-def frequencies(sets: DataFrame, bits: int) -> DataFrame:
-    """(bucket, blob): how many of a task's ``sets`` (shingles) hold each shingle."""
+def sets_of(batches, k: int, names: dict[tuple[int, int], int]):
+    """(node, set) of a task's texts, each set once."""
+    seen = set()
+    for b in small(batches):
+        for s in shingle_sets(binary(b.column(0)), k):
+            if len(s) and (name := fingerprint(s)) not in seen:
+                seen.add(name)
+                yield names.get(name, name[0]), s
+
+
+def frequencies(docs: DataFrame, k: int, bits: int) -> DataFrame:
+    """(bucket, blob): how many of a task's distinct sets hold each shingle."""
 
     def run(batches):
         held, size = [], 0
@@ -135,17 +143,16 @@ def frequencies(sets: DataFrame, bits: int) -> DataFrame:
             rows = [(b, pack(np.diff(v[i:j] >> U(24), prepend=U(0)), np.minimum(c[i:j], 65535).astype("<u2"))) for b, i, j in by_bucket(v, bits)]
             return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-        for b in small(batches):
-            for s in b.column(0).to_pylist():
-                held.append(np.frombuffer(s, np.uint64))
-                size += len(held[-1])
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
+        for _, s in sets_of(batches, k, {}):
+            held.append(s)
+            size += len(s)
+            if size >= FLUSH:
+                yield flush()
+                held, size = [], 0
         if held:
             yield flush()
 
-    return sets.select("shingles").mapInArrow(run, "bucket int, blob binary")
+    return docs.select("text").mapInArrow(run, "bucket int, blob binary")
 
 
 def heavy_shingles(blobs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +192,7 @@ def heavy_shingles(blobs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return v[order], level[order]
 
 
-def root_regions(sets: DataFrame, bits: int, heavy) -> DataFrame:
+def root_regions(docs: DataFrame, k: int, names: dict, bits: int, heavy) -> DataFrame:
     """(bucket, blob): the shingles in each set's first places, with the set, its size and whether the smaller set's bound holds."""
 
     def run(batches):
@@ -203,26 +210,24 @@ def root_regions(sets: DataFrame, bits: int, heavy) -> DataFrame:
                 rows.append((b, pack(np.diff(s[i:j], prepend=U(0)), local.astype("<u4"), near[i:j].astype("u1"), ids[used], ns[used])))
             return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-        for b in small(batches):
-            for node, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = np.frombuffer(data, np.uint64)
-                n = len(s)
-                top, often = s >> U(24), np.zeros(n, np.uint8)
-                if len(v):
-                    at = np.minimum(np.searchsorted(v, top), len(v) - 1)
-                    often = np.where(v[at] == top, level[at] + np.uint8(1), np.uint8(0))
-                wide, narrow = n - -(-4 * n // 5) + 1, n - -(-8 * n // 9) + 1
-                first = np.lexsort((mix(s ^ STEP_ORDER), often))[:wide]
-                held.append((s[first], np.full(wide, len(nodes)), np.arange(wide) < narrow))
-                nodes.append((node, n))
-                size += wide
-                if size >= FLUSH // 2:
-                    yield flush()
-                    held, nodes, size = [], [], 0
+        for node, s in sets_of(batches, k, names):
+            n = len(s)
+            top, often = s >> U(24), np.zeros(n, np.uint8)
+            if len(v):
+                at = np.minimum(np.searchsorted(v, top), len(v) - 1)
+                often = np.where(v[at] == top, level[at] + np.uint8(1), np.uint8(0))
+            wide, narrow = n - -(-4 * n // 5) + 1, n - -(-8 * n // 9) + 1
+            first = np.lexsort((mix(s ^ STEP_ORDER), often))[:wide]
+            held.append((s[first], np.full(wide, len(nodes)), np.arange(wide) < narrow))
+            nodes.append((node, n))
+            size += wide
+            if size >= FLUSH // 2:
+                yield flush()
+                held, nodes, size = [], [], 0
         if held:
             yield flush()
 
-    return sets.select("node", "shingles").mapInArrow(run, "bucket int, blob binary")
+    return docs.select("text").mapInArrow(run, "bucket int, blob binary")
 
 
 STEP_ORDER = U(0xA0761D6478BD642F)
@@ -315,16 +320,27 @@ def groups_in(sets: list[np.ndarray], eps: float = EPS) -> np.ndarray:
     return np.array([find(i) for i in range(len(sets))])
 
 
-def whole_sets(sets: DataFrame, bits) -> DataFrame:
-    """node, n, shingles of each of ``sets`` whose place in the bitmap is set."""
+def whole_sets(docs: DataFrame, k: int, names: dict, bits) -> DataFrame:
+    """node, n, shingles of each set whose place in the bitmap is set, once a task."""
 
     def run(batches):
-        on = bits.value
-        for b in small(batches):
-            p = b.column(0).to_numpy() % (1 << BITMAP)
-            yield b.filter(pa.array(on[p >> 3] >> (p & 7) & 1 > 0))
+        on, rows, size = bits.value, [], 0
+
+        def flush():
+            return pa.RecordBatch.from_pydict({"node": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([len(r[1]) // 8 for r in rows], pa.int64()), "shingles": pa.array([r[1] for r in rows], pa.binary())})
+
+        for node, s in sets_of(batches, k, names):
+            p = node % (1 << BITMAP)
+            if on[p >> 3] >> (p & 7) & 1:
+                rows.append((node, s.tobytes()))
+                size += len(s)
+                if size >= FLUSH // 4:
+                    yield flush()
+                    rows, size = [], 0
+        if rows:
+            yield flush()
 
-    return sets.select("node", "n", "shingles").mapInArrow(run, "node long, n long, shingles binary")
+    return docs.select("text").mapInArrow(run, "node long, n long, shingles binary")
 
 
 def region_groups(members: DataFrame) -> DataFrame:
@@ -450,15 +466,16 @@ def grouped(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, print (of the text), n, root (null without shingles) of each row of ``docs`` (doc_id long, print long, text)."""
     spark = docs.sparkSession
     bits = max(6, (8 * input_partitions(spark) - 1).bit_length())
-    own = named(cut(own_sets(docs, k), "sets"))
-    sets = own.filter("shingles is not null")
-    heavy = spark.sparkContext.broadcast(heavy_shingles(frequencies(sets, bits)))
-    close = cut(root_regions(sets, bits, heavy).groupBy("bucket").applyInPandas(attached, "a long, b long").distinct(), "attached")
+    own = cut(own_sets(docs, k), "sets")
+    names = shared_names(own)
+    own = named(own, names)
+    heavy = spark.sparkContext.broadcast(heavy_shingles(frequencies(docs, k, bits)))
+    close = cut(root_regions(docs, k, names, bits, heavy).groupBy("bucket").applyInPandas(attached, "a long, b long").distinct(), "attached")
     links = None
     if close.limit(1).count():
         region = components(close)
         kept = spark.sparkContext.broadcast(bitmap(region.select("node"), BITMAP))
-        members = cut(whole_sets(sets, kept).join(region, "node").select(F.col("root").cast("string").alias("region"), "node", "n", "shingles"), "members")
+        members = cut(whole_sets(docs, k, names, kept).join(region, "node").select(F.col("root").cast("string").alias("region"), "node", "n", "shingles"), "members")
         links = cut(join_regions(members), "links")
         forget(members)
     forget(close)

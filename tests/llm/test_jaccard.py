@@ -104,7 +104,7 @@ def test_cells_lose_no_pair_and_pivots_need_not_be_near():
 
 def test_names_that_two_fingerprints_share(spark):
     own = spark.createDataFrame([(1, 5, 10), (2, 5, 11), (3, 5, 10), (4, 6, 10), (5, None, None)], "doc_id long, low long, high long")
-    node = {r["doc_id"]: r["node"] for r in jaccard.named(own).collect()}
+    node = {r["doc_id"]: r["node"] for r in jaccard.named(own, jaccard.shared_names(own)).collect()}
     assert node[1] == node[3] != node[2] and node[4] == 6 and node[5] is None and len(set(node.values())) == 4
 
 
