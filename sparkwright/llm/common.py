@@ -62,6 +62,12 @@ def small(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa
             yield b.slice(i, step)
 
 
+def unused(df: DataFrame, n: int) -> list[str]:
+    """``n`` names that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    return [name for i in range(n + len(taken)) if (name := f"own_{i}") not in taken][:n]
+
+
 def input_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,7 +30,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkwright.llm.surrogates import surrogated
 
-    return surrogated(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+    return surrogated(read(spark, sf_dir, "documents"), key="a key for tests, not a secret").select("doc_id", "text", "n_replaced")
 
 
 def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
