@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from sparkwright.llm import line_dedup
 from sparkwright.llm.line_dedup import duplicate_lines, line_deduped, line_report
 
 from .helpers import documents, empty, frame
@@ -16,7 +19,7 @@ def within_one(a, b):
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def brute(rows, least=16):
+def brute(rows, share=1 / 16):
     """{(doc_id, text): {line: earlier line's place}}, places by doc_id (null first), text, line."""
     seen, gone = [], {}
     docs = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -25,7 +28,7 @@ def brute(rows, least=16):
             line = raw.strip(" \t\r\x0b\x0c")
             if not line:
                 continue
-            if any(line == x or (min(len(line), len(x)) >= least and within_one(line, x)) for x in seen):
+            if any(line == x or (min(len(line), len(x)) * share >= 1 and within_one(line, x)) for x in seen):
                 gone.setdefault(doc, set()).add(at)
             seen.append(line)
     return gone
@@ -55,6 +58,24 @@ def test_against_all_pairs(spark):
     assert texts == {i: "\n".join(x for at, x in enumerate(t.split("\n")) if at not in want.get((i, t), ())) for i, t, *_ in rows}
 
 
+@pytest.mark.parametrize(("share", "piece"), [(1.0, 7), (0.25, 4096), (0.0, 4096)])
+def test_any_length_and_pieces(spark, monkeypatch, share, piece):
+    monkeypatch.setattr(line_dedup, "PIECE", piece)
+    rows = sample(9)
+    got = {r["doc_id"]: set(r["gone"]) for r in line_report(frame(spark, rows), share).collect()}
+    assert got == {k[0]: v for k, v in brute(rows, share).items()}
+
+
+def test_long_lines_and_columns_of_any_name(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh") for _ in range(30_000))
+    rows = [(1, long), (2, long[:20_000] + "Z" + long[20_001:]), (3, long[:5] + long[6:]), (4, long[:9] + "YY" + long[11:]), (4, None)]
+    df = spark.createDataFrame([(*r, 7, 8, 9, 1.5) for r in rows], "doc_id long, text string, __id int, own_0 int, gone int, `a.b` double")
+    out = line_deduped(df)
+    assert out.columns == df.columns
+    assert sorted((r["doc_id"], -1 if r["text"] is None else len(r["text"]), r["__id"], r["own_0"], r["gone"], r["a.b"]) for r in out.collect()) == [(1, 30_000, 7, 8, 9, 1.5), (2, 0, 7, 8, 9, 1.5), (3, 0, 7, 8, 9, 1.5), (4, -1, 7, 8, 9, 1.5), (4, 30_000, 7, 8, 9, 1.5)]
+
+
 def test_awkward(spark):
     rows = [r for r in documents() if len(r[1] or "") < 5000] + [(5000, "only\n\nonly\nonly line of this text here", "en", "s"), (5001, "Only line of this text here", "en", "s"), (5002, "only line of this texts here", "en", "s")]
     out = line_deduped(frame(spark, rows))
