@@ -5,19 +5,21 @@ ignores those at its zeros, so a window's hash survives substitutions there. Has
 test items are joined with those of the documents; around each hit the words of item and passage are compared along
 the hit's diagonal, and the longest stretch is taken of which at least ``agree`` fifths are equal words. A document is
 contaminated by an item if that stretch has at least ``least`` words, or covers an item that is shorter. Items with fewer
-words than ``SPAN`` are found as a whole, without substitutions.
+words than ``SPAN`` are found as a whole: there is a mask for each way to ignore the fifth of their words that may differ.
 
 The masks miss no such stretch: some window of some mask is free of substitutions, whichever fifth of the words they are
 (enumerated for 12 to 25 words in the tests; of a longer stretch one half has 13 words or more and four fifths equal).
 
-A bitmap of fixed size (2 MB), in which each of the items' hashes sets two places, goes to the documents' tasks; only
-windows whose two places are set, with the words around them, are shuffled. Items with equal words are searched for once.
+A bitmap, in which each of the items' hashes sets two places, goes to the documents' tasks: 32 bits a hash, from 128 KB to
+32 MB; only windows whose two places are set, with the words around them, are shuffled. Items with equal words are
+searched for once, and a hash that many passages share meets each distinct item once.
 """
 
 from __future__ import annotations
 
 import uuid
 from bisect import bisect_left
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import bitmap, cut, small
+from sparkwright.llm.common import bitmap, cut, small, unused
 from sparkwright.llm.shingles import ALNUM, U, mix, windows, word_blocks
 
 MASKS = ("1111011", "110000010111", "1110001011", "1110111")
-SPAN, BITS = 12, 24
+SPAN = 12
 LEAST, AGREE = 13, 4
 
 
@@ -37,10 +39,16 @@ def kept(mask: str) -> tuple[int, ...]:
     return tuple(i for i, c in enumerate(mask) if c == "1")
 
 
-def seeds(h: np.ndarray, lengths: list[int], masks: tuple[str, ...] = MASKS) -> list[tuple[int, np.ndarray]]:
-    """(kind, hashes by position): one for each mask, and one for each length of short items."""
-    out = [(m, mix(windows(h, len(mask), kept(mask)) + U(m + 1))) for m, mask in enumerate(masks)]
-    return out + [(100 + n, mix(windows(h, n) + U(100 + n))) for n in lengths]
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """The places that stay of an item of n words, for each way to ignore as many as may differ."""
+    gone = n - -(-AGREE * n // 5)
+    return [tuple(i for i in range(n) if i not in c) for c in combinations(range(n), gone)]
+
+
+def seeds(h: np.ndarray, lengths: list[int], masks: tuple[str, ...] = MASKS) -> list[np.ndarray]:
+    """Hashes by position: one array for each mask, and one for each mask of each length of short items."""
+    out = [mix(windows(h, len(mask), kept(mask)) + U(m + 1)) for m, mask in enumerate(masks)]
+    return out + [mix(windows(h, n, places) + U(1000 * n + k)) for n in lengths for k, places in enumerate(short_masks(n))]
 
 
 def lower_bytes(texts: list[str | None]) -> list[bytes | None]:
@@ -68,14 +76,14 @@ def item_seeds(items: DataFrame) -> DataFrame:
         for f in frames:
             for key, data in zip(f["key"], f["words"], strict=True):
                 h = np.frombuffer(data, np.uint64)
-                for _, s in seeds(h, [len(h)], ()) if len(h) < SPAN else seeds(h, []):
+                for s in seeds(h, [len(h)], ()) if len(h) < SPAN else seeds(h, []):
                     if len(s):
                         yield pd.DataFrame({"key": key, "hash": s.astype(np.int64), "at": np.arange(len(s))})
 
     return items.select("key", "words").dropDuplicates(["key"]).mapInPandas(run, "key string, hash long, at long")
 
 
-def passages(docs: DataFrame, bits, lengths: list[int], longest: int, keep: list[str]) -> DataFrame:
+def passages(docs: DataFrame, bits, size: int, lengths: list[int], longest: int, keep: list[str]) -> DataFrame:
     """Stretches of documents around windows that pass the bitmap: keep..., pid, start, words, hits (hash, at)."""
 
     def run(batches):
@@ -84,10 +92,10 @@ def passages(docs: DataFrame, bits, lengths: list[int], longest: int, keep: list
             texts, rows = lower_bytes(b.column(len(keep)).to_pylist()), []
             for first, bounds, h in word_blocks(texts, ALNUM):
                 found = []
-                for _, s in seeds(h, lengths):
+                for s in seeds(h, lengths):
                     at = np.arange(len(s))
-                    for shift in (0, BITS):
-                        p = (s[at] >> U(shift) & U((1 << BITS) - 1)).astype(np.int64)
+                    for shift in (0, size):
+                        p = (s[at] >> U(shift) & U((1 << size) - 1)).astype(np.int64)
                         at = at[on[p >> 3] >> (p & 7) & 1 > 0]
                     found.append(np.stack([at, s[at].astype(np.int64)], axis=1))
                 hits = np.concatenate(found)
@@ -103,7 +111,7 @@ def passages(docs: DataFrame, bits, lengths: list[int], longest: int, keep: list
             yield pa.RecordBatch.from_arrays([*own, pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int64())])))], names=[*keep, "pid", "start", "words", "hits"])
 
     schema = docs.select(*keep, F.lit("").alias("pid"), F.lit(0).cast("long").alias("start"), F.lit(b"").alias("words"), F.expr("array(struct(0L as hash, 0L as at))").alias("hits")).schema
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def longest_stretch(equal: list[bool], agree: int = AGREE) -> tuple[int, int]:
@@ -127,8 +135,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
     """One row for each document and item whose words it holds: ``keep``, item_id, at (first word), overlap_words, equal_words.
 
     ``docs`` has the columns ``keep`` and text, ``benchmark`` item_id and text. Rows of ``docs`` that agree in ``keep``
-    are one document. Null and empty texts hold nothing; a null item_id is an item like others; either table may be
-    empty. Clean documents have no row.
+    are one document; rows that repeat change nothing. Null and empty texts hold nothing; a null item_id is an item like
+    others; either table may be empty. Texts are whole, whatever their length; of equally long stretches the one with more
+    equal words counts, then the earlier. Other columns are ignored. Clean documents have no row.
     """
     spark = docs.sparkSession
     keep = list(keep)
@@ -136,9 +145,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
     spread = items.agg(F.max("n")).first()[0] or 0
     lengths = [r["n"] for r in items.filter(F.col("n") < SPAN).select("n").distinct().collect()]  # below SPAN different ones
     targets = cut(item_seeds(items), "item-seeds")
-    places = targets.select("hash").union(targets.select(F.shiftright("hash", BITS)))
-    bits = spark.sparkContext.broadcast(bitmap(places, BITS))
-    found = cut(passages(docs, bits, lengths, max(int(spread), SPAN), keep), "passages")
+    size = min(28, max(20, (32 * targets.count()).bit_length()))
+    places = targets.select("hash").union(targets.select(F.shiftright("hash", size)))
+    bits = spark.sparkContext.broadcast(bitmap(places, size))
+    found = cut(passages(docs, bits, size, lengths, max(int(spread), SPAN), keep), "passages")
     hits = found.select("pid", F.explode("hits").alias("h")).select("pid", "h.hash", F.col("h.at").alias("place")).distinct()
     diagonals = hits.join(targets, "hash").select("pid", "key", (F.col("place") - F.col("at")).alias("shift")).distinct()
     words = items.select("key", F.col("words").alias("item"), "n").dropDuplicates(["key"])
@@ -165,12 +175,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
     return best.join(named, "key").select(*keep, "item_id", (-F.col("b.at")).alias("at"), "b.overlap_words", "b.equal_words")
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__print", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-
-
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """``docs`` without the rows that hold words of an item, by text, so whatever their doc_id is; columns unchanged."""
-    marked = fingerprinted(docs)
-    bad = contaminations(marked, benchmark, ("__print",), least).select("__print").distinct()
-    return marked.join(bad, "__print", "left_anti").select(*docs.columns)
+    """``docs`` without the rows that hold words of an item, by text, so whatever their doc_id is; columns unchanged, whatever their names."""
+    (mark,) = unused(docs, 1)
+    marked = docs.withColumn(mark, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    bad = contaminations(marked, benchmark, (mark,), least).select(mark).distinct()
+    return marked.join(bad, mark, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
