@@ -2,7 +2,8 @@
 
 Largest inner product becomes smallest Euclidean distance by one more component, sqrt(M^2 - |x|^2) for vectors and 0
 for queries. Lists come from k-means over a sample of at most ``SAMPLE`` distinct vectors; every vector is put in the
-list of its nearest centre, and a query probes the ``PROBE`` share of the lists whose centres are nearest.
+list of its nearest centre, and a query probes the ``PROBE`` share of the lists whose centres are nearest. Their number
+is the root of the number of vectors, and at most an eighth of the sample.
 
 Within a list vectors and queries are turned by one random rotation and compared in blocks of columns. After each
 block, a candidate's partial squared distance, scaled to all dimensions, is tested against the distance of the
@@ -10,7 +11,8 @@ query's best so far: if it is too large by more than chance allows (a factor (1
 seen), the candidate is abandoned. Survivors get their inner product from the original vectors in double precision.
 
 Equal vectors are indexed once, with their smallest ids (k + 1 of them: no result can use more). Lists are dealt in
-slices of bounded size and a list's queries in groups of bounded size, so neither a hot list nor a hot query is one task.
+slices of at most ``SLICE`` vectors. Vectors are shuffled once, to their slice; queries go to the slices of the lists that
+they probe, and pass by the slice's vectors, held in memory, as a stream in groups of ``QUERIES``.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.llm.common import cut
 
 SAMPLE, PROBE, EPSILON, COLUMNS = 20_000, 0.65, 2.1, 16
-SLICE, QUERIES = 4096, 1024
+SLICE, QUERIES = 16_384, 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -51,6 +53,12 @@ def fit(sample: np.ndarray, lists: int, seed: int = 5, rounds: int = 12) -> np.n
     return c
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of equally long lists of numbers as rows."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
 def rotation(d: int, seed: int = 11) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).standard_normal((d, d)))[0]
 
@@ -116,49 +124,79 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, probe: float = PRO
     if not n:
         found = spark.createDataFrame([], out)
     else:
-        lists = lists or max(1, min(500, n // 8, round(math.sqrt(n))))
-        few = distinct.select("v").orderBy(F.xxhash64("key", F.lit(3)), "key").limit(sample).toPandas()
-        x = extended(np.array(few["v"].tolist()), norm2)
-        lists = min(lists, len(x))
+        few = distinct.select("v").orderBy(F.xxhash64("key", F.lit(3)), "key").limit(sample).toArrow()
+        x = extended(matrix(few.column(0).combine_chunks()), norm2)
+        lists = max(1, min(lists or max(1, min(n, len(x)) // 8), round(math.sqrt(n)), len(x)))
         c = fit(x, lists)
         turn, probes = rotation(x.shape[1]), max(1, math.ceil(probe * lists))
-
-        def assigned(frames):
-            for f in frames:
-                if len(f):
-                    e = extended(np.array(f["v"].tolist()), norm2)
-                    yield f.assign(list=(e @ c.T - 0.5 * (c**2).sum(axis=1)).argmax(axis=1))
-
-        def probing(frames):
-            for f in frames:
-                if len(f):
-                    q = np.array(f["v"].tolist())
-                    near = np.argsort(-(q @ c[:, :-1].T - 0.5 * (c**2).sum(axis=1)), axis=1, kind="stable")[:, :probes]
-                    yield f.assign(lists=near.tolist())
-
-        placed = cut(distinct.mapInPandas(assigned, "key long, v array<double>, least long, list int"), "lists")
-        sizes = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # at most 500
-        asking = cut(queries.groupBy(F.col("key").alias("query_key")).agg(F.first("v").alias("v")).mapInPandas(probing, "query_key long, v array<double>, lists array<int>"), "queries")
-        groups = max(1, -(-asking.count() // QUERIES))
-        slices = F.element_at(F.array(*[F.lit(max(1, -(-sizes.get(i, 0) // SLICE))) for i in range(lists)]), F.col("list") + 1)
-        left = placed.withColumn("slice", F.pmod(F.xxhash64("key"), slices).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        right = asking.withColumn("group", F.pmod(F.xxhash64("query_key"), F.lit(groups)).cast("int")).withColumn("list", F.explode("lists")).drop("lists")
-        right = right.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
-
-        def search(xs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-            got = {"query_key": [], "key": [], "least": [], "score": []}
-            if len(xs) and len(qs):
-                x, q = np.array(xs["v"].tolist()), np.array(qs["v"].tolist())
-                least = xs["least"].to_numpy()
-                of, row = scan(extended(x, norm2) @ turn, np.hstack([q, np.zeros((len(q), 1))]) @ turn, k + 1)
+        step = max(1, (1 << 22) // lists)
+
+        def assigned(batches):
+            for b in batches:
+                e = extended(matrix(b.column("v")), norm2)
+                near = [(e[i : i + step] @ c.T - 0.5 * (c**2).sum(axis=1)).argmax(axis=1) for i in range(0, len(e), step)]
+                if near:
+                    yield pa.RecordBatch.from_arrays([b.column("key"), b.column("v"), b.column("least"), pa.array(np.concatenate(near), pa.int32())], names=["key", "v", "least", "list"])
+
+        def probing(batches):
+            for b in batches:
+                q = matrix(b.column("v"))
+                for i in range(0, len(q), step):
+                    far = 0.5 * (c**2).sum(axis=1) - q[i : i + step] @ c[:, :-1].T
+                    near = np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)
+                    part = b.slice(i, step)
+                    yield pa.RecordBatch.from_arrays([part.column("query_key"), part.column("v"), pa.array(list(near), pa.list_(pa.int32()))], names=["query_key", "v", "lists"])
+
+        placed = cut(distinct.select("key", "v", "least").mapInArrow(assigned, "key long, v array<double>, least long, list int"), "lists")
+        slices = placed.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))  # a row a list, so at most an eighth of the sample
+        asking = queries.groupBy(F.col("key").alias("query_key")).agg(F.first("v").alias("v")).mapInArrow(probing, "query_key long, v array<double>, lists array<int>")
+        dealt = F.pmod(F.xxhash64("key"), F.col("slices")).cast("int")
+        left = placed.join(F.broadcast(slices), "list").select("list", dealt.alias("slice"), F.lit(False).alias("asks"), "key", "least", "v")
+        right = asking.select("query_key", "v", F.explode("lists").alias("list")).join(F.broadcast(slices), "list")
+        right = right.select("list", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("asks"), F.col("query_key").alias("key"), F.lit(0).cast("long").alias("least"), "v")
+
+        def search(batches):
+            at, held, ready, waiting = None, [], None, []
+
+            def answers():
+                nonlocal ready
+                if ready is None:
+                    x = np.concatenate([h[0] for h in held])
+                    ready = x, extended(x, norm2) @ turn, np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+                x, turned, key, least = ready
+                q, query = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
+                waiting.clear()
+                of, row = scan(turned, np.hstack([q, np.zeros((len(q), 1))]) @ turn, k + 1)
                 score = (x[row] * q[of]).sum(axis=1)
                 order = np.lexsort((least[row], -score, of))
                 of, row, score = of[order], row[order], score[order]
                 top = np.arange(len(of)) - np.searchsorted(of, of) <= k
-                got = {"query_key": qs["query_key"].to_numpy()[of[top]], "key": xs["key"].to_numpy()[row[top]], "least": least[row[top]], "score": score[top]}
-            return pd.DataFrame(got)
-
-        found = left.groupBy("list", "slice", "group").cogroup(right.groupBy("list", "slice", "group")).applyInPandas(search, out)
+                return pa.RecordBatch.from_pydict({"query_key": query[of[top]], "key": key[row[top]], "least": least[row[top]], "score": score[top]})
+
+            for b in batches:
+                groups = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+                edges = [0, *(np.flatnonzero((groups[1:] != groups[:-1]).any(axis=1)) + 1).tolist(), len(groups)]
+                for i, j in zip(edges[:-1], edges[1:], strict=True):
+                    if i == j:
+                        continue
+                    if at != tuple(groups[i, :2]):
+                        if waiting and held:
+                            yield answers()
+                        at, held, ready, waiting = tuple(groups[i, :2]), [], None, []
+                    part = b.slice(i, j - i)
+                    v, key = matrix(part.column(5)), part.column(3).to_numpy()
+                    if not groups[i, 2]:
+                        held.append((v, key, part.column(4).to_numpy()))
+                        continue
+                    for y in range(0, len(v) if held else 0, QUERIES):
+                        waiting.append((v[y : y + QUERIES], key[y : y + QUERIES]))
+                        if sum(len(w[0]) for w in waiting) >= QUERIES:
+                            yield answers()
+            if waiting and held:
+                yield answers()
+
+        both = left.union(right).repartition("list", "slice").sortWithinPartitions("list", "slice", "asks")
+        found = both.mapInArrow(search, out)
     best = Window.partitionBy("query_key").orderBy(F.desc("score"), "least")
     top = found.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1).select("query_key", "key", "score")
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("key").alias("query_key")).distinct()
