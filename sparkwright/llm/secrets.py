@@ -2,16 +2,21 @@
 
 Candidates are what broad rules find: long runs of key characters with a digit, known key prefixes, and what is
 assigned to a name such as password or token. Each is described by its length, its transitions between kinds of
-characters and how usual its letter pairs are, the share of it that words of a dictionary cover, its variety, the path
+characters and how usual its letter pairs are, the share of it that words of the dictionary cover, its variety, the path
 (source) it comes from, and the words around it. A random forest trained from labelled findings gives the probability
 of a secret; candidates below ``least`` are dropped.
 
+Dictionary and letter pairs are counted from the corpus: words of at least ``SHARE`` of all its words (so at most
+1 / SHARE) and those of a short list, and the pairs in all its words by their number.
+
 ``findings``: candidate, before, after, path, label (0 or 1). The default is a set made here by rules, of ``FINDINGS``
 rows; a reviewed set takes its place by the same columns. Fitting uses at most ``FIT`` rows, taken by hash.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,8 +25,9 @@ from pyspark.sql import functions as F
 
 from sparkwright.llm.common import cut
 
-FINDINGS, FIT = 6000, 50_000
+FINDINGS, FIT, SHARE = 6000, 50_000, 1e-4
 BEFORE, AFTER = 48, 24
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Names that secrets are assigned to, key prefixes, words of doubt, the dictionary, usual letter pairs.
 NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "credential", "private_key", "bearer")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "sk_live_", "AIza", "glpat-")
@@ -49,7 +55,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")).alias("path"), F.col("text").cast("string").alias("text"))
     may = own.filter(text.rlike(MAY))
     both = may.select("doc_id", "path", F.split(text, CANDIDATE).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("found")).filter(F.size("found") > 0)
-    around = F.transform("found", lambda c, i: F.struct(c.alias("candidate"), F.right(F.element_at("gaps", i + 1), F.lit(BEFORE)).alias("before"), F.left(F.element_at("gaps", i + 2), F.lit(AFTER)).alias("after")))
+    part = lambda column, at: F.coalesce(F.get(column, at), F.lit(""))
+    # neighbours count as words around, so up to two of them and their gaps are part of what stands before and after
+    before = lambda i: F.right(F.concat(*[x for k in (2, 1) for x in (F.right(part("gaps", i - k), F.lit(BEFORE)), F.right(part("found", i - k), F.lit(BEFORE)))], part("gaps", i)), F.lit(BEFORE))
+    after = lambda i: F.left(F.concat(part("gaps", i + 1), *[x for k in (1, 2) for x in (F.left(part("found", i + k), F.lit(AFTER)), F.left(part("gaps", i + k + 1), F.lit(AFTER)))]), F.lit(AFTER))
+    around = F.transform("found", lambda c, i: F.struct(c.alias("candidate"), before(i).alias("before"), after(i).alias("after")))
     return both.select("doc_id", "path", F.posexplode(around).alias("at", "c")).select("doc_id", "path", "at", "c.*")
 
 
@@ -57,17 +67,46 @@ def share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def described(rows: DataFrame) -> DataFrame:
+def vocabulary(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    """word, n, usual (boolean: at least ``share`` of all words) of the corpus's words of 2 to 16 letters, all of DICTIONARY being usual."""
+    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter("length(word) between 2 and 16")
+    base = docs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in DICTIONARY])).alias("word"), F.lit(1).cast("long").alias("n"), F.lit(True).alias("base"))
+    every = words.withColumn("base", F.lit(False)).union(base).groupBy("word").agg(F.sum("n").alias("n"), F.max("base").alias("base"))
+    total = every.agg(F.sum("n").alias("all"))
+    return every.crossJoin(F.broadcast(total)).select("word", "n", (F.col("base") | (F.col("n") >= share * F.col("all"))).alias("usual"))
+
+
+def pair_weights(words: DataFrame) -> list[float]:
+    """The logarithm of each second letter's share after each first one (26 x 26, row by row) in the words by their number, one being added to each count."""
+    pairs = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))).alias("pair"))
+    counts = {r["pair"]: r["c"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("c")).collect()}  # at most 676
+    first = {a: sum(counts.get(a + b, 0) for b in LETTERS) for a in LETTERS}
+    return [math.log((counts.get(a + b, 0) + 1) / (first[a] + 26)) for a in LETTERS for b in LETTERS]
+
+
+def covered(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """key (hash of a candidate), covered: how many of its characters stand in usual words of 3 letters or more, cut at capitals and signs."""
+    parts = rows.select(F.sha2("candidate", 256).alias("key"), "candidate").dropDuplicates(["key"])
+    each = parts.select("key", F.explode(F.regexp_extract_all("candidate", F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}"), 0)).alias("part")).withColumn("word", F.lower("part"))
+    return each.join(words.filter("usual and length(word) > 2").select("word"), "word").groupBy("key").agg(F.sum(F.length("part")).alias("covered"))
+
+
+def described(rows: DataFrame, words: DataFrame, weights: list[float]) -> DataFrame:
     """``rows`` (candidate, before, after, path) with the FEATURES; nulls count as empty."""
+    rows = rows.withColumn("candidate", F.coalesce("candidate", F.lit("")))
+    own = rows.withColumn("key", F.sha2("candidate", 256)).join(covered(rows, words), "key", "left").drop("key")
     c, before, after, path = (F.coalesce(F.col(x), F.lit("")) for x in ("candidate", "before", "after", "path"))
     n, low = F.length(c), F.lower(c)
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[a-z]", "l"), r"[A-Z]", "u"), r"\d", "d")
     near = F.lower(F.concat(before, F.lit(" "), after))
+    table = F.array(*[F.lit(w) for w in weights])
+    letters = F.transform(F.split(F.regexp_replace(low, r"[^a-z]", ""), ""), lambda x: F.ascii(x) - 97)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(letters) - 1, F.lit(1))), lambda i: F.coalesce(F.get(table, F.get(letters, i - 1) * 26 + F.get(letters, i)), F.lit(0.0)))
     values = {
         "length": n,
         "transitions": share(F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1, n),
-        "pairs": share(n - F.length(F.regexp_replace(low, either(PAIRS), "_")), n),
-        "covered": share(n - F.length(F.regexp_replace(low, either(tuple(sorted(DICTIONARY, key=len, reverse=True))), "")), n),
+        "pairs": share(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x), F.size(pairs)),
+        "covered": share(F.coalesce("covered", F.lit(0)), n),
         "variety": share(F.size(F.array_distinct(F.split(c, ""))), n),
         "digits": share(n - F.length(F.regexp_replace(c, r"\d", "")), n),
         "uppers": share(n - F.length(F.regexp_replace(c, r"[A-Z]", "")), n),
@@ -82,7 +121,7 @@ def described(rows: DataFrame) -> DataFrame:
         "test_path": F.lower(path).rlike(r"test|spec|fixture|example|sample|mock|docs?/"),
         "words_around": share(F.size(F.split(F.trim(near), r"\s+")), F.lit(12)),
     }
-    return rows.withColumns({f"f_{k}": v.cast("double") for k, v in values.items()})
+    return own.withColumns({f"f_{k}": v.cast("double") for k, v in values.items()})
 
 
 def made_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
@@ -111,10 +150,11 @@ def made_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     return rows.select("candidate", F.right("before", F.lit(BEFORE)).alias("before"), F.left(F.concat("tail", "next"), F.lit(AFTER)).alias("after"), "path", "label")
 
 
-def fit(findings: DataFrame, most: int = FIT, trees: int = 24, depth: int = 8, seed: int = 7) -> RandomForestClassificationModel:
+def fit(findings: DataFrame, words: DataFrame, weights: list[float], most: int = FIT, trees: int = 24, depth: int = 8, seed: int = 7) -> RandomForestClassificationModel:
     """The forest; of more than ``most`` findings, those of the smallest hashes are used. Rows without a label are left out."""
     rows = findings.filter("label is not null").orderBy(F.xxhash64("candidate", "before", "after"), "candidate").limit(most)
-    return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(assembled(described(rows)).select("features", F.col("label").cast("double").alias("label")))
+    described_rows = assembled(described(rows, words, weights)).select("features", F.col("label").cast("double").alias("label"), "candidate", "before", "after")
+    return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(described_rows.orderBy(F.xxhash64("candidate", "before", "after"), "candidate").coalesce(1))
 
 
 def assembled(rows: DataFrame) -> DataFrame:
@@ -124,12 +164,14 @@ def assembled(rows: DataFrame) -> DataFrame:
 def secrets(docs: DataFrame, findings: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """doc_id, at, candidate, before, after, probability of each candidate in ``docs`` (doc_id, text, and source if there) that stays.
 
-    A null or empty text has none; rows are judged one by one, so repeated rows agree; an empty table gives no rows.
+    A null or empty text has none; texts and candidates of any length are whole; rows are judged one by one, so repeated
+    rows agree and nothing is tied. Other columns, whatever their names, are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    model = fit(made_findings(spark) if findings is None else findings)
+    words = cut(vocabulary(docs), "vocabulary")
+    weights = pair_weights(words)
+    model = fit(made_findings(docs.sparkSession) if findings is None else findings, words, weights)
     found = cut(candidates(docs), "candidates")
-    judged = model.transform(assembled(described(found))).withColumn("probability", F.round(vector_to_array("probability")[1], 6))
+    judged = model.transform(assembled(described(found, words, weights))).withColumn("probability", F.round(vector_to_array("probability")[1], 6))
     return judged.filter(F.col("probability") >= least).select("doc_id", "at", "candidate", "before", "after", "probability")
 
 
