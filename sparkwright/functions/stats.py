@@ -6,12 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions.scalars import uniform
-from sparkwright.functions.windows import average_rank
-
-
-def numbered(df: DataFrame, *order) -> DataFrame:
-    """``df`` with i (from 0) and n; for the few rows of a result, as it takes one task."""
-    return df.withColumn("i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+from sparkwright.operators.ordered import average_ranks, running
 
 
 def resampled(values: DataFrame, repetitions: int, seed: int, salt: str = "") -> DataFrame:
@@ -46,8 +41,7 @@ def fisher_two_sided(table: DataFrame) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    ranks = df.select(average_rank(F.col(x)).alias("rx"), average_rank(F.col(y)).alias("ry"))
-    return ranks.agg(guarded_corr("rx", "ry").alias("rho"))
+    return average_ranks(df.select(x, y), {"rx": F.col(x), "ry": F.col(y)}).agg(guarded_corr("rx", "ry").alias("rho"))
 
 
 def guarded_corr(x: str, y: str) -> Column:
@@ -64,11 +58,12 @@ def holm(df: DataFrame, p: str = "p") -> DataFrame:
     return scaled.withColumn("holm_p", F.max("__s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
 
 
-def concentration(counts: DataFrame, n: str) -> DataFrame:
-    """hhi and gini of the positive counts."""
-    ranked = counts.withColumn("r", F.row_number().over(Window.orderBy(n))).withColumn("t", F.sum(n).over(Window.partitionBy()))
+def concentration(counts: DataFrame, n: str, *keys: str) -> DataFrame:
+    """hhi and gini of the positive counts (by ``keys``); the counts of one key are few."""
+    own = Window.partitionBy(*keys)
+    ranked = counts.withColumn("r", F.row_number().over(own.orderBy(n))).withColumn("t", F.sum(n).over(own))
     m, t = F.count("*"), F.max("t")
-    return ranked.agg(F.sum(F.pow(F.col(n) / F.col("t"), 2)).alias("hhi"), (2 * F.sum(F.col("r") * F.col(n)) / (m * t) - (m + 1) / m).alias("gini"))
+    return ranked.groupBy(*keys).agg(F.sum(F.pow(F.col(n) / F.col("t"), 2)).alias("hhi"), (2 * F.sum(F.col("r") * F.col(n)) / (m * t) - (m + 1) / m).alias("gini"))
 
 
 def regression_metrics(y: str, p: str) -> list[Column]:
@@ -83,14 +78,23 @@ def classification_metrics(y: Column, p: Column) -> list[Column]:
     return [tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), safe(tp + tn, F.count("*")).alias("accuracy"), safe(tp, tp + fp).alias("precision"), safe(tp, tp + fn).alias("recall"), safe(2 * tp, 2 * tp + fp + fn).alias("f1"), ((safe(tp, tp + fn) + safe(tn, tn + fp)) / 2).alias("balanced_accuracy")]
 
 
-def ranking_metrics(df: DataFrame, y: str, score: str) -> DataFrame:
-    """roc_auc (null with one class), average_precision and brier; sorts by distinct score, so groups are small."""
-    by = df.groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("c"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumn("tp", F.sum("p").over(down)).withColumn("all", F.sum("c").over(down)).withColumn("yes", F.sum("p").over(Window.partitionBy())).withColumn("no", F.sum(F.col("c") - F.col("p")).over(Window.partitionBy()))
-    below = (F.col("no") - (F.col("all") - F.col("tp")))
-    out = run.agg(F.try_divide(F.sum(F.col("p") * (below + (F.col("c") - F.col("p")) / 2)), F.max(F.col("yes") * F.col("no"))).alias("roc_auc"), F.sum(F.try_divide(F.col("p"), F.col("yes")) * F.col("tp") / F.col("all")).alias("average_precision"))
-    return out.crossJoin(df.agg(F.avg(F.pow(F.col(score) - F.col(y).cast("double"), 2)).alias("brier")))
+def ranking_metrics(df: DataFrame, y: str, score: str, *keys: str) -> DataFrame:
+    """roc_auc (null with one class), average_precision and brier (by ``keys``), by running sums over the distinct scores.
+
+    One order serves all keys: what stands before a key's first score is subtracted.
+    """
+    by = df.groupBy(*keys, score).agg(F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("c"))
+    all_ = df.groupBy(*keys).agg(F.sum(F.col(y).cast("long")).alias("yes"), F.sum(1 - F.col(y).cast("long")).alias("no"), F.avg(F.pow(F.col(score) - F.col(y).cast("double"), 2)).alias("brier"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # a row a key
+    if keys:
+        all_ = all_.withColumns({"p0": F.coalesce(F.sum("yes").over(before), F.lit(0)), "c0": F.coalesce(F.sum(F.col("yes") + F.col("no")).over(before), F.lit(0))})
+    else:
+        all_ = all_.withColumns({"p0": F.lit(0), "c0": F.lit(0)})
+    run = running(by, [*keys, F.desc(score)], {"tp": F.col("p"), "all": F.col("c")})
+    run = run.join(all_, list(keys)) if keys else run.crossJoin(F.broadcast(all_))
+    tp, seen = F.col("tp") - F.col("p0"), F.col("all") - F.col("c0")
+    below = F.col("no") - (seen - tp)
+    return run.groupBy(*keys).agg(F.try_divide(F.sum(F.col("p") * (below + (F.col("c") - F.col("p")) / 2)), F.max(F.col("yes") * F.col("no"))).alias("roc_auc"), F.sum(F.try_divide(F.col("p"), F.col("yes")) * tp / seen).alias("average_precision"), F.max("brier").alias("brier"))
 
 
 def robust(df: DataFrame, keys: list[str], value: str, floor: float = 0.0) -> DataFrame:

@@ -43,3 +43,8 @@ def short_id(*parts: Column, n: int = 24) -> Column:
 
 def matches_any(c: Column, markers: list[str]) -> Column:
     return F.lower(c).rlike("|".join(re.escape(m.lower()) for m in markers))
+
+
+def without_fence(c: Column) -> Column:
+    """Text without the code fence around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^```(?i:json)?", ""), r"```$", ""))

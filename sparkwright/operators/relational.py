@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkwright.operators.ordered import running
+from sparkwright.operators.tables import written
+
 
 def completed(counts: DataFrame, keys: list[str], ts: str, values: list[str], hours: int = 1) -> DataFrame:
     """One row for each key and step from the first to the last time of the table, missing ``values`` as 0.
@@ -40,10 +44,23 @@ def next_after(left: DataFrame, right: DataFrame, keys: list[str], at: str, star
 
 
 def nearest(left: DataFrame, right: DataFrame, x: str, y: str, column: str) -> DataFrame:
-    """``left`` (few rows) with the value of ``column`` of the row of ``right`` nearest in y, smaller values first."""
-    pairs = right.select(column, y).crossJoin(F.broadcast(left))
-    best = F.min_by(F.struct(F.col(column), F.col(y)), F.struct(F.abs(F.col(x) - F.col(y)), F.col(column)))
-    return pairs.groupBy(*left.columns).agg(best.alias("__b")).select(*left.columns, F.col("__b")[column].alias(f"nearest_{column}"), F.abs(F.col(x) - F.col("__b")[y]).alias("distance"))
+    """``left`` with the value of ``column`` of the row of ``right`` nearest in y, smaller values first.
+
+    Both sides stand in one order, range-partitioned; a row's candidates are the last row of ``right`` before it and the
+    first after it, each partition learning its neighbours' from one row a partition.
+    """
+    best = right.groupBy(F.col(y).cast("double").alias("__t")).agg(F.min(column).alias("__v")).filter("__t is not null")
+    own = left.withColumn("__own", F.struct(*left.columns)).select(F.col(x).cast("double").alias("__t"), F.lit(None).cast(best.schema["__v"].dataType).alias("__v"), "__own")
+    both = own.unionByName(best.withColumn("__own", F.lit(None).cast(own.schema["__own"].dataType)))
+    placed = written(both.repartitionByRange("__t").withColumn("__p", F.spark_partition_id()), "placed")
+    at = F.when(F.col("__own").isNull(), F.struct("__t", "__v"))
+    ends = placed.groupBy("__p").agg(F.max(at).alias("a"), F.min(at).alias("b"))
+    order = Window.orderBy("__p")  # a row a partition
+    ends = ends.select("__p", F.last("a", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("b", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    here = Window.partitionBy("__p").orderBy("__t", F.col("__own").isNotNull())
+    found = placed.withColumns({"__a": F.last(at, True).over(here.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.first(at, True).over(here.rowsBetween(1, Window.unboundedFollowing))}).filter("__own is not null").join(F.broadcast(ends), "__p")
+    pick = F.array_min(F.transform(F.array_compact(F.array(F.coalesce("__a", "__before"), F.coalesce("__b", "__after"))), lambda s: F.struct(F.abs(s["__t"] - F.col("__t")).alias("d"), s["__v"].alias("v"))))
+    return found.select("__own.*", pick["v"].alias(f"nearest_{column}"), pick["d"].alias("distance"))
 
 
 def only_with(df: DataFrame, keys: list[str], other: DataFrame) -> DataFrame:
@@ -68,17 +85,30 @@ def joined_once(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.join(right, keys, how)
 
 
-def undominated(df: DataFrame, name: str, up: list[str], down: list[str]) -> DataFrame:
-    """Rows that no other row equals or beats everywhere and beats somewhere (few rows: each is compared with each)."""
-    o = df.select(F.col(name).alias("__n"), *[F.col(c).alias(f"__{c}") for c in (*up, *down)])
-    least = [F.col(f"__{c}") >= F.col(c) for c in up] + [F.col(f"__{c}") <= F.col(c) for c in down]
-    more = [F.col(f"__{c}") > F.col(c) for c in up] + [F.col(f"__{c}") < F.col(c) for c in down]
-    every, some = least[0], more[0]
-    for x in least[1:]:
-        every = every & x
-    for x in more[1:]:
-        some = some | x
-    return df.join(F.broadcast(o), (F.col(name) != F.col("__n")) & every & some, "left_anti")
+def undominated(df: DataFrame, name: str, up: list[str], down: list[str], block: int = 8192) -> DataFrame:
+    """Rows that no other row equals or beats everywhere and beats somewhere; rows with a null in these columns are none.
+
+    First the rows that lose within a block of ``block`` rows go (whoever beats a row that beat another beats that one, so
+    none is needed any more); each block of what is left is then compared with each.
+    """
+    whole = df.dropna(subset=[*up, *down])
+    signs = [F.col(c).cast("double") for c in up] + [-F.col(c).cast("double") for c in down]
+    slim = whole.select(F.col(name).alias("__n"), F.array(*signs).alias("__v"))
+    parts, width = max(1, -(-slim.count() // block)), len(signs)
+    slim = slim.withColumn("__a", F.pmod(F.xxhash64("__n"), F.lit(parts)).cast("int"))
+
+    def beaten(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        v, w = (np.array(x["__v"].tolist()).reshape(len(x), width) for x in (rows, others))
+        lost = [bool(((w >= x).all(axis=1) & (w > x).any(axis=1)).any()) for x in v]
+        return rows.loc[lost, ["__n"]]
+
+    schema = slim.select("__n").schema
+    lost = slim.groupBy("__a").applyInPandas(lambda pdf: beaten(pdf, pdf), schema)
+    front = written(slim.join(lost, "__n", "left_anti"), "front")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    lost = front.withColumn("__b", blocks).groupBy("__a", "__b").cogroup(front.withColumnRenamed("__a", "__b").withColumn("__a", blocks).groupBy("__a", "__b")).applyInPandas(beaten, schema)
+    kept = front.select("__n").join(lost, "__n", "left_anti")
+    return df.join(kept, df[name] == kept["__n"], "left_semi")
 
 
 def top_with_ties(df: DataFrame, value: str) -> DataFrame:
@@ -95,8 +125,8 @@ def deciles(df: DataFrame, value: str, parts: int = 10) -> DataFrame:
 
 def codes(df: DataFrame, column: str, train: Column | None = None) -> DataFrame:
     """``df`` with code: the value's place among the sorted training values, -1 for others."""
-    known = (df.filter(train) if train is not None else df).select(column).distinct()
-    known = known.withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    known = (df.filter(train) if train is not None else df).filter(F.col(column).isNotNull()).select(column).distinct()
+    known = running(known, [column], {}, "code").withColumn("code", F.col("code") - 1)
     return df.join(known, column, "left").withColumn("code", F.coalesce("code", F.lit(-1)))
 
 
@@ -109,38 +139,37 @@ def sampled(df: DataFrame, strata: list[str], n: int, seed: int, *ident: str) ->
 def separated(candidates: DataFrame, at: str, score: str, gap: float, most: int) -> DataFrame:
     """Greedy selection by falling score (then earlier), no two closer than ``gap``; at most ``most``.
 
-    The choice is sequential, but a chosen row only rules out rows within ``gap``, so of each stretch of time without a
-    pause of ``gap`` the choice is made alone, in its own task; the best ``most`` of all stretches stay.
+    In rounds: a row that is the best within ``gap`` of itself is chosen by the greedy order too, whatever comes before it
+    elsewhere, and rules out its neighbours; the others wait for the next round. Times are joined by buckets as wide as
+    ``gap``, so each meets three; rows of one time are first reduced to the best.
     """
-    columns, order = candidates.columns, Window.partitionBy(F.lit(0)).orderBy(at)
-    new = F.coalesce((F.col(at) - F.lag(at).over(order) >= gap).cast("int"), F.lit(0))
-    stretches = candidates.withColumn("__new", new).withColumn("__stretch", F.sum("__new").over(order)).drop("__new")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, at], ascending=[False, True])
-        kept, times = [], []
-        for i, t in enumerate(pdf[at].tolist()):
-            if all(abs(t - u) >= gap for u in times):
-                kept.append(i)
-                times.append(t)
-                if len(kept) == most:
-                    break
-        return pdf.iloc[kept][columns]
-
-    return stretches.groupBy("__stretch").applyInPandas(choose, candidates.schema).orderBy(F.desc(score), at).limit(most)
+    columns = candidates.columns
+    left = written(candidates.filter(F.col(score).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(at).alias("__t")).agg(F.max_by(F.struct(*columns), F.col(score)).alias("__row"), F.max(score).alias("__s")), "candidates")
+    chosen = None
+    width = F.lit(float(gap))
+    while left.limit(1).count():
+        other = left.select(F.col("__t").alias("__u"), F.struct(F.col("__s"), -F.col("__t")).alias("__o")).withColumn("__k", F.floor(F.col("__u") / width))
+        near = left.select("__t", "__s", F.explode(F.array(*[F.floor(F.col("__t") / width) + d for d in (-1, 0, 1)])).alias("__k")).join(other, "__k").filter(F.abs(F.col("__t") - F.col("__u")) < width)
+        best = written(near.groupBy("__t").agg(F.max_by("__u", "__o").alias("__best")).filter("__t = __best").select("__t"), "best")
+        now = left.join(best, "__t")
+        chosen = now if chosen is None else chosen.unionByName(now)
+        out = best.select(F.col("__t").alias("__u"), F.explode(F.array(*[F.floor(F.col("__t") / width) + d for d in (-1, 0, 1)])).alias("__k"))
+        ruled = left.select("__t", F.floor(F.col("__t") / width).alias("__k")).join(out, "__k").filter(F.abs(F.col("__t") - F.col("__u")) < width).select("__t").distinct()
+        left = written(left.join(ruled, "__t", "left_anti"), "candidates")
+    return (candidates.limit(0) if chosen is None else chosen.select("__row.*")).orderBy(F.desc(score), at).limit(most)
 
 
 def matched(left: DataFrame, right: DataFrame, x: str, y: str, width: float, rank: str) -> DataFrame:
-    """One-to-one pairs within ``width``, nearest first, then by ``rank``; both sides are few (selected) rows."""
-    pairs = band_join(left, right, [], x, y, width).withColumn("__d", F.abs(F.col(x) - F.col(y))).withColumn("__one", F.lit(1))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_x, used_y, kept = set(), set(), []
-        for i, (a, b) in enumerate(zip((p := pdf.sort_values(["__d", rank]))[x], p[y], strict=True)):
-            if a not in used_x and b not in used_y:
-                used_x.add(a)
-                used_y.add(b)
-                kept.append(i)
-        return p.iloc[kept].drop(columns=["__one"])
-
-    return pairs.groupBy("__one").applyInPandas(choose, pairs.drop("__one").schema)
+    """One-to-one pairs within ``width``, nearest first, then by ``rank``, x and y; x and y are unique on their sides.
+
+    In rounds: a pair that is the first of both its rows is a pair of the greedy order too; its rows leave.
+    """
+    pairs = band_join(left, right, [], x, y, width).withColumn("__d", F.abs(F.col(x) - F.col(y)))
+    schema, order = pairs.drop("__k").schema, F.struct("__d", rank, x, y)
+    open_, taken = written(pairs, "pairs"), None
+    while open_.limit(1).count():
+        firsts = open_.withColumns({"__x": F.min(order).over(Window.partitionBy(x)), "__y": F.min(order).over(Window.partitionBy(y))})
+        now = written(firsts.filter((order == F.col("__x")) & (order == F.col("__y"))).drop("__x", "__y"), "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        open_ = written(open_.join(now.select(x), x, "left_anti").join(now.select(y), y, "left_anti"), "pairs")
+    return (pairs if taken is None else taken).select(*schema.names)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkwright.functions import scalars as S
 from sparkwright.functions import stats
 from sparkwright.functions import windows as W
-from sparkwright.functions.text import redacted, truncated
+from sparkwright.functions.text import redacted
 from sparkwright.operators import relational as R
 from sparkwright.plans import mobility as M
 
@@ -161,10 +161,10 @@ def weekly_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with assigned secrets masked, cut to 400 characters."""
-    d = table(spark, sf_dir, "documents")
-    out = truncated(redacted(F.col("text")), 400)
-    return d.filter(F.col("text") != redacted(F.col("text"))).select("doc_id", F.md5(out).alias("masked_md5"), F.char_length(out).cast("long").alias("n"))
+    """Documents with assigned secrets masked: the digest and length of the whole masked text, and its masks."""
+    masked = table(spark, sf_dir, "documents").select("doc_id", "text", redacted(F.col("text")).alias("out")).filter("text != out")
+    masks = (F.char_length("out") - F.char_length(F.replace("out", F.lit("[REDACTED]"), F.lit("")))) / F.lit(len("[REDACTED]"))
+    return masked.select("doc_id", F.md5("out").alias("masked_md5"), F.char_length("out").cast("long").alias("n"), masks.cast("long").alias("masks"))
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,8 +267,8 @@ SQL: dict[str, str] = {
     "forecast_metrics": "WITH " + PANEL + """, f AS (SELECT * FROM (SELECT key, CAST(n AS DOUBLE) AS y, CAST(lag(n, 168) OVER (PARTITION BY key ORDER BY hour) AS DOUBLE) AS p FROM panel) WHERE p IS NOT NULL)
       SELECT coalesce(key, 'all') AS key, count(*) AS n, round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) ** 2)), 6) AS rmse, round(1 - sum((p - y) ** 2) / (sum(y * y) - sum(y) ** 2 / count(*)), 6) AS r2, round(sum(abs(p - y)) / sum(abs(y)), 6) AS wape, round(avg(p - y), 6) AS bias FROM f GROUP BY ROLLUP (key)""",
     "weekly_pivot": "SELECT CAST(d AS INT) AS dow, event_type, coalesce(n, 0) AS n FROM (SELECT DISTINCT isodow(ts) - 1 AS d FROM events) CROSS JOIN (SELECT DISTINCT event_type FROM events) LEFT JOIN (SELECT isodow(ts) - 1 AS d, event_type, count(*) AS n FROM events GROUP BY 1, 2) USING (d, event_type)",
-    "redacted_documents": r"""WITH m AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b((?:api[_-]?key|access[_-]?token|auth[_-]?token|password|passwd|secret|token))(["'']?\s*[:=]\s*["'']?)[^\s"'',;]{6,}', '\1\2[REDACTED]', 'g'), '(?i)\b(bearer\s+)[A-Za-z0-9._\-]{12,}', '\1[REDACTED]', 'g'), '\bsk-[A-Za-z0-9_\-]{12,}', '[REDACTED]', 'g') AS r FROM documents),
-      c AS (SELECT doc_id, CASE WHEN length(r) > 400 THEN substr(r, 1, 400) || '…[truncated ' || (length(r) - 400) || ' chars]' ELSE r END AS o FROM m WHERE r <> text) SELECT doc_id, md5(o) AS masked_md5, length(o) AS n FROM c""",
+    "redacted_documents": r"""WITH m AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b((?:api[_-]?key|access[_-]?token|auth[_-]?token|password|passwd|secret|token))(["'']?\s*[:=]\s*["'']?)[^\s"'',;]{6,}', '\1\2[REDACTED]', 'g'), '(?i)\b(bearer\s+)[A-Za-z0-9._\-]{12,}', '\1[REDACTED]', 'g'), '\bsk-[A-Za-z0-9_\-]{12,}', '[REDACTED]', 'g') AS r FROM documents)
+      SELECT doc_id, md5(r) AS masked_md5, length(r) AS n, CAST((length(r) - length(replace(r, '[REDACTED]', ''))) / 10 AS BIGINT) AS masks FROM m WHERE r <> text""",
     "stratified_sample": "SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r FROM orders QUALIFY r <= 5",
     "nation_order_gaps": "SELECT CAST(c_nationkey AS BIGINT) AS nation, count(*) AS n, round(avg(gap), 6) AS mean, median(gap) AS median, quantile_disc(gap, 0.95) AS p95_rank, round(quantile_cont(gap, 0.95), 6) AS p95 FROM (SELECT o_custkey, date_diff('day', o_orderdate, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)) AS gap FROM orders) JOIN customer ON o_custkey = c_custkey WHERE gap IS NOT NULL GROUP BY 1",
     "first_seen_codes": "WITH k AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS code FROM (SELECT DISTINCT p_type FROM part WHERE p_retailprice < 1000)) SELECT p_partkey, coalesce(code, -1) AS code FROM part LEFT JOIN k USING (p_type)",

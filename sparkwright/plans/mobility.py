@@ -25,7 +25,7 @@ def panel(events: DataFrame, key: str) -> DataFrame:
 def with_neighbours(panel: DataFrame, near: DataFrame) -> DataFrame:
     """near_n: the counts of each key's neighbours (near: key, neighbour), summed from hourly counts, not from events."""
     of = panel.select(F.col("key").alias("neighbour"), "hour", F.col("n").alias("m")).filter("m > 0")
-    sums = of.join(F.broadcast(near), "neighbour").groupBy("key", "hour").agg(F.sum("m").alias("near_n"), F.count("*").alias("active_near"))
+    sums = of.join(near, "neighbour").groupBy("key", "hour").agg(F.sum("m").alias("near_n"), F.count("*").alias("active_near"))
     return panel.join(sums, ["key", "hour"], "left").na.fill(0, ["near_n", "active_near"])
 
 
@@ -37,7 +37,7 @@ def baseline(train: DataFrame, keys: list[str]) -> DataFrame:
 def scored(panel: DataFrame, base: DataFrame, keys: list[str], peak: int = 3, least: int = 1, low: float = 1.0) -> DataFrame:
     """Anomaly columns: z, ratio, change of z, velocity, acceleration, peak and low flags, run and its age, trend."""
     w = W.series(["key"], "hour")
-    df = panel.join(F.broadcast(base), keys, "left").withColumn("z", (F.col("n") - F.col("mean")) / F.greatest("std", F.lit(1.0)))
+    df = panel.join(base, keys, "left").withColumn("z", (F.col("n") - F.col("mean")) / F.greatest("std", F.lit(1.0)))
     df = df.withColumns({"ratio": S.ratio(F.col("n"), F.col("mean")), "z_change": F.col("z") - F.lag("z").over(w), "step": F.col("n") - F.lag("n").over(w), "change_share": W.change_share(F.col("n"), w)})
     df = df.withColumns({"velocity": F.avg("step").over(w.rowsBetween(-2, 0)), "acceleration": F.col("step") - F.lag("step").over(w), "is_peak": (F.col("z") >= peak) & (F.col("n") >= least), "is_low": (F.col("z") <= -peak) & (F.col("mean") >= low) & ~F.col("is_missing_hour")})
     df = df.withColumn("__s", W.run_start(F.col("is_peak"), F.lag("hour").over(w) + F.expr("interval 1 hour") == F.col("hour"), w)).withColumn("run", F.sum("__s").over(w))
@@ -91,7 +91,7 @@ def matched_controls(panel: DataFrame, targets: DataFrame, excluded: DataFrame,
     """
     keys = ["key", "dow_mon0", "clock"]
     of = targets.select("key", F.col("hour").alias("target")).join(panel.select(*keys, F.col("hour").alias("target"), F.col("n").alias("actual")), ["key", "target"])
-    controls = panel.join(F.broadcast(excluded.select("hour").distinct()), "hour", "left_anti").select(*keys, F.col("hour").alias("control"), "n")
+    controls = panel.join(excluded.select("hour").distinct(), "hour", "left_anti").select(*keys, F.col("hour").alias("control"), "n")
     pairs = of.join(controls, keys).withColumn("near", F.abs(F.datediff("target", "control")) <= days)
     some = pairs.groupBy("key", "target").agg(F.count_if("near").alias("c"))
     used = pairs.join(some, ["key", "target"]).filter((F.col("c") < least) | F.col("near"))
@@ -113,16 +113,16 @@ def normal_profile(panel: DataFrame, least: int = 8, floor: float = 5.0) -> Data
 
 
 def log_excess(panel: DataFrame, profile: DataFrame) -> DataFrame:
-    of = panel.withColumn("month", F.month("hour")).join(F.broadcast(profile), ["month", "dow_mon0", "clock"])
+    of = panel.withColumn("month", F.month("hour")).join(profile, ["month", "dow_mon0", "clock"])
     return of.withColumn("excess", F.log1p("n") - F.log1p("median"))
 
 
 def around(panel: DataFrame, anchors: DataFrame, before: int = 6, after: int = 8) -> DataFrame:
     """anchor, offset, n for the hours around each anchor (anchor) whose window is whole."""
     offsets = anchors.withColumn("offset", F.explode(F.sequence(F.lit(-before), F.lit(after)))).withColumn("hour", F.col("anchor") + F.make_dt_interval(F.lit(0), F.col("offset")))
-    rows = panel.join(F.broadcast(offsets), "hour")
+    rows = panel.join(offsets, "hour")
     whole = rows.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") == before + after + 1).select("anchor")
-    return rows.join(F.broadcast(whole), "anchor")
+    return rows.join(whole, "anchor")
 
 
 def template(windows: DataFrame, value: str = "excess") -> DataFrame:
@@ -131,7 +131,7 @@ def template(windows: DataFrame, value: str = "excess") -> DataFrame:
 
 def window_features(windows: DataFrame, shape: DataFrame, value: str = "excess") -> DataFrame:
     """Cosine and correlation of each anchor's window with the template, its mean and largest value, its peak's offset."""
-    j = windows.join(F.broadcast(shape.select("offset", "effect")), "offset")
+    j = windows.join(shape.select("offset", "effect"), "offset")
     x, y = F.col(value), F.col("effect")
     return j.groupBy("anchor").agg(S.ratio(F.sum(x * y), F.sqrt(F.sum(x * x) * F.sum(y * y))).alias("cosine"), guarded_corr(value, "effect").alias("r"), F.avg(x).alias("mean"), F.max(x).alias("top"), F.max_by("offset", F.struct(x, -F.col("offset"))).alias("peak_offset"))
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from sparkwright.functions import stats
 from sparkwright.functions.scalars import exact_mcnemar, ratio, two_sided_p, uniform
 from sparkwright.functions.text import has_text, mentioned
-from sparkwright.functions.windows import average_rank
+from sparkwright.operators.ordered import average_ranks, numbered, running
 from sparkwright.operators.relational import divided, next_after, orphans, top_with_ties, undominated
+from sparkwright.operators.tables import forgotten, written
 from sparkwright.plans.bundle import Bundle
 
 NOTEBOOK = r"(?i)notebook_v\d+"
@@ -73,8 +74,10 @@ def q07(b: Bundle) -> DataFrame:
 
 def q08(b: Bundle) -> DataFrame:
     """Generations of each trace and the nearest-rank 95th percentile of their duration; null without any."""
+    own = Window.partitionBy("trace_id")
     g = b.observations.filter("type = 'generation'").select("trace_id", observed_ms().alias("ms"))
-    p = g.groupBy("trace_id").agg(F.count("*").alias("c"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY ms)").cast("long").alias("p95_ms"))
+    g = g.select("trace_id", "ms", F.row_number().over(own.orderBy("ms")).alias("r"), F.count("*").over(own).alias("c"))
+    p = g.filter(F.col("r") == F.ceil(F.col("c") * 95 / 100)).select("trace_id", "c", F.col("ms").alias("p95_ms"))
     return b.traces.select("trace_id").join(p, "trace_id", "left").select("trace_id", F.coalesce("c", F.lit(0)).alias("generation_count"), "p95_ms")
 
 
@@ -162,7 +165,7 @@ def paired(b: Bundle, value: str, keep: str) -> DataFrame:
 
 def q17(b: Bundle) -> DataFrame:
     """Paired accuracies of two models: difference, interval, McNemar."""
-    p = stats.numbered(paired(b, "correct", "correct is not null").withColumn("d", F.col("y") - F.col("x")), "task_id")
+    p = numbered(paired(b, "correct", "correct is not null").withColumn("d", F.col("y") - F.col("x")), "task_id")
     low_high = stats.bootstrap(p, "d", F.avg("d"), b.config.bootstrap_repetitions, b.config.seed)
     n = p.agg(F.count("*").alias("pairs"), r6(F.avg("x")).alias("accuracy_a"), r6(F.avg("y")).alias("accuracy_b"), r6(F.avg("d")).alias("difference"), F.count_if(F.expr("x > y")).alias("only_a"), F.count_if(F.expr("y > x")).alias("only_b"))
     return n.crossJoin(low_high).select("pairs", "accuracy_a", "accuracy_b", "difference", "only_a", "only_b", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), r6(exact_mcnemar(F.col("only_a"), F.col("only_b"))).alias("mcnemar_p"))
@@ -170,7 +173,7 @@ def q17(b: Bundle) -> DataFrame:
 
 def q18(b: Bundle) -> DataFrame:
     """Paired latencies of successful traces: median difference and interval."""
-    p = stats.numbered(paired(b, "duration_ms", "status = 'success'").withColumn("d", F.col("y") - F.col("x")), "task_id")
+    p = numbered(paired(b, "duration_ms", "status = 'success'").withColumn("d", F.col("y") - F.col("x")), "task_id")
     low_high = stats.bootstrap(p, "d", F.median("d"), b.config.bootstrap_repetitions, b.config.seed)
     return p.agg(F.count("*").alias("pairs"), r6(F.median("d")).alias("median_difference_ms")).crossJoin(low_high.select(r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high")))
 
@@ -198,23 +201,56 @@ def q20(b: Bundle) -> DataFrame:
     return p.agg(F.count("*").alias("tasks"), r6(gap).alias("interaction")).crossJoin(low_high.select(r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high")))
 
 
-def depths(observations: DataFrame, most: int = 64) -> DataFrame:
+def depths(observations: DataFrame) -> DataFrame:
     """observation_id, trace_id, depth: 1 for a root, one more for each parent; a walk ends at a repeated or absent parent.
 
-    Parents are followed for all observations at once, in rounds of doubling joins that stop when no walk is left.
+    Of an id that repeats, the smallest parent counts. Pointers are doubled (see ``ends``); walks into a cycle have as many
+    steps as stand before it, and the cycle's length.
     """
-    walk = observations.select("observation_id", "trace_id", F.col("parent_id").alias("next"), F.array().cast("array<string>").alias("seen"), F.lit(1).alias("depth"))
-    up = observations.select(F.col("observation_id").alias("next"), F.col("parent_id").alias("up"))
-    done = None
-    for _ in range(most):
-        ends = F.col("next").isNull() | F.array_contains("seen", F.col("next"))
-        over = walk.filter(F.coalesce(ends, F.lit(True))).select("observation_id", "trace_id", "depth")
-        done = over if done is None else done.union(over)
-        walk = walk.filter(~F.coalesce(ends, F.lit(True))).join(up, "next", "left").select("observation_id", "trace_id", F.col("up").alias("next"), F.array_append("seen", F.col("next")).alias("seen"), (F.col("depth") + 1).alias("depth"))
-        walk = walk.persist()
-        if not walk.limit(1).count():
+    up = observations.groupBy(F.col("observation_id").alias("id")).agg(F.min("parent_id").alias("to"))
+    walks, left = ends(up)
+    done = walks.filter("to is null").select("id", F.col("steps").alias("depth"))
+    if left:
+        inside = up.join(walks.filter("to is not null").select("id"), "id", "left_semi")
+        rings = cycles(inside)
+        size = rings.groupBy("ring").agg(F.count("*").alias("size"))
+        on = written(rings.join(size, "ring").select("id", "size"), "cycles")
+        before, _ = ends(inside.join(on, "id", "left_anti"))  # a parent on a cycle is absent there, so it ends the walk
+        done = done.union(on.select("id", F.col("size").alias("depth"))).union(before.join(on.select(F.col("id").alias("last"), "size"), "last").select("id", (F.col("steps") - 1 + F.col("size")).alias("depth")))
+    return observations.select(F.col("observation_id").alias("id"), "trace_id").join(done, "id").select(F.col("id").alias("observation_id"), "trace_id", (F.col("depth") + 1).alias("depth"))
+
+
+def ends(up: DataFrame) -> tuple[DataFrame, int]:
+    """For each id of ``up`` (id, to): to (null: the walk has ended), steps (taken so far), last (the place reached); and how many go on.
+
+    Each round joins a walk with that of the place it has reached, so rounds grow with the logarithm of the longest walk.
+    If there is one of more than 2^k steps, there is one of each smaller number (those of the places it passes); so once a
+    round ends no walk, all that go on run into cycles.
+    """
+    one = F.col("to").isNotNull().cast("long")
+    walks = written(up.select("id", "to", one.alias("steps"), F.coalesce("to", "id").alias("last")), "walks")
+    left = walks.filter("to is not null").count()
+    while left:
+        of = walks.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("last").alias("end"))
+        step = walks.join(of, "to", "left").select("id", F.col("next").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("end", "last").alias("last"))
+        new = written(step, "walks")
+        forgotten(walks)
+        walks, was, left = new, left, new.filter("to is not null").count()
+        if left == was:
             break
-    return done
+    return walks, left
+
+
+def cycles(inside: DataFrame) -> DataFrame:
+    """id, ring (its cycle's smallest id) of the members of cycles among ``inside`` (id, to), all of whose walks go on for ever."""
+    at, passed = written(inside.select("id", "to", F.col("id").alias("low")), "rings"), 1
+    whole = at.count()
+    while passed < whole:
+        of = at.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("low").alias("other"))
+        new = written(at.join(of, "to").select("id", F.col("next").alias("to"), F.least("low", "other").alias("low")), "rings")
+        forgotten(at)
+        at, passed = new, 2 * passed
+    return at.join(at.select(F.col("to").alias("id")).distinct(), "id", "left_semi").select("id", F.col("low").alias("ring"))
 
 
 def complexity(b: Bundle) -> DataFrame:
@@ -225,17 +261,23 @@ def complexity(b: Bundle) -> DataFrame:
 
 
 def q21(b: Bundle) -> DataFrame:
-    """Rank correlation of complexity and correctness, with a permutation test within tasks."""
+    """Rank correlation of complexity and correctness, with a permutation test within tasks.
+
+    A repetition deals each task's ranks anew, by hashes of its models; only the sum of products changes, so each task
+    gives one number for each repetition.
+    """
     c = canonical_answers(b).filter("correct is not null").join(complexity(b), "trace_id").select("task_id", "model_id", F.col("complexity").cast("double").alias("x"), F.col("correct").cast("double").alias("y"))
-    ranked = c.select("task_id", "model_id", average_rank(F.col("x")).alias("rx"), average_rank(F.col("y")).alias("ry")).persist()
-    rho = ranked.agg(stats.guarded_corr("rx", "ry").alias("rho"), F.count("*").alias("answers"))
-    reps = ranked.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b.config.permutation_repetitions - 1))))
-    own = Window.partitionBy("rep", "task_id").orderBy("model_id")
-    drawn = Window.partitionBy("rep", "task_id").orderBy(uniform(F.lit(str(b.config.seed)), F.col("rep"), F.col("task_id"), F.col("model_id")), "model_id")
-    a = reps.select("rep", "task_id", "rx", F.row_number().over(own).alias("k"))
-    s = reps.select("rep", "task_id", "ry", F.row_number().over(drawn).alias("k"))
-    each = a.join(s, ["rep", "task_id", "k"]).groupBy("rep").agg(stats.guarded_corr("rx", "ry").alias("r")).crossJoin(F.broadcast(rho))
-    return each.groupBy("answers", "rho").agg(F.count_if(F.abs("r") >= F.abs("rho") - 1e-12).alias("as_far"), F.count("*").alias("reps")).select("answers", r6(F.col("rho")).alias("rho"), r6((F.col("as_far") + 1) / (F.col("reps") + 1)).alias("p"))
+    ranked = written(average_ranks(written(c, "answers"), {"rx": F.col("x"), "ry": F.col("y")}).select("task_id", "model_id", "rx", "ry"), "ranked")
+    xy = F.col("rx") * F.col("ry")
+    rho = ranked.agg(F.count("*").alias("answers"), F.avg("rx").alias("mx"), F.avg("ry").alias("my"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"), F.avg(xy).alias("mxy"))
+    corr = lambda mxy: F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.try_divide(mxy - F.col("mx") * F.col("my"), F.col("sx") * F.col("sy")))
+    tasks = ranked.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("model_id", "rx", "ry"))).alias("of"))  # as many as there are models
+    reps = tasks.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b.config.permutation_repetitions - 1))))
+    drawn = F.array_sort(F.transform("of", lambda s: F.struct(uniform(F.lit(str(b.config.seed)), F.col("rep"), F.col("task_id"), s["model_id"]).alias("u"), s["model_id"].alias("model_id"), s["ry"].alias("ry"))))
+    products = F.aggregate(F.zip_with("of", drawn, lambda s, d: s["rx"] * d["ry"]), F.lit(0.0), lambda a, p: a + p)
+    each = reps.groupBy("rep").agg(F.sum(products).alias("sum")).crossJoin(F.broadcast(rho))
+    far = F.abs(corr(F.col("sum") / F.col("answers"))) >= F.abs(corr(F.col("mxy"))) - 1e-12
+    return each.groupBy("answers", corr(F.col("mxy")).alias("rho")).agg(F.count_if(far).alias("as_far"), F.count("*").alias("reps")).select("answers", r6(F.col("rho")).alias("rho"), r6((F.col("as_far") + 1) / (F.col("reps") + 1)).alias("p"))
 
 
 def q22(b: Bundle) -> DataFrame:
@@ -264,28 +306,31 @@ def q23(b: Bundle) -> DataFrame:
 
 
 def q24(b: Bundle) -> DataFrame:
-    """How failures concentrate on tools: HHI and Gini."""
-    f = tools(b).filter("status <> 'success'").groupBy("tool_name").agg(F.count("*").alias("failures"))
-    return stats.concentration(f, "failures").crossJoin(f.agg(F.sum("failures").alias("failures"), F.count("*").alias("tools"))).select("failures", "tools", r6(F.col("hhi")).alias("hhi"), r6(F.col("gini")).alias("gini"))
-
+    """How failures concentrate on tools: a row for all (HHI and Gini with their intervals) and one for each tool (failures, share).
 
-def prefix_sums(df: DataFrame, order: list[str], values: dict[str, Column], parts: int = 64) -> DataFrame:
-    """Running sums over one global order: range partitions sum alone, their few totals are summed, and both added."""
-    placed = df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()).persist()
-    totals = placed.groupBy("__p").agg(F.count("*").alias("__n"), *[F.sum(v).alias(f"__t_{k}") for k, v in values.items()])
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"), *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in values])
-    own = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    ran = placed.withColumns({"__r": F.row_number().over(own), **{f"__r_{k}": F.sum(v).over(own) for k, v in values.items()}})
-    joined = ran.join(F.broadcast(base), "__p")
-    return joined.select(*df.columns, (F.col("__b") + F.col("__r")).alias("s"), *[(F.col(f"__b_{k}") + F.col(f"__r_{k}")).alias(k) for k in values])
+    A resample of all failures gives each tool a number of them; it is drawn a failure at a time, by hashes, and counted by
+    repetition and tool, so no task holds more than those counts.
+    """
+    f = tools(b).filter("status <> 'success'").select("observation_id", "tool_name")
+    counts = written(f.groupBy("tool_name").agg(F.count("*").alias("failures")), "failures")
+    ends = counts.withColumn("end", F.sum("failures").over(Window.orderBy("tool_name")))  # a row a tool
+    places = ends.select("tool_name", "end", (F.col("end") - F.col("failures")).alias("begin"))
+    total = counts.agg(F.sum("failures").alias("all"))
+    draws = f.crossJoin(F.broadcast(total)).select("all", F.col("observation_id").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(b.config.bootstrap_repetitions - 1))).alias("rep"))
+    draws = draws.select("rep", F.floor(uniform(F.lit(str(b.config.seed)), F.col("rep"), F.col("id")) * F.col("all")).alias("at")).groupBy("rep", "at").agg(F.count("*").alias("c"))
+    again = draws.join(places, (F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end"))).groupBy("rep", "tool_name").agg(F.sum("c").alias("failures"))
+    low_high = stats.concentration(again, "failures", "rep").agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in ("hhi", "gini") for name, q in (("low", 0.025), ("high", 0.975))])
+    whole = stats.concentration(counts, "failures").crossJoin(counts.agg(F.sum("failures").alias("failures"))).crossJoin(low_high)
+    none = F.lit(None).cast("double")
+    rows = whole.select(F.lit("all").alias("tool"), "failures", F.lit(1.0).alias("share"), *[r6(F.col(c)).alias(c) for c in ("hhi", "hhi_low", "hhi_high", "gini", "gini_low", "gini_high")])
+    return rows.union(counts.crossJoin(F.broadcast(total)).select("tool_name", "failures", r6(F.col("failures") / F.col("all")), *[none] * 6))
 
 
 def q25(b: Bundle) -> DataFrame:
     """The split in time at which success rate or latency changes most, by Bonferroni-adjusted p."""
     m = b.config.minimum_window
     t = b.traces.select("trace_id", "start_us", (F.col("status") == "success").cast("long").alias("ok"), F.col("duration_ms").alias("ms"))
-    sums = prefix_sums(t, ["start_us", "trace_id"], {"k": F.col("ok"), "x": F.col("ms"), "xx": F.col("ms") * F.col("ms")})
+    sums = running(t, ["start_us", "trace_id"], {"k": F.col("ok"), "x": F.col("ms"), "xx": F.col("ms") * F.col("ms")})
     n = t.agg(F.count("*").alias("n"), F.sum("ok").alias("all_k"), F.sum("ms").alias("all_x"), F.sum(F.col("ms") * F.col("ms")).alias("all_xx"))
     r = sums.crossJoin(F.broadcast(n)).filter((F.col("s") >= m) & (F.col("s") <= F.col("n") - m))
     s, rest = F.col("s").cast("double"), (F.col("n") - F.col("s")).cast("double")
@@ -303,11 +348,13 @@ def annotation_issues(b: Bundle) -> DataFrame:
     """annotation_id and its reasons, for annotations that have any."""
     a = b.annotations
     prior = a.select(F.col("annotation_id").alias("supersedes"), F.struct("target_type", "target_id", "annotator_id", "schema_version", "labeled_us").alias("was"))
-    known = lambda df, k, t: df.select(F.col(k).alias("target_id"), F.lit(t).alias("target_type"), F.lit(True).alias("there")).distinct()
-    targets = known(b.traces, "trace_id", "trace").union(known(b.observations, "observation_id", "observation")).union(known(b.sessions, "session_id", "session"))
-    of = b.observations.select(F.col("observation_id").alias("target_id"), F.col("trace_id").alias("of_trace"), F.lit("observation").alias("target_type")).dropDuplicates(["target_id"])
+    asked = a.select("target_type", "target_id").distinct()  # few, so that the large tables are filtered where they lie
+    one = lambda df, k, t, of: df.select(F.col(k).alias("target_id"), F.lit(t).alias("target_type"), F.lit(True).alias("there"), of.cast("string").alias("of_trace"))
+    none = F.lit(None)
+    every = one(b.traces, "trace_id", "trace", none).union(one(b.observations, "observation_id", "observation", F.col("trace_id"))).union(one(b.sessions, "session_id", "session", none))
+    targets = every.join(asked, ["target_type", "target_id"], "left_semi").dropDuplicates(["target_type", "target_id"])
     twice = a.groupBy("annotation_id").agg(F.count("*").alias("copies"))
-    x = a.join(twice, "annotation_id").join(targets, ["target_type", "target_id"], "left").join(of, ["target_type", "target_id"], "left").join(prior.dropDuplicates(["supersedes"]), "supersedes", "left").join(revision_cycles(a), "annotation_id", "left")
+    x = a.join(twice, "annotation_id").join(targets, ["target_type", "target_id"], "left").join(prior.dropDuplicates(["supersedes"]), "supersedes", "left").join(revision_cycles(a), "annotation_id", "left")
     t = F.col("target_type")
     rules = [
         ("duplicate_annotation_id", F.col("copies") > 1), ("missing_trace_target", (t == "trace") & F.col("there").isNull()), ("missing_observation_target", (t == "observation") & F.col("there").isNull()), ("missing_session_target", (t == "session") & F.col("there").isNull()),
@@ -321,17 +368,16 @@ def annotation_issues(b: Bundle) -> DataFrame:
     return x.select("annotation_id", reasons.alias("reasons")).filter(F.size("reasons") > 0)
 
 
-def revision_cycles(a: DataFrame, most: int = 32) -> DataFrame:
-    """annotation_id, cycle (true) of annotations whose chain of predecessors comes back to them."""
-    step = a.filter("supersedes is not null").select("annotation_id", "supersedes").distinct()
-    reach, found = step, None
-    for _ in range(most):
-        back = reach.filter("annotation_id = supersedes").select("annotation_id").distinct()
-        found = back if found is None else found.union(back)
-        reach = reach.filter("annotation_id <> supersedes").join(step.select(F.col("annotation_id").alias("supersedes"), F.col("supersedes").alias("up")), "supersedes").select("annotation_id", F.col("up").alias("supersedes")).distinct().persist()
-        if not reach.limit(1).count():
-            break
-    return found.distinct().withColumn("cycle", F.lit(True))
+def revision_cycles(a: DataFrame) -> DataFrame:
+    """annotation_id, cycle (true) of annotations whose chain of predecessors comes back to them (of an id that repeats, the smallest predecessor's).
+
+    Whatever supersedes nothing that itself supersedes something is on no cycle; mostly that leaves nothing to walk.
+    """
+    step = a.filter("supersedes is not null").groupBy(F.col("annotation_id").alias("id")).agg(F.min("supersedes").alias("to"))
+    live = written(step.join(step.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to"), "revisions")
+    walks, left = ends(live)
+    rings = cycles(live.join(walks.filter("to is not null").select("id"), "id", "left_semi")) if left else live.limit(0)
+    return rings.select(F.col("id").alias("annotation_id"), F.lit(True).alias("cycle"))
 
 
 def q26(b: Bundle) -> DataFrame:
@@ -361,8 +407,10 @@ def label_pairs(b: Bundle) -> DataFrame:
     e = effective(b).filter("label is not null")
     last = e.groupBy("target_type", "target_id", "annotator_id").agg(F.max_by("label", F.struct("labeled_us", "annotation_id")).alias("label"))
     a, o = last.select("target_type", "target_id", F.col("annotator_id").alias("left"), F.col("label").alias("x")), last.select("target_type", "target_id", F.col("annotator_id").alias("right"), F.col("label").alias("y"))
-    trace = b.observations.select(F.col("observation_id").alias("target_id"), "trace_id").union(b.traces.select(F.col("trace_id").alias("target_id"), "trace_id"))
-    family = trace.join(b.traces.select("trace_id", "task_id"), "trace_id").join(b.tasks, "task_id", "left").select("target_id", F.coalesce("task_family", "difficulty", F.lit("unknown")).alias("category")).dropDuplicates(["target_id"])
+    asked = last.select("target_id").distinct()
+    trace = b.observations.filter("trace_id is not null").select(F.col("observation_id").alias("target_id"), "trace_id").join(asked, "target_id", "left_semi").join(b.traces.select("trace_id", "task_id"), "trace_id").select("target_id", "task_id")
+    trace = trace.union(b.traces.select(F.col("trace_id").alias("target_id"), "task_id").join(asked, "target_id", "left_semi"))
+    family = trace.join(b.tasks, "task_id", "left").select("target_id", F.coalesce("task_family", "difficulty", F.lit("unknown")).alias("category")).dropDuplicates(["target_id"])
     return a.join(o, ["target_type", "target_id"]).filter("left < right").join(family, "target_id", "left").withColumn("category", F.coalesce("category", F.lit("unknown")))
 
 

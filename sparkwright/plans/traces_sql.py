@@ -29,7 +29,7 @@ pairs AS (SELECT l.annotator_id AS "left", r.annotator_id AS "right", l.label AS
 def paired(value: str, keep: str) -> str:
     return CANON + f""", p AS (SELECT task_id, x.v AS x, y.v AS y, y.v - x.v AS d, row_number() OVER (ORDER BY task_id) - 1 AS i, count(*) OVER () AS n
   FROM (SELECT task_id, CAST(b.{value} AS DOUBLE) AS v FROM canon WHERE model_id = 'm0' AND {keep}) x JOIN (SELECT task_id, CAST(b.{value} AS DOUBLE) AS v FROM canon WHERE model_id = 'm1' AND {keep}) y USING (task_id)),
-draws AS (SELECT rep, p.d FROM (SELECT rep, CAST(floor({U.format("'42:' || rep || ':' || i")} * n) AS INT) AS j FROM p, range(100) r(rep)) q JOIN p ON p.i = q.j)"""
+draws AS (SELECT rep, p.d FROM (SELECT rep, CAST(floor({U.format("'42:' || rep || ':' || i")} * n) AS INT) AS j FROM p, range(300) r(rep)) q JOIN p ON p.i = q.j)"""
 
 
 BODY = {
@@ -60,14 +60,14 @@ BODY = {
       "SELECT model_id, graded, whole, tasks, eligible, round(a, 6) AS accuracy, round(c, 6) AS cost, round(l, 6) AS latency, eligible AND NOT EXISTS (SELECT 1 FROM m o WHERE o.eligible AND o.model_id <> m.model_id AND o.a >= m.a AND o.c <= m.c AND o.l <= m.l AND (o.a > m.a OR o.c < m.c OR o.l < m.l)) AS on_frontier FROM m"),
     "q20": (CANON + f""", pp AS (SELECT task_id, difficulty, y.v - x.v AS d, row_number() OVER (PARTITION BY difficulty ORDER BY task_id) - 1 AS i, count(*) OVER (PARTITION BY difficulty) AS n FROM (SELECT task_id, CAST(b.correct AS DOUBLE) AS v FROM canon WHERE model_id = 'm0' AND b.correct IS NOT NULL) x
       JOIN (SELECT task_id, CAST(b.correct AS DOUBLE) AS v FROM canon WHERE model_id = 'm1' AND b.correct IS NOT NULL) y USING (task_id) JOIN tasks USING (task_id) WHERE difficulty IN ('easy', 'hard')),
-      dr AS (SELECT rep, q.difficulty, pp.d FROM (SELECT rep, difficulty, CAST(floor({U.format("'42:' || difficulty || ':' || rep || ':' || i")} * n) AS INT) AS j FROM pp, range(100) r(rep)) q JOIN pp ON pp.i = q.j AND pp.difficulty = q.difficulty)""",
+      dr AS (SELECT rep, q.difficulty, pp.d FROM (SELECT rep, difficulty, CAST(floor({U.format("'42:' || difficulty || ':' || rep || ':' || i")} * n) AS INT) AS j FROM pp, range(300) r(rep)) q JOIN pp ON pp.i = q.j AND pp.difficulty = q.difficulty)""",
       "SELECT tasks, interaction, low, high FROM (SELECT count(*) AS tasks, round(avg(d) FILTER (difficulty = 'hard') - avg(d) FILTER (difficulty = 'easy'), 6) AS interaction FROM pp), (SELECT round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM (SELECT rep, avg(d) FILTER (difficulty = 'hard') - avg(d) FILTER (difficulty = 'easy') AS s FROM dr GROUP BY 1))"),
     "q21": (CANON + f""", w AS (WITH RECURSIVE walk AS (SELECT observation_id, trace_id, parent_id AS next, 1 AS depth FROM observations UNION ALL SELECT w.observation_id, w.trace_id, o.parent_id, depth + 1 FROM walk w LEFT JOIN observations o ON o.observation_id = w.next WHERE w.next IS NOT NULL) SELECT trace_id, max(depth) AS deep FROM walk GROUP BY 1),
       comp AS (SELECT trace_id, coalesce(deep, 0) + coalesce(c, 0) AS complexity FROM traces LEFT JOIN w USING (trace_id) LEFT JOIN (SELECT trace_id, count_if(type IN ('tool', 'generation')) AS c FROM observations GROUP BY 1) USING (trace_id)),
       base AS (SELECT task_id, model_id, CAST(complexity AS DOUBLE) AS x, CAST(b.correct AS DOUBLE) AS y FROM canon JOIN comp ON comp.trace_id = b.trace_id WHERE b.correct IS NOT NULL),
       rk AS (SELECT task_id, model_id, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM base),
       rho AS (SELECT count(*) AS answers, {CORR.format(x="rx", y="ry")} AS rho FROM rk),
-      sh AS (SELECT rep, task_id, rx, ry, row_number() OVER (PARTITION BY rep, task_id ORDER BY model_id) AS k, row_number() OVER (PARTITION BY rep, task_id ORDER BY {U.format("'42:' || rep || ':' || task_id || ':' || model_id")}, model_id) AS j FROM rk, range(60) r(rep)),
+      sh AS (SELECT rep, task_id, rx, ry, row_number() OVER (PARTITION BY rep, task_id ORDER BY model_id) AS k, row_number() OVER (PARTITION BY rep, task_id ORDER BY {U.format("'42:' || rep || ':' || task_id || ':' || model_id")}, model_id) AS j FROM rk, range(300) r(rep)),
       each AS (SELECT a.rep, {CORR.format(x="a.rx", y="s.ry")} AS r FROM sh a JOIN sh s ON a.rep = s.rep AND a.task_id = s.task_id AND a.k = s.j GROUP BY 1)""",
       "SELECT any_value(answers) AS answers, round(any_value(rho), 6) AS rho, round((count_if(abs(r) >= abs(rho) - 1e-12) + 1) / (count(*) + 1), 6) AS p FROM each, rho"),
     "q22": ("""tab AS (SELECT count_if(t AND f) AS a, count_if(t AND NOT f) AS b, count_if(NOT t AND f) AS c, count_if(NOT t AND NOT f) AS d FROM (SELECT status <> 'success' AS f, trace_id IN (SELECT trace_id FROM observations WHERE type = 'tool' AND status <> 'success') AS t FROM traces)),
@@ -78,7 +78,12 @@ BODY = {
       u AS (SELECT session_id, max(n) - max(first) AS retries, max(CASE WHEN i > first AND status = 'success' THEN 1 ELSE 0 END) AS rec FROM r JOIN f USING (session_id) WHERE first IS NOT NULL GROUP BY 1), g AS (SELECT retries, count(*) AS n, sum(rec) AS r FROM u GROUP BY 1),
       q AS (SELECT sum(r) / sum(n) AS p, sum(n * retries) / sum(n) AS m FROM g), z AS (SELECT sum(retries * (r - n * p)) / sqrt(any_value(p * (1 - p)) * sum(n * (retries - m) ** 2)) AS z FROM g, q)""",
       "SELECT retries AS retry_count, n AS sessions, CAST(r AS BIGINT) AS recovered, round((SELECT CASE WHEN isfinite(z) THEN z END FROM z), 6) AS trend_z FROM g"),
-    "q24": ("fl AS (SELECT name, count(*) AS c FROM observations WHERE type = 'tool' AND status <> 'success' GROUP BY 1), rr AS (SELECT c, row_number() OVER (ORDER BY c) AS r, sum(c) OVER () AS t, count(*) OVER () AS m FROM fl)", "SELECT CAST(sum(c) AS BIGINT) AS failures, count(*) AS tools, round(sum((c / t) ** 2), 6) AS hhi, round(2 * sum(r * c) / (any_value(m) * any_value(t)) - (any_value(m) + 1) / any_value(m), 6) AS gini FROM rr"),
+    "q24": (f"""fl AS (SELECT name[6:] AS tool, count(*) AS c FROM observations WHERE type = 'tool' AND status <> 'success' GROUP BY 1), pl AS (SELECT tool, c, sum(c) OVER (ORDER BY tool) AS e, sum(c) OVER () AS t FROM fl),
+      dr AS (SELECT rep, floor({U.format("'42:' || rep || ':' || observation_id")} * t) AS j FROM observations, (SELECT any_value(t) AS t FROM pl), range(300) r(rep) WHERE type = 'tool' AND status <> 'success'),
+      ag AS (SELECT rep, tool, count(*) AS c FROM dr JOIN pl ON j < e AND j >= e - pl.c GROUP BY 1, 2 UNION ALL SELECT -1, tool, c FROM fl), rr AS (SELECT rep, c, row_number() OVER (PARTITION BY rep ORDER BY c) AS r, sum(c) OVER (PARTITION BY rep) AS t, count(*) OVER (PARTITION BY rep) AS m FROM ag),
+      hg AS (SELECT rep, sum((c / t) ** 2) AS hhi, 2 * sum(r * c) / (any_value(m) * any_value(t)) - (any_value(m) + 1) / any_value(m) AS gini FROM rr GROUP BY 1)""",
+      """SELECT 'all' AS tool, (SELECT CAST(sum(c) AS BIGINT) FROM fl) AS failures, 1.0::DOUBLE AS share, round(any_value(hhi) FILTER (rep < 0), 6) AS hhi, round(quantile_cont(hhi, 0.025) FILTER (rep >= 0), 6) AS hhi_low, round(quantile_cont(hhi, 0.975) FILTER (rep >= 0), 6) AS hhi_high,
+      round(any_value(gini) FILTER (rep < 0), 6) AS gini, round(quantile_cont(gini, 0.025) FILTER (rep >= 0), 6) AS gini_low, round(quantile_cont(gini, 0.975) FILTER (rep >= 0), 6) AS gini_high FROM hg UNION ALL SELECT tool, c, round(c / t, 6), NULL, NULL, NULL, NULL, NULL, NULL FROM pl"""),
     "q25": ("""o AS (SELECT row_number() OVER w AS s, sum(ok) OVER w AS k, sum(ms) OVER w AS x, sum(ms * ms) OVER w AS xx, count(*) OVER () AS n, sum(ok) OVER () AS ka, sum(ms) OVER () AS xa, sum(ms * ms) OVER () AS xxa FROM (SELECT *, CAST(status = 'success' AS INT) AS ok, CAST(duration_ms AS DOUBLE) AS ms FROM traces) WINDOW w AS (ORDER BY start_us, trace_id ROWS UNBOUNDED PRECEDING)),
       zs AS (SELECT s, 'success' AS metric, (k / s - (ka - k) / (n - s)) / sqrt((ka / n) * (1 - ka / n) * (1 / s + 1 / (n - s))) AS z FROM o WHERE s BETWEEN 30 AND n - 30 UNION ALL
         SELECT s, 'latency', (x / s - (xa - x) / (n - s)) / sqrt((xx - x * x / s) / (s - 1) / s + (xxa - xx - (xa - x) ** 2 / (n - s)) / (n - s - 1) / (n - s)) FROM o WHERE s BETWEEN 30 AND n - 30),

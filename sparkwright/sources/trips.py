@@ -55,6 +55,19 @@ def grid_cell(degrees: float = 0.002) -> Callable[[pd.Series, pd.Series], pd.Ser
     return encode
 
 
+def ring(cell: Column, k: int = 1) -> Column:
+    """The cells of a plain grid up to ``k`` steps from ``cell``, without it."""
+    row, col = (F.split(cell, ":")[i].cast("long") for i in (0, 1))
+    steps = [(a, b) for a in range(-k, k + 1) for b in range(-k, k + 1) if (a, b) != (0, 0)]
+    return F.array(*[F.concat_ws(":", (row + a).cast("string"), (col + b).cast("string")) for a, b in steps])
+
+
+def cell_distance(a: Column, b: Column) -> Column:
+    """Steps between two cells of a plain grid, diagonal ones being one."""
+    part = lambda c, i: F.split(c, ":")[i].cast("long")
+    return F.greatest(*[F.abs(part(a, i) - part(b, i)) for i in (0, 1)])
+
+
 def with_cells(trips: DataFrame, cells: DataFrame) -> DataFrame:
     """Both ends' cells, by two left joins with the same small table."""
     p, d = (cells.select(F.col("location").alias(f"{s}_centroid_location"), F.col("cell").alias(f"{s}_cell")) for s in ("pickup", "dropoff"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def hourly(events: DataFrame, key: str, late: str = "2 hours") -> DataFrame:
@@ -23,6 +25,34 @@ def visits(events: DataFrame, key: str, pause: str = "6 hours", late: str = "2 h
     return w.select("key", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def lateness(events: DataFrame, key: str, seen: str, late: str = "2 hours") -> DataFrame:
+    """By hour and key: events, their mean and largest seconds from event time to ``seen``, and how many came before it."""
+    lag = F.col(seen).cast("double") - F.col("ts").cast("double")
+    w = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), F.col(key).alias("key")).agg(F.count("*").alias("n"), F.avg(lag).alias("mean_s"), F.max(lag).alias("max_s"), F.count_if(lag < 0).alias("negative"))
+    return w.select("key", F.col("window.start").alias("hour"), "n", "mean_s", "max_s", "negative")
+
+
+def peak_ages(hours: DataFrame, late: str = "2 hours") -> DataFrame:
+    """key, hour, age: for each hour of a stream (key, hour, is_peak), how many hours in a row have been peaks.
+
+    Hours of a key come in order but for those within one micro-batch; the state is the last hour and its age.
+    """
+
+    def step(key, frames, state):
+        last, age = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(frames)).sort_values("hour")
+        ages = []
+        for hour, peak in zip(rows["hour"], rows["is_peak"], strict=True):
+            follows = last is not None and hour - last == pd.Timedelta(hours=1)
+            age = (age + 1 if follows and age else 1) if peak else 0
+            last = hour
+            ages.append(age)
+        state.update((last, age))
+        yield rows[["key", "hour"]].assign(age=ages)
+
+    return hours.withWatermark("hour", late).groupBy("key").applyInPandasWithState(step, "key string, hour timestamp, age long", "hour timestamp, age long", "append", GroupStateTimeout.NoTimeout)
+
+
 def upserts(changes: DataFrame, table: str, key: str, version: str, checkpoint: str):
     """Keeps the latest version of each key at ``table`` (Parquet): each micro-batch is merged and written beside, then named."""
     spark = changes.sparkSession

@@ -10,6 +10,7 @@ from sparkwright.functions import scalars as S
 from sparkwright.functions import stats
 from sparkwright.functions import windows as W
 from sparkwright.functions.text import has_text, mentioned, redacted, snake_case, truncated
+from sparkwright.operators import ordered as O
 from sparkwright.operators import relational as R
 
 
@@ -62,7 +63,7 @@ def test_holm(spark, ps):
 
 
 def test_resampling_is_repeatable_and_whole(spark):
-    v = stats.numbered(spark.createDataFrame([(float(i),) for i in range(9)], "v double"), "v")
+    v = O.numbered(spark.createDataFrame([(float(i),) for i in range(9)], "v double"), "v")
     a, b = (sorted(map(tuple, stats.resampled(v, 20, 5).select("rep", "v").collect())) for _ in range(2))
     assert a == b and len(a) == 180 and len({x for _, x in a}) == 9
 
@@ -126,5 +127,47 @@ def test_selection(spark):
 
 
 def test_average_rank(spark):
-    df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "v double").select("v", W.average_rank(F.col("v")).alias("r"))
-    assert sorted(map(tuple, df.collect())) == [(1.0, 1.0), (2.0, 2.5), (2.0, 2.5), (5.0, 4.0)]
+    df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.0,)], "v double")
+    want = [(1.0, 1.0), (2.0, 2.5), (2.0, 2.5), (5.0, 4.0)]
+    assert sorted(map(tuple, df.select("v", W.average_rank(F.col("v")).alias("r")).collect())) == want
+    assert sorted(map(tuple, O.average_ranks(df, {"r": F.col("v")}).collect())) == want
+
+
+def test_running_sums_over_all_rows(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(50), i, rng.randrange(9)) for i in range(500)]
+    got = {r["i"]: (r["s"], r["t"]) for r in O.running(spark.createDataFrame(rows, "k int, i int, v int").repartition(7), [F.desc("k"), "i"], {"t": F.col("v")}).collect()}
+    total = 0
+    for at, (_, i, v) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1):
+        total += v
+        assert got[i] == (at, total)
+
+
+def test_frontier_in_blocks(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(30), rng.randrange(30), rng.randrange(30)) for i in range(300)]
+    got = {r["i"] for r in R.undominated(spark.createDataFrame(rows, "i int, a int, b int, c int"), "i", ["a", "b"], ["c"], block=40).collect()}
+    beats = lambda p, q: p[1] >= q[1] and p[2] >= q[2] and p[3] <= q[3] and (p[1] > q[1] or p[2] > q[2] or p[3] < q[3])
+    assert got == {q[0] for q in rows if not any(beats(p, q) for p in rows)}
+
+
+def test_greedy_pairs(spark):
+    rng = random.Random(7)
+    a, b = rng.sample(range(300), 60), rng.sample(range(300), 60)
+    got = {(r["x"], r["y"]) for r in R.matched(spark.createDataFrame([(x, x) for x in a], "x int, r int"), spark.createDataFrame([(y,) for y in b], "y int"), "x", "y", 9, "r").collect()}
+    want, used_x, used_y = set(), set(), set()
+    for _, _, x, y in sorted((abs(x - y), x, x, y) for x in a for y in b if abs(x - y) <= 9):
+        if x not in used_x and y not in used_y:
+            used_x.add(x)
+            used_y.add(y)
+            want.add((x, y))
+    assert got == want
+
+
+def test_metrics_by_key(spark):
+    rng = random.Random(8)
+    rows = [("abc"[i % 3], int(rng.random() < 0.4), round(rng.random(), 1)) for i in range(300)]
+    got = {r["k"]: r for r in stats.ranking_metrics(spark.createDataFrame(rows, "k string, y int, s double"), "y", "s", "k").collect()}
+    for k in "abc":
+        one = stats.ranking_metrics(spark.createDataFrame([r[1:] for r in rows if r[0] == k], "y int, s double"), "y", "s").first()
+        assert all(abs(got[k][c] - one[c]) < 1e-12 for c in ("roc_auc", "average_precision", "brier"))
