@@ -8,42 +8,34 @@ and once more where its hash, seeded, falls below the fraction.
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import small
+from sparkwright.llm.common import cut, unused
+from sparkwright.operators.ordered import running
 
 
-def with_sizes(docs: DataFrame, text: str = "text", to: str = "size") -> DataFrame:
-    """``docs`` without ``text`` and with its number of words split by ASCII white space; a null has none."""
-    others = [c for c in docs.columns if c != text]
-    schema = docs.select(*others, F.lit(0).cast("long").alias(to)).schema
-
-    def count(batches):
-        for b in small(batches):
-            n = [len(t.encode().split()) if t else 0 for t in b.column(len(others)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(n, pa.int64())], names=[*others, to])
-
-    return docs.select(*others, text).mapInArrow(count, schema)
+def words(text: Column) -> Column:
+    """The number of words split by ASCII white space; a null has none."""
+    return F.coalesce(F.regexp_count(text.cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """source, source_size, target for each source of ``sizes`` (source, size): one row per source.
 
-    Weights go to the sources by code point, null last, repeating. A source of size 0 gets target 0.
+    Weights go to the sources by code point, null last, repeating. A source of size 0 gets target 0. Sources may be many:
+    places and sums over them are counted by range partitions.
     """
     total = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    at = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int"))
-    named = total.select("source", "source_size", rank.alias("rank"), at.alias("weight")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before, after = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = named.withColumn("mix", F.lit(float(share)) * F.sum("source_size").over(Window.partitionBy()))
-    level = level.withColumn("level", (F.col("mix") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    level = level.withColumn("full", F.col("cap") / F.col("weight") <= F.col("level"))
-    level = level.withColumn("water", F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), F.col("rank"), F.col("level").alias("level")))).over(Window.partitionBy())["level"])
-    return level.select("source", "source_size", F.when(F.col("full") | F.col("water").isNull(), F.col("cap")).otherwise(F.col("water") * F.col("weight")).alias("target"))
+    placed = running(total, [F.col("source").asc_nulls_last()], {}, "rank")
+    at = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    named = placed.select("source", "source_size", "rank", at.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")).withColumn("at", F.col("cap") / F.col("weight"))
+    ran = running(named, ["at", "rank"], {"caps": F.col("cap"), "weights": F.col("weight")})
+    whole = named.agg((F.lit(float(share)) * F.sum("source_size")).alias("mix"), F.sum("weight").alias("all_weights"))
+    level = (F.col("mix") - (F.col("caps") - F.col("cap"))) / (F.col("all_weights") - (F.col("weights") - F.col("weight")))
+    levels = ran.crossJoin(F.broadcast(whole)).withColumn("level", level).withColumn("full", F.col("at") <= F.col("level"))
+    water = levels.agg(F.min(F.when(~F.col("full"), F.struct("at", "rank", "level")))["level"].alias("water"))
+    return levels.crossJoin(F.broadcast(water)).select("source", "source_size", F.when(F.col("full") | F.col("water").isNull(), F.col("cap")).otherwise(F.col("water") * F.col("weight")).alias("target"))
 
 
 def uniform(seed: int) -> Column:
@@ -55,10 +47,11 @@ def uniform(seed: int) -> Column:
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken (= copies * size) of each row of ``docs`` (doc_id, source, text).
 
-    Documents without words have size 0; null doc_ids share one draw, and rows with equal doc_id are drawn alike;
-    documents of a null source form a source. Rows are never moved to a key: the sources' few rows are joined to them.
+    Documents without words have size 0, whatever the length of their text; null doc_ids share one draw, and rows with
+    equal doc_id are drawn alike; documents of a null source form a source. Other columns are ignored; an empty table gives
+    no rows. Rows are never moved to a key: the sources' rows, one each, are joined to them.
     """
-    sizes = with_sizes(docs.select("doc_id", "source", "text"))
+    sizes = cut(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
     return planned(sizes, weights, share, most, seed).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -71,12 +64,13 @@ def planned(sizes: DataFrame, weights, share, most, seed) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as the plan says, with its own columns only.
+    """The mix itself: every row of ``docs`` as often as the plan says, with its own columns only, whatever their names.
 
     The sources' rates are computed first, then applied to the documents where they lie, so texts are not shuffled.
     """
-    sizes = with_sizes(docs.select("source", "text"))
-    targets = source_targets(sizes, weights, share, most).select(F.col("source").alias("__source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"))
-    joined = docs.join(targets, docs["source"].eqNullSafe(targets["__source"]))
-    copies = F.floor("__rate") + (uniform(seed) < F.col("__rate") - F.floor("__rate")).cast("long")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[docs[c] for c in docs.columns])
+    source, rate, copy = unused(docs, 3)
+    sizes = docs.select("source", words(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("size"))
+    targets = source_targets(sizes, weights, share, most).select(F.col("source").alias(source), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate))
+    joined = docs.join(targets, F.col("source").eqNullSafe(F.col(source)))
+    copies = F.floor(rate) + (uniform(seed) < F.col(rate) - F.floor(rate)).cast("long")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,3 +1,7 @@
+import zlib
+from collections import Counter
+from itertools import groupby
+
 import numpy as np
 
 from sparkwright.llm import language_id as li
@@ -27,6 +31,40 @@ def test_predicts_held_out_and_awkward_texts(spark):
     assert total > 20 and right >= 0.95 * total, (right, total)
 
 
+def slow_grams(text):
+    """A text's letter 4-grams, from its characters one by one."""
+    signs = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+    line = "".join(k if k != " " else " " for k, run in ((k, list(r)) for k, r in groupby(signs, key=lambda c: c)) for k in ([" "] if k == " " else run))
+    return [line[i : i + 4] for i in range(len(line) - 3)]
+
+
+def test_against_exact_gram_sets(spark):
+    """The same decision from whole sets of n-grams instead of filters."""
+    rows = [r for s in range(4) for r in documents(s)]
+    rows = [(None if r[0] is None else r[0] + 1000 * (k // 90), *r[1:]) for k, r in enumerate(rows)]
+    counts = {}
+    for doc_id, text, lang, _ in rows:
+        if doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 and text is not None and lang is not None:
+            counts.setdefault(lang, Counter()).update(slow_grams(text))
+    langs = {lang: {g for g, n in c.items() if n >= li.SHARE * sum(c.values())} for lang, c in counts.items()}
+    want = {}
+    for doc_id, text, *_ in rows:
+        if text and any(c.isalpha() for c in text):
+            g = slow_grams(text)
+            shares = {lang: sum(x in of for x in g) / max(1, len(g)) for lang, of in langs.items()}
+            want.setdefault((doc_id, text), (max(sorted(shares), key=shares.get), max(shares.values()), sorted(shares.values())))
+        else:
+            want[doc_id, text] = ("und", 0.0, [0.0, 0.0])
+    model = li.learn(frame(spark, rows).filter(~li.held_out(li.F.col("doc_id"))).select("text", "lang"))
+    got = li.predict(frame(spark, rows), model, ["doc_id", "text"]).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lang, score, every = want[r["doc_id"], r["text"]]
+        near = 0.02 + 2 / max(1, len(slow_grams(r["text"] or "")))  # a short text's filters may be wrong once or twice
+        assert abs(r["score"] - score) < near, (r["text"][:80], r["score"], score)
+        assert r["lang_pred"] == lang or every[-1] - every[-2] < near
+
+
 def test_filter_finds_all_languages_of_a_gram_and_corrects_mistakes():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)

@@ -43,5 +43,13 @@ def test_plan_and_mix_agree(spark):
     assert sum(len((r["text"] or "").encode().split()) for r in out.select("text").collect()) == sum(r["taken"] for r in plan)
 
 
+def test_columns_of_any_name_and_words(spark):
+    rows = [(i, f"one two\u00a0x\t{i}\x0bfour\x1cfive", f"s{i % 2}", 1, 2, 3.5) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __rate int, own_0 int, `a.b` double")
+    out = mixed(df)
+    assert out.columns == df.columns and {(r["__rate"], r["own_0"], r["a.b"]) for r in out.collect()} == {(1, 2, 3.5)}
+    assert {r["size"] for r in mix_plan(df).collect()} == {4}
+
+
 def test_empty(spark):
     assert mix_plan(empty(spark)).count() == 0 and mixed(empty(spark)).count() == 0
