@@ -36,7 +36,8 @@ OTHERS = ("commit", "revision", "sha1", "sha256", "md5", "checksum", "digest", "
 DICTIONARY = ("about", "access", "account", "admin", "after", "all", "and", "api", "app", "auth", "base", "build", "case", "change", "class", "client", "code", "config", "count", "data", "date", "default", "delete", "dev", "dir", "error", "event", "example", "false", "field", "file", "first", "for", "from", "get", "group", "handler", "have", "here", "host", "index", "info", "input", "item", "key", "last", "level", "line", "list", "local", "log", "main", "manager", "map", "max", "message", "min", "model", "name", "new", "node", "not", "null", "number", "object", "open", "option", "order", "output", "page", "param", "pass", "password", "path", "point", "port", "private", "public", "query", "read", "record", "release", "request", "result", "root", "row", "sample", "secret", "server", "service", "session", "set", "size", "source", "start", "state", "string", "table", "task", "test", "text", "the", "time", "token", "total", "true", "type", "update", "user", "value", "version", "view", "with", "word", "work", "write", "your")
 PAIRS = ("th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve", "co", "me", "de", "hi", "ri", "ro", "ic", "ne", "ea", "ra", "ce")
 
-ASSIGNED = rf"(?<=(?:{'|'.join(NAMES)})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)[^\s\"',;:=]{{6,}}+"
+# the short looks back spare most places the long one, which implies them
+ASSIGNED = rf"(?<=[:=\s\"'])(?<=[:=][\s\"']{{0,3}})(?<=(?:{'|'.join(NAMES)})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)[^\s\"',;:=]{{6,}}+"
 RUN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+\d)[A-Za-z0-9+/_\-]{16,}+={0,2}"
 PREFIXED = rf"(?:{'|'.join(PREFIXES)})[A-Za-z0-9+/_\-]{{12,}}+={{0,2}}"
 CANDIDATE = rf"(?i:{ASSIGNED})|{RUN}|{PREFIXED}"
@@ -54,13 +55,14 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")).alias("path"), F.col("text").cast("string").alias("text"))
     may = own.filter(text.rlike(MAY))
-    both = may.select("doc_id", "path", F.split(text, CANDIDATE).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("found")).filter(F.size("found") > 0)
+    both = may.select("doc_id", "path", F.split(text, CANDIDATE).alias("gaps"), F.regexp_extract_all(text, F.lit(CANDIDATE), 0).alias("found"))
     part = lambda column, at: F.coalesce(F.get(column, at), F.lit(""))
     # neighbours count as words around, so up to two of them and their gaps are part of what stands before and after
     before = lambda i: F.right(F.concat(*[x for k in (2, 1) for x in (F.right(part("gaps", i - k), F.lit(BEFORE)), F.right(part("found", i - k), F.lit(BEFORE)))], part("gaps", i)), F.lit(BEFORE))
     after = lambda i: F.left(F.concat(part("gaps", i + 1), *[x for k in (1, 2) for x in (F.left(part("found", i + k), F.lit(AFTER)), F.left(part("gaps", i + k + 1), F.lit(AFTER)))]), F.lit(AFTER))
     around = F.transform("found", lambda c, i: F.struct(c.alias("candidate"), before(i).alias("before"), after(i).alias("after")))
-    return both.select("doc_id", "path", F.posexplode(around).alias("at", "c")).select("doc_id", "path", "at", "c.*")
+    # outer, then filtered: a filter on the lists would be pushed below them, and search each text twice
+    return both.select("doc_id", "path", F.posexplode_outer(around).alias("at", "c")).filter("at is not null").select("doc_id", "path", "at", "c.*")
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -100,12 +102,18 @@ def described(rows: DataFrame, words: DataFrame, weights: list[float]) -> DataFr
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[a-z]", "l"), r"[A-Z]", "u"), r"\d", "d")
     near = F.lower(F.concat(before, F.lit(" "), after))
     table = F.array(*[F.lit(w) for w in weights])
-    letters = F.transform(F.split(F.regexp_replace(low, r"[^a-z]", ""), ""), lambda x: F.ascii(x) - 97)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(letters) - 1, F.lit(1))), lambda i: F.coalesce(F.get(table, F.get(letters, i - 1) * 26 + F.get(letters, i)), F.lit(0.0)))
+    letters = F.split(F.regexp_replace(low, r"[^a-z]", ""), "")
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+
+    def step(acc, x):  # one pass, the letter before being part of the state
+        code = F.ascii(x) - 97
+        weight = F.when((acc["last"] >= 0) & (code >= 0), F.get(table, acc["last"] * 26 + code)).otherwise(0.0)
+        return F.struct(code.alias("last"), (acc["sum"] + weight).alias("sum"))
+
     values = {
         "length": n,
         "transitions": share(F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1, n),
-        "pairs": share(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x), F.size(pairs)),
+        "pairs": share(F.aggregate(letters, start, step)["sum"], n),
         "covered": share(F.coalesce("covered", F.lit(0)), n),
         "variety": share(F.size(F.array_distinct(F.split(c, ""))), n),
         "digits": share(n - F.length(F.regexp_replace(c, r"\d", "")), n),
@@ -154,7 +162,9 @@ def fit(findings: DataFrame, words: DataFrame, weights: list[float], most: int =
     """The forest; of more than ``most`` findings, those of the smallest hashes are used. Rows without a label are left out."""
     rows = findings.filter("label is not null").orderBy(F.xxhash64("candidate", "before", "after"), "candidate").limit(most)
     described_rows = assembled(described(rows, words, weights)).select("features", F.col("label").cast("double").alias("label"), "candidate", "before", "after")
-    return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(described_rows.orderBy(F.xxhash64("candidate", "before", "after"), "candidate").coalesce(1))
+    # one order and one part, so that the seed always deals the same rows; a table, as fitting passes over it several times
+    table = cut(described_rows.orderBy(F.xxhash64("candidate", "before", "after"), "candidate").coalesce(1), "training")
+    return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(table)
 
 
 def assembled(rows: DataFrame) -> DataFrame:
