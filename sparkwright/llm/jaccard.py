@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwright.llm.common import bitmap, cut, forget, input_partitions, small
+from sparkwright.llm.common import bitmap, cut, forget, input_partitions, small, unused
 from sparkwright.llm.components import components
 from sparkwright.llm.shingles import PLACE, U, mix, shingle_sets
 
@@ -496,7 +496,8 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
 
     Words are split by ASCII white space, A-Z lower-cased. A null text, or one without words, has no shingles and links
     with nothing: its component_id is its own doc_id. Exact copies are one set, whichever rows hold it; a null doc_id
-    is the smallest of none, unless all of its component are null. An empty table gives no rows.
+    is the smallest of none, unless all of its component are null. Texts are whole, whatever their length; other columns,
+    whatever their names, are ignored. An empty table gives no rows.
     """
     rooted = grouped(printed(docs), k)
     least = cut(rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
@@ -507,16 +508,18 @@ def jaccard_components(docs: DataFrame, k: int = 5) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest doc_id (nulls last; then by the text's hash).
 
-    Rows without shingles stay. Of rows that repeat both doc_id and text one stays, unless it has no shingles.
+    Rows without shingles stay. Of rows that repeat both doc_id and text one stays, unless it has no shingles. Columns are
+    unchanged, whatever their names; an empty table gives no rows.
     """
+    ident, text_hash, own = unused(docs, 3)
     rooted = cut(grouped(printed(docs), k), "groups")
     first = rooted.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "print")).alias("f")).select("f.doc_id", "f.print")
-    keep = first.union(rooted.filter("root is null").select("doc_id", "print")).select(F.col("doc_id").alias("__id"), F.col("print").alias("__print")).distinct()
-    marked = docs.withColumn("__of", F.xxhash64(F.col("text").cast("string")))
-    kept = marked.join(keep, marked["doc_id"].cast("long").eqNullSafe(keep["__id"]) & (marked["__of"] == keep["__print"]), "left_semi")
+    keep = first.union(rooted.filter("root is null").select("doc_id", "print")).select(F.col("doc_id").alias(ident), F.col("print").alias(text_hash)).distinct()
+    marked = docs.withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(ident)) & (F.col(own) == F.col(text_hash))
+    kept = marked.join(keep, same, "left_semi")
     repeated = rooted.filter("root is not null").groupBy("doc_id", "print").agg(F.count("*").alias("c")).filter("c > 1")
     if repeated.limit(1).count():
-        twice = repeated.select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"))
-        same = kept["doc_id"].cast("long").eqNullSafe(twice["__id"]) & (kept["__of"] == twice["__print"])
-        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__of"]))
-    return kept.select(*docs.columns)
+        twice = repeated.select(F.col("doc_id").alias(ident), F.col("print").alias(text_hash))
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", own]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -24,6 +24,13 @@ def test_one_document_of_each_group_stays(spark):
     assert one_of_each(empty(spark)).count() == 0
 
 
+def test_columns_of_any_name_pass(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3.5), (2, "a b c d e f", 1, 2, 3.5), (2, "a b c d e f", 1, 2, 3.5), (3, "g h i j k", 1, 2, 3.5), (4, None, 1, 2, 3.5)]
+    out = one_of_each(spark.createDataFrame(rows, "doc_id long, text string, __of int, own_0 int, `a.b` double"))
+    assert out.columns == ["doc_id", "text", "__of", "own_0", "a.b"]
+    assert sorted((r["doc_id"], r["__of"], r["own_0"], r["a.b"]) for r in out.collect()) == [(1, 1, 2, 3.5), (3, 1, 2, 3.5), (4, 1, 2, 3.5)]
+
+
 def test_texts_of_no_language_go_and_others_stay(spark):
     rows = [r for s in range(6) for r in documents(s)]
     rows = [(None if r[0] is None else r[0] + 1000 * (k // 90), *r[1:]) for k, r in enumerate(rows)] + [(10**6, "qwrtzp " * 200, None, "s"), (10**6 + 1, "$$$ 12", "en", "s")]
