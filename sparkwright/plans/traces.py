@@ -157,10 +157,11 @@ def canonical_answers(b: Bundle) -> DataFrame:
 
 
 def paired(b: Bundle, value: str, keep: str) -> DataFrame:
-    """task_id, x, y of the two selected models where both have a value."""
-    c = canonical_answers(b).filter(keep)
-    one = lambda m, name: c.filter(F.col("model_id") == m).select("task_id", F.col(value).cast("double").alias(name))
-    return one(b.config.selected_models[0], "x").join(one(b.config.selected_models[1], "y"), "task_id")
+    """task_id, x, y of the two selected models where both have a value; written, as it is read several times."""
+    x, y = b.config.selected_models
+    one = lambda m, name: F.max(F.when(F.col("model_id") == m, F.col(value).cast("double"))).alias(name)
+    both = canonical_answers(b).filter(keep).groupBy("task_id").agg(one(x, "x"), one(y, "y")).filter("x is not null and y is not null")
+    return written(both, "paired")
 
 
 def q17(b: Bundle) -> DataFrame:
@@ -180,7 +181,7 @@ def q18(b: Bundle) -> DataFrame:
 
 def q19(b: Bundle) -> DataFrame:
     """Accuracy, cost and latency on tasks that every model tried, and who is on the frontier."""
-    c = canonical_answers(b)
+    c = written(canonical_answers(b), "canonical")
     common = divided(c, "task_id", "model_id")
     n = common.agg(F.count("*").alias("tasks"))
     m = c.join(common, "task_id", "left_semi").groupBy("model_id").agg(F.count("correct").alias("graded"), F.count_if(F.expr("cost is not null and duration_ms is not null")).alias("whole"), F.avg(F.col("correct").cast("double")).alias("accuracy"), F.avg("cost").alias("cost"), F.avg("duration_ms").alias("latency")).crossJoin(F.broadcast(n))
@@ -192,8 +193,9 @@ def q19(b: Bundle) -> DataFrame:
 def q20(b: Bundle) -> DataFrame:
     """Whether one model's lead is larger on hard tasks than on easy ones, with an interval by strata."""
     p = paired(b, "correct", "correct is not null").withColumn("d", F.col("y") - F.col("x")).join(b.tasks.select("task_id", "difficulty"), "task_id").filter("difficulty in ('easy', 'hard')")
-    w = Window.partitionBy("difficulty")
-    p = p.withColumn("i", F.row_number().over(w.orderBy("task_id")) - 1).withColumn("n", F.count("*").over(w))
+    placed = running(p, ["difficulty", "task_id"], {}, "s")
+    strata = placed.groupBy("difficulty").agg(F.min("s").alias("first"), F.count("*").alias("n"))
+    p = placed.join(F.broadcast(strata), "difficulty").select("task_id", "difficulty", "d", (F.col("s") - F.col("first")).alias("i"), "n")  # two strata
     draws = p.select("difficulty", "i", "n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b.config.bootstrap_repetitions - 1))))
     draws = draws.select("rep", "difficulty", F.floor(uniform(F.lit(str(b.config.seed)), F.col("difficulty"), F.col("rep"), F.col("i")) * F.col("n")).cast("int").alias("i"))
     gap = F.avg(F.when(F.col("difficulty") == "hard", F.col("d"))) - F.avg(F.when(F.col("difficulty") == "easy", F.col("d")))
@@ -375,6 +377,8 @@ def revision_cycles(a: DataFrame) -> DataFrame:
     """
     step = a.filter("supersedes is not null").groupBy(F.col("annotation_id").alias("id")).agg(F.min("supersedes").alias("to"))
     live = written(step.join(step.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to"), "revisions")
+    if not live.limit(1).count():
+        return live.select(F.col("id").alias("annotation_id"), F.lit(True).alias("cycle"))
     walks, left = ends(live)
     rings = cycles(live.join(walks.filter("to is not null").select("id"), "id", "left_semi")) if left else live.limit(0)
     return rings.select(F.col("id").alias("annotation_id"), F.lit(True).alias("cycle"))
@@ -405,7 +409,7 @@ def q27(b: Bundle) -> DataFrame:
 def label_pairs(b: Bundle) -> DataFrame:
     """Two annotators' labels of one target (first the smaller id), with the target's task family."""
     e = effective(b).filter("label is not null")
-    last = e.groupBy("target_type", "target_id", "annotator_id").agg(F.max_by("label", F.struct("labeled_us", "annotation_id")).alias("label"))
+    last = written(e.groupBy("target_type", "target_id", "annotator_id").agg(F.max_by("label", F.struct("labeled_us", "annotation_id")).alias("label")), "labels")
     a, o = last.select("target_type", "target_id", F.col("annotator_id").alias("left"), F.col("label").alias("x")), last.select("target_type", "target_id", F.col("annotator_id").alias("right"), F.col("label").alias("y"))
     asked = last.select("target_id").distinct()
     trace = b.observations.filter("trace_id is not null").select(F.col("observation_id").alias("target_id"), "trace_id").join(asked, "target_id", "left_semi").join(b.traces.select("trace_id", "task_id"), "trace_id").select("target_id", "task_id")
