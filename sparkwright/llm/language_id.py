@@ -238,8 +238,9 @@ def language_id(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of ``docs`` (doc_id, text, lang).
 
     Learned from text and lang of the documents that are not held out. ``und`` with score 0: a null text, one without
-    letters, or nothing learned. A text too short for an n-gram gets score 0 and the first language. Rows are judged
-    by text alone, so equal texts agree.
+    letters, or nothing learned. A text too short for an n-gram gets score 0 and the first language, as do ties. Rows are
+    judged by text alone, so equal texts agree; texts are whole, whatever their length. Other columns, whatever their
+    names, are ignored; an empty table gives no rows.
     """
     model = learn(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"), share)
     out = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"])

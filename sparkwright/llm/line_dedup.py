@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import cut, forget, unused
+from sparkwright.llm.common import cut, input_partitions, unused
 
 #: One edit in 16 characters is near; the characters of a piece.
 SHARE, PIECE = 1 / 16, 4096
@@ -61,7 +61,7 @@ def near_earlier(docs: DataFrame, firsts: DataFrame, halves: DataFrame, share: f
     line = Window.partitionBy("key").orderBy("b")
     before, all_ = line.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("key")
     xor = lambda c, w: F.coalesce(F.bit_xor(c).over(w), F.lit(0).cast("long"))
-    pieces = pieces.select("*", xor("own_s", before).alias("base_s"), xor("own_m", before).alias("base_m"), F.bit_xor("own_s").over(all_).alias("t"), F.bit_xor("own_m").over(all_).alias("u")).repartition("key", "b")
+    pieces = pieces.select("*", xor("own_s", before).alias("base_s"), xor("own_m", before).alias("base_m"), F.bit_xor("own_s").over(all_).alias("t"), F.bit_xor("own_m").over(all_).alias("u")).repartition(input_partitions(docs.sparkSession), "key", "b")  # by number, as a piece's characters take a thousand times its room
     chars = pieces.select("key", "n", "after", "until", "b", "base_s", "base_m", "t", "u", F.posexplode(F.split("piece", "")).alias("j", "c")).filter("c != ''").withColumn("i", F.col("b") * PIECE + F.col("j"))
     same, moved = F.xxhash64("i", "c"), F.xxhash64(F.col("i") - 1, "c")
     upto = Window.partitionBy("key", "b").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
