@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.plans import annotations, bundle, domain, studies, traces, traces_sql
+from sparkwright.plans import annotations, bundle, domain, ensembles, studies, traces, traces_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +22,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: partial(trace_query, name) for name in traces.ALL | annotations.ALL} | domain.QUERIES | studies.QUERIES
+    return {name: partial(trace_query, name) for name in traces.ALL | annotations.ALL} | domain.QUERIES | studies.QUERIES | ensembles.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: traces_sql.sql(name) for name in traces.ALL} | {name: traces_sql.over_bundle(text) for name, text in annotations.SQL.items()} | domain.SQL | studies.SQL
+    return {name: traces_sql.sql(name) for name in traces.ALL} | {name: traces_sql.over_bundle(text) for name, text in annotations.SQL.items()} | domain.SQL | studies.SQL | ensembles.SQL

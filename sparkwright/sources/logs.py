@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkwright.functions.text import matches_any, redacted, short_id, truncated
 
 EVENT = "ts timestamp, session_id string, turn int, type string, model string, user_input string, assistant_output string, duration_ms double, tokens_in long, tokens_out long, tool_count int, error string, agentic_step int, tool_calls array<struct<tool_call_id:string, name:string, ok:boolean, ms:double, start_offset_ms:double, args_preview:string, result_preview:string>>"
-ROLLOUT = "timestamp timestamp, type string, payload struct<type:string, turn_id:string, id:string, role:string, call_id:string, name:string, input:string, arguments:string, output:string, content:array<struct<type:string, text:string>>, model:string, info:struct<last_token_usage:struct<input_tokens:long, output_tokens:long, cached_input_tokens:long>>>"
+ROLLOUT = "timestamp timestamp, type string, payload struct<type:string, turn_id:string, id:string, thread_source:string, source:string, role:string, call_id:string, name:string, input:string, arguments:string, output:string, content:array<struct<type:string, text:string>>, model:string, info:struct<last_token_usage:struct<input_tokens:long, output_tokens:long, cached_input_tokens:long>>>"
 FAILURE = ["traceback (most recent call last)", "exit code: 1", "error:"]
 
 

@@ -1,11 +1,9 @@
-"""Structured Streaming forms of the hourly panel, visits and late data."""
+"""Structured Streaming forms of the hourly panel, visits and late data; those with state of their own are in ``stateful``."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def hourly(events: DataFrame, key: str, late: str = "2 hours") -> DataFrame:
@@ -32,36 +30,43 @@ def lateness(events: DataFrame, key: str, seen: str, late: str = "2 hours") -> D
     return w.select("key", F.col("window.start").alias("hour"), "n", "mean_s", "max_s", "negative")
 
 
-def peak_ages(hours: DataFrame, late: str = "2 hours") -> DataFrame:
-    """key, hour, age: for each hour of a stream (key, hour, is_peak), how many hours in a row have been peaks.
+def newest(rows: DataFrame, key: str, version: str) -> DataFrame:
+    """The row of each key with the largest version; of equal ones the largest row."""
+    return rows.groupBy(key).agg(F.max(F.struct(F.col(version).alias("__version"), *[F.col(c) for c in rows.columns])).alias("__r")).select(*[F.col("__r")[c].alias(c) for c in rows.columns])
 
-    Hours of a key come in order but for those within one micro-batch; the state is the last hour and its age.
+
+def upserts(changes: DataFrame, table: str, key: str, version: str, checkpoint: str):
+    """Keeps the changes of each micro-batch, reduced to each key's newest, as a delta of its own at ``table``.
+
+    A batch that is run again replaces its own delta, so a restart neither loses nor repeats anything, and a write costs
+    what the batch holds, not what the table holds. ``current`` reads the table, ``compacted`` makes the deltas one.
     """
 
-    def step(key, frames, state):
-        last, age = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values("hour")
-        ages = []
-        for hour, peak in zip(rows["hour"], rows["is_peak"], strict=True):
-            follows = last is not None and hour - last == pd.Timedelta(hours=1)
-            age = (age + 1 if follows and age else 1) if peak else 0
-            last = hour
-            ages.append(age)
-        state.update((last, age))
-        yield rows[["key", "hour"]].assign(age=ages)
+    def keep(batch: DataFrame, number: int) -> None:
+        newest(batch, key, version).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return hours.withWatermark("hour", late).groupBy("key").applyInPandasWithState(step, "key string, hour timestamp, age long", "hour timestamp, age long", "append", GroupStateTimeout.NoTimeout)
+    return changes.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
 
 
-def upserts(changes: DataFrame, table: str, key: str, version: str, checkpoint: str):
-    """Keeps the latest version of each key at ``table`` (Parquet): each micro-batch is merged and written beside, then named."""
-    spark = changes.sparkSession
+def current(spark: SparkSession, table: str, key: str, version: str) -> DataFrame:
+    """The newest row of each key over all deltas."""
+    return newest(spark.read.option("basePath", table).parquet(f"{table}/batch=*").drop("batch"), key, version)
+
 
-    def merge(batch: DataFrame, number: int) -> None:
-        new = batch
-        if number:
-            new = spark.read.parquet(f"{table}/v{number - 1}").unionByName(batch)
-        newest = new.groupBy(key).agg(F.max_by(F.struct(*new.columns), version).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{table}/v{number}")
+def compacted(spark: SparkSession, table: str, key: str, version: str) -> None:
+    """Make all deltas but the last one the first of them; the last stays, since a restart may run its batch again.
 
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    The merged rows are whole beside the deltas before any of these goes, and rows that are there twice change nothing,
+    so a stop at any point leaves a table that reads the same.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch=*")))
+    old = [n for n in found if n != found[-1]]
+    if len(old) < 2:
+        return
+    rows = spark.read.option("basePath", table).parquet(*[f"{table}/batch={n}" for n in old]).drop("batch")
+    number = min(-1, found[0] - 1)  # no micro-batch has it
+    newest(rows, key, version).write.mode("overwrite").parquet(f"{table}/batch={number}")
+    for n in old:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch={n}"), True)

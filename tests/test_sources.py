@@ -80,7 +80,20 @@ def test_streaming(spark, tmp_path):
         got = spark.table(name).collect()
         if n:
             assert got and all(r["n"] in (2, 4, 6) for r in got)
-    q = streaming.upserts(source(), str(tmp_path / "u"), "key", "v", str(tmp_path / "uc")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.read.parquet(str(tmp_path / "u" / "v0")).first()["v"] == 11
+
+
+def test_upserts_cost_what_the_batch_holds_and_survive_restarts(spark, tmp_path):
+    table, changes = str(tmp_path / "t"), tmp_path / "in"
+    for i, rows in enumerate([[("a", 1, "x"), ("b", 1, "x")], [("a", 3, "z"), ("a", 2, "y")], [("c", 1, "x"), ("b", 0, "old")]]):
+        spark.createDataFrame(rows, "key string, v int, value string").coalesce(1).write.mode("append").parquet(str(changes))
+        q = streaming.upserts(spark.readStream.schema("key string, v int, value string").parquet(str(changes)), table, "key", "v", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(100)
+        assert q.exception() is None
+        assert spark.read.parquet(f"{table}/batch={i}").count() == len({r[0] for r in rows})
+        if i == 1:
+            streaming.compacted(spark, table, "key", "v")  # one delta beside the last: nothing to do
+    want = [("a", 3, "z"), ("b", 1, "x"), ("c", 1, "x")]
+    read = lambda: sorted(map(tuple, streaming.current(spark, table, "key", "v").collect()))
+    assert read() == want
+    streaming.compacted(spark, table, "key", "v")
+    assert read() == want and sorted(p.name for p in (tmp_path / "t").iterdir()) == ["batch=-1", "batch=2"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkwright.plans import studies, traces
 from sparkwright.sources.trips import cell_distance, ring
 from sparkwright.streaming import events as streaming
+from sparkwright.streaming import stateful
 
 
 def walked(parents):
@@ -55,7 +56,7 @@ def test_lateness_and_peak_ages(spark, tmp_path):
     table = spark.createDataFrame(rows, "key string, ts string, seen string, is_peak boolean").select("key", F.to_timestamp("ts").alias("ts"), F.to_timestamp("seen").alias("seen"), "is_peak")
     table.coalesce(1).write.parquet(str(tmp_path / "in"))
     source = lambda: spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
-    for name, df in (("late", streaming.lateness(source(), "key", "seen")), ("age", streaming.peak_ages(source().select("key", F.col("ts").alias("hour"), "is_peak")))):
+    for name, df in (("late", streaming.lateness(source(), "key", "seen")), ("age", stateful.peak_ages(source().select("key", F.col("ts").alias("hour"), "is_peak")))):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
         q.processAllAvailable()
         q.stop()
