@@ -33,26 +33,30 @@ def letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def grams(texts: list[str | None], block: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, number of texts, has letters, each n-gram's text counted from the first, its hash), in blocks.
 
+    A text's n-grams are those of its letters between one boundary before and one after it, whatever texts it comes with.
     A long text comes in parts that overlap by what an n-gram spans, as blocks of their own.
     """
     i = 0
     while i < len(texts):
         j, size, part = i, 0, []
-        while j < len(texts) and (j == i or size + len(texts[j] or "") < BLOCK):
+        while j < len(texts) and (j == i or size + len(texts[j] or "") < block):
             part.append((texts[j] or "").lower())
-            size += len(part[-1]) + 1
+            size += len(part[-1]) + 2
             j += 1
-        if size <= 2 * BLOCK:
+        if j - i > 1 or size <= 2 * block:
             yield (i, j - i, *hashed(part))
         else:
             text, at, carry = part[0], 0, np.zeros(1, np.uint32)
             while at < len(text):
-                codes = np.concatenate([carry, squeezed(text[at : at + BLOCK], carry[-1] == 0)])
+                codes = np.concatenate([carry, squeezed(text[at : at + block], carry[-1] == 0)])
+                at += block
+                if at >= len(text) and codes[-1]:
+                    codes = np.append(codes, np.uint32(0))
                 yield i, 1, np.array([codes.any()]), np.zeros(max(0, len(codes) - GRAM + 1), int), windows(codes)
-                carry, at = codes[-(GRAM - 1) :], at + BLOCK
+                carry = codes[-(GRAM - 1) :]
         i = j
 
 
@@ -65,19 +69,18 @@ def squeezed(text: str, after_gap: bool) -> np.ndarray:
 
 
 def hashed(part: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    codes = np.frombuffer(("\n" + "\n".join(part) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
-    is_letter = letters()[codes]
-    ends = np.cumsum([len(p) + 1 for p in part])  # the separator before each text and after the last are boundaries
-    owner = np.repeat(np.arange(len(part) + 1), np.diff(np.concatenate([[0], ends, [len(codes)]])))
-    has = np.bincount(owner[is_letter], minlength=len(part) + 1)[: len(part)] > 0
+    codes = np.frombuffer(("\n" + "\n\n".join(part) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+    is_letter, lengths = letters()[codes], np.array([len(p) + 2 for p in part])  # each with a separator at both ends
+    owner = np.repeat(np.arange(len(part)), lengths)
+    has = np.bincount(owner[is_letter], minlength=len(part)) > 0
     keep = is_letter | np.concatenate([[True], is_letter[:-1]])
+    keep[np.cumsum(lengths) - lengths] = True
     codes, owner = np.where(is_letter, codes, 0)[keep].astype(np.uint32), owner[keep]
     if len(codes) < GRAM:
         return has, np.zeros(0, int), np.zeros(0, np.uint64)
-    # the boundary after a text is the next one's first character: an n-gram is its second character's
-    second = owner[1 : len(owner) - GRAM + 2]
-    inside = second == owner[GRAM - 2 : len(owner) - 1]
-    return has, second[inside], windows(codes)[inside]
+    first = owner[: len(owner) - GRAM + 1]
+    inside = first == owner[GRAM - 1 :]
+    return has, first[inside], windows(codes)[inside]
 
 
 def windows(codes: np.ndarray) -> np.ndarray:
@@ -215,8 +218,15 @@ def predict(docs: DataFrame, model: Filter, keep: list[str]) -> DataFrame:
 
 
 def recognised(docs: DataFrame, least: float, share: float = SHARE) -> DataFrame:
-    """``docs`` without the rows whose text is in none of the languages that it teaches: ``und``, or a score under ``least``."""
+    """``docs`` without the rows whose text is in none of the languages that it teaches: ``und``, or a score under ``least``.
+
+    ``docs`` has doc_id, text and lang; all columns are kept, whatever their names, and repeated rows fare alike. A null
+    text and one without letters are ``und``; one too short for an n-gram stays. Where no lang teaches anything, nothing is
+    known about any text, and all rows stay; an empty table stays empty.
+    """
     model = learn(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"), share)
+    if not model.langs:
+        return docs
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):

@@ -24,19 +24,22 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Characters that end a match of letters before them and begin one of their own; none occurs in an added token.
+TAIL = ".,;:!?%&$#*"
+
+
 def cuttable(path: str) -> bool:
-    """Whether the tokenizer is byte-level with the usual pattern, without normalizer and added prefix space."""
+    """Whether the tokenizer is byte-level with the usual pattern, without normalizer and added prefix space.
+
+    Nor may an added token be found within what is encoded apart: one of letters alone, or with a sign of ``TAIL``.
+    """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
-    special = [t for t in spec.get("added_tokens") or [] if any(c.isspace() for c in t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")]
+    special = [t for t in spec.get("added_tokens") or [] if any(c.isspace() for c in t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") or t["content"].isalpha() or set(t["content"]) & set(TAIL)]
     return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not special
 
 
-#: Characters that end a match of letters before them and begin one of their own; none occurs in a special token.
-TAIL = ".,;:!?%&$#*"
-
-
 def byte_letters() -> dict[int, str]:
     """The letter by which byte-level BPE writes each byte: printable bytes stand for themselves, the others follow from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

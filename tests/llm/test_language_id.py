@@ -85,13 +85,38 @@ def test_many_languages_and_long_texts():
         masks[k, k // 64] = np.uint64(1) << np.uint64(k % 64)
     f = li.Filter(langs, h, masks)
     assert (f.counts(np.arange(130), h, 130).argmax(axis=1) == np.arange(130)).all()
-    text = "äb cd, efg " * 200_000
-    long = np.concatenate([x[4] for x in li.grams([text])])
-    whole = li.hashed([text.lower()])[2]
-    assert abs(len(long) - len(whole)) <= 2 and set(long.tolist()) <= set(whole.tolist())
+
+
+def own_grams(texts, block):
+    """Hashes of each text's n-grams, as ``grams`` gives them."""
+    out = [[] for _ in texts]
+    for i, n, _, owner, h in li.grams(texts, block):
+        for k in range(n):
+            out[i + k] += h[owner == k].tolist()
+    return out
+
+
+def test_grams_are_a_texts_own_alone_in_any_batch_and_at_any_length():
+    texts = ["cd", "a", "zz", "the", "ab", "", None, ".", "..x", "End.", " two  words ", "äb cd, efg " * 40, "x" * 90, "İi" * 30, "12 34", "q,", "\n\n"]
+    code = lambda g: li.windows(np.array([0 if c == " " else ord(c) for c in g], np.uint32)).tolist()
+    want = [[h for g in slow_grams(t or "") for h in code(g)] for t in texts]
+    assert len(want[0]) == 1 and not want[1]
+    for block in (1, 2, 3, 5, 64, 1 << 19):
+        assert own_grams(texts, block) == want
+        assert own_grams(texts[::-1], block) == want[::-1]
+    for t, w in zip(texts, want, strict=True):
+        assert own_grams([t], 7) == [w] and own_grams(["ab", t, "ab"], 1 << 19)[1] == w
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    df = frame(spark, [r for s in range(3) for r in documents(s)])
+    once, again = (sorted(((r["doc_id"], r["lang_pred"], r["score"]) for r in li.language_id(df.repartition(n)).collect()), key=str) for n in (1, 7))
+    assert once == again
 
 
 def test_empty_and_nothing_learned(spark):
     assert li.language_id(empty(spark)).count() == 0
     rows = [(1, "some words", None, "s"), (2, None, None, None)]
     assert {(r["doc_id"], r["lang_pred"]) for r in li.language_id(frame(spark, rows)).collect()} == {(1, "und"), (2, "und")}
+    df = frame(spark, rows)
+    assert sorted(map(str, li.recognised(df, 0.2).collect())) == sorted(map(str, df.collect()))

@@ -59,3 +59,19 @@ def test_stages(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got} == ids and len(got) == docs.count()
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def pipeline_over(spark, path, rows, items):
+    frame(spark, rows).select("doc_id", "text", "lang", "source").selectExpr("*", "length(text) as n_chars").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(path)).collect()
+
+
+def test_no_documents_and_no_benchmark(spark, tmp_path):
+    assert pipeline_over(spark, tmp_path, [], []) == []
+
+
+def test_documents_without_any_lang_pass(spark, tmp_path):
+    rows = [(i, " ".join(f"w{(i * 31 + j * j) % 977}x" for j in range(60)), None, "s") for i in range(12)]
+    got = pipeline_over(spark, tmp_path, [*rows, (50, None, None, None), (3, *rows[3][1:])], [])
+    assert {r["doc_id"] for r in got} == set(range(12))  # a source without words has none to give to the mix

@@ -26,6 +26,17 @@ def test_pieces_are_what_the_library_gives():
         assert np.frombuffer(got, "<u4").tolist() == direct(e.tokenizer, t), t
 
 
+@pytest.mark.parametrize("added", ["pad", "no.", "<|x|>"])
+def test_added_tokens_are_found_as_by_the_library(tmp_path, added):
+    t = load(tokenizer_path())
+    t.add_special_tokens([added])
+    t.save(str(tmp_path / "t.json"))
+    e = PieceEncoder(str(tmp_path / "t.json"))
+    assert e.cut == (added == "<|x|>")
+    texts = ["my pad here", "padding no. no, nono.", "a <|x|> b<|x|>", "pad"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [direct(e.tokenizer, x) for x in texts]
+
+
 def test_other_tokenizers_encode_whole_texts():
     e = PieceEncoder(tokenizer_path("word_bpe_49k.json"))
     assert not e.cut and all(np.frombuffer(e.encode_one(t), "<u4").tolist() == direct(e.tokenizer, t) for t in ODD)
