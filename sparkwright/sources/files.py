@@ -41,6 +41,32 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, missing_is_
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def table_exists(spark: SparkSession, name: str) -> bool:
+    """Whether the catalog has a table or view of this name."""
+    return spark.catalog.tableExists(name)
+
+
+def created_as(df: DataFrame, name: str, replace: bool = False) -> DataFrame:
+    """A table of the catalog made of ``df``; one that exists raises, unless it may be replaced."""
+    if not replace and table_exists(df.sparkSession, name):
+        raise ValueError(f"{name} exists")
+    df.write.mode("overwrite" if replace else "errorifexists").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def inserted(df: DataFrame, name: str) -> None:
+    """Append ``df`` to a table, columns by name and in the table's types; a value that its type doesn't hold raises.
+
+    A column that the table lacks raises, one that ``df`` lacks is null.
+    """
+    target = df.sparkSession.table(name)
+    unknown = set(df.columns) - set(target.columns)
+    if unknown:
+        raise ValueError(f"{name} has no {sorted(unknown)}")
+    typed = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in target.schema.fields]
+    df.select(*typed).write.mode("append").insertInto(name)
+
+
 def schema_difference(a: DataFrame, b: DataFrame) -> tuple[list[str], list[str]]:
     """Columns only in a, and only in b."""
     return sorted(set(a.columns) - set(b.columns)), sorted(set(b.columns) - set(a.columns))
@@ -86,10 +112,13 @@ def resumed(spark: SparkSession, path: str, wanted: DataFrame, key: str, make: C
 
 
 def batched(events: DataFrame, group: str, order: str, most: int) -> DataFrame:
-    """``events`` with batch: groups are never split, and a batch has at most ``most`` events unless one group has more."""
-    from pyspark.sql import Window
+    """``events`` with batch: groups, in order of their first event, are never split.
+
+    A batch ends where the running sum of the sizes passes a multiple of ``most``, so it has at most ``most`` events and
+    those of one group more. Groups are put in order by range partitions.
+    """
+    from sparkwright.operators.ordered import running
 
     sizes = events.groupBy(group).agg(F.count("*").alias("__n"), F.min(order).alias("__o"))
-    run = Window.orderBy("__o", group).rowsBetween(Window.unboundedPreceding, 0)
-    placed = sizes.withColumn("batch", F.floor((F.sum("__n").over(run) - 1) / F.lit(most)))
+    placed = running(sizes, ["__o", group], {"__upto": F.col("__n")}, "__no").withColumn("batch", F.floor((F.col("__upto") - 1) / F.lit(most)))
     return events.join(placed.select(group, "batch"), group)

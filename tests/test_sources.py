@@ -1,5 +1,7 @@
 import json
 
+import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +45,24 @@ def test_files(spark, tmp_path):
     assert b.groupBy("g").agg(F.countDistinct("batch")).filter("`count(DISTINCT batch)` > 1").count() == 0 and b.groupBy("batch").count().agg(F.max("count")).first()[0] <= 6
 
 
+def test_tables_of_the_catalog(spark):
+    df = spark.createDataFrame([(1, "2.5")], "a int, b string")
+    try:
+        assert not files.table_exists(spark, "made_here")
+        files.created_as(df.select("a", F.col("b").cast("double").alias("b")), "made_here")
+        with pytest.raises(ValueError, match="exists"):
+            files.created_as(df, "made_here")
+        files.inserted(df, "made_here")
+        files.inserted(df.select("b"), "made_here")
+        assert sorted(map(str, spark.table("made_here").collect())) == sorted(map(str, [Row(a=1, b=2.5), Row(a=1, b=2.5), Row(a=None, b=2.5)]))
+        with pytest.raises(ValueError, match="has no"):
+            files.inserted(df.withColumn("c", F.lit(1)), "made_here")
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            files.inserted(spark.createDataFrame([("x",)], "b string"), "made_here")
+    finally:
+        spark.sql("DROP TABLE IF EXISTS made_here")
+
+
 def test_logs(spark, tmp_path):
     lines = [{"type": "llm_round", "ts": "2024-01-01T00:00:01Z", "turn": 1, "agentic_step": 1, "duration_ms": 10, "tool_calls": [{"name": "read", "ok": True, "result_preview": "password=hunter22 ok"}, {"name": "run", "ok": False}]},
              {"type": "turn", "ts": "2024-01-01T00:00:02Z", "turn": 1, "duration_ms": 2000, "user_input": "hi", "assistant_output": "done", "tokens_in": 5, "tokens_out": 7, "tool_count": 2},
