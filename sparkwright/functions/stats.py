@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +23,39 @@ def interval(df: DataFrame, value: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.percentile(value, F.lit(0.025)).alias("low"), F.percentile(value, F.lit(0.975)).alias("high"))
 
 
-def bootstrap(values: DataFrame, column: str, stat: Column, repetitions: int, seed: int) -> DataFrame:
-    """low, high of ``stat`` (an aggregate of ``column``) over resamples of ``values`` (i, n, column)."""
-    return interval(resampled(values.select("i", "n", column), repetitions, seed).groupBy("rep").agg(stat.alias("s")), "s")
+def poisson_steps(bits: int = 32) -> list[str]:
+    """The numbers of ``bits`` bits, as hex text, below which a Poisson number of mean 1 is 0, 1, 2 and so on."""
+    share, term, out = 0.0, math.exp(-1), []
+    while share + term < 1 and math.floor((share + term) * (1 << bits)) < (1 << bits) - 1:
+        share += term
+        out.append(f"{math.floor(share * (1 << bits)):0{bits // 4}x}")
+        term /= len(out)
+    return out
+
+
+def weighted(rows: DataFrame, ident: Column, repetitions: int, seed: int) -> DataFrame:
+    """``rows`` with rep and w > 0: how often a resample takes the row, a Poisson number that seed, rep and ``ident`` fix.
+
+    Each row makes its numbers where it lies, four from one MD5, so sums by rep need no row to meet another, and partial
+    sums are all that is shuffled. A resample's size is about, not exactly, that of ``rows``.
+    """
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((repetitions - 1) // 4))).alias("__block")
+    drawn = rows.withColumn("__ident", ident.cast("string")).select("*", blocks).withColumn("__digest", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__block").cast("string"), "__ident")))
+    parts = F.explode(F.array(*[F.struct((F.col("__block") * 4 + k).alias("rep"), F.substring("__digest", 8 * k + 1, 8).alias("h")) for k in range(4)])).alias("__part")
+    w, steps = None, poisson_steps()
+    for n, step in enumerate(steps):
+        w = F.when(F.col("__part.h") < step, n) if w is None else w.when(F.col("__part.h") < step, n)
+    return drawn.select(*rows.columns, parts).select(*rows.columns, F.col("__part.rep").alias("rep"), w.otherwise(len(steps)).alias("w")).filter((F.col("w") > 0) & (F.col("rep") < repetitions))
+
+
+def bootstrap(rows: DataFrame, ident: Column, stat: Column, repetitions: int, seed: int) -> DataFrame:
+    """low, high of ``stat`` (an aggregate in which a row counts w times) over Poisson resamples of ``rows``."""
+    return interval(weighted(rows, ident, repetitions, seed).groupBy("rep").agg(stat.alias("s")), "s")
+
+
+def mean_of(value: Column) -> Column:
+    """The mean of ``value`` in a resample, for ``bootstrap``; rows where it is null count for nothing."""
+    return F.try_divide(F.sum(value * F.col("w")), F.sum(F.when(value.isNotNull(), F.col("w"))))
 
 
 def fisher_two_sided(table: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from sparkwright.operators import relational as R
 from sparkwright.operators.ordered import numbered
 from sparkwright.plans import mobility as M
 from sparkwright.plans.domain import CORR, PANEL, TRAIN_END, events, panel, r6, table
+from sparkwright.plans.traces_sql import weight
 from sparkwright.sources.trips import cell_distance, ring
 
 HOUR = "interval 1 hour"
@@ -188,12 +189,12 @@ def pressure_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ablation(errors: DataFrame, slices: dict[str, Column], repetitions: int = 300, seed: int = 42) -> DataFrame:
     """By slice: hours, both models' mean errors, mean difference b - a and its interval; ``errors``: hour, a, b, one row an hour.
 
-    A slice's resamples are drawn among its hours in order, by hashes.
+    A slice's resamples take each hour a Poisson number of times, by hashes.
     """
     out = None
     for name, keep in slices.items():
-        n = numbered(errors.filter(keep).withColumn("d", F.col("b") - F.col("a")), "hour")
-        one = n.agg(F.count("*").alias("hours"), F.avg("a").alias("mae_a"), F.avg("b").alias("mae_b"), F.avg("d").alias("difference")).crossJoin(stats.bootstrap(n, "d", F.avg("d"), repetitions, seed)).withColumn("slice", F.lit(name))
+        n = errors.filter(keep).withColumn("d", F.col("b") - F.col("a"))
+        one = n.agg(F.count("*").alias("hours"), F.avg("a").alias("mae_a"), F.avg("b").alias("mae_b"), F.avg("d").alias("difference")).crossJoin(stats.bootstrap(n.select("hour", "d"), F.col("hour"), stats.mean_of(F.col("d")), repetitions, seed)).withColumn("slice", F.lit(name))
         out = one if out is None else out.union(one)
     return out
 
@@ -354,7 +355,6 @@ c AS (SELECT *, avg(step) OVER (PARTITION BY key ORDER BY hour ROWS BETWEEN 2 PR
 d AS (SELECT *, sum(s) OVER (PARTITION BY key ORDER BY hour) AS run FROM c),
 cases AS (SELECT key, hour, n, dow, clock, row_number() OVER (PARTITION BY key, run ORDER BY hour) AS age, list_concat([0 for i in range(0, 24 - len(last))], last) AS h24, dz, velocity, week, (az - z) / nullif(cz - 1, 0) AS nz FROM d WHERE is_peak),
 ev AS (SELECT *, key || '@' || strftime(hour, '%Y%m%d%H') AS case_id, list_filter(['S0_current_peak', CASE WHEN dz >= 1 THEN 'S1_rising' END, CASE WHEN velocity >= 0.5 THEN 'S2_recent_rise' END, CASE WHEN age >= 2 THEN 'S3_lasting' END, CASE WHEN nz >= 2 THEN 'S4_neighbours' END, CASE WHEN week >= n * 0.9::DOUBLE THEN 'S6_weekly' END], lambda x: x IS NOT NULL) AS eligible FROM cases)"""
-U = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
 PLACES = """places AS (SELECT s_suppkey AS place, 41.6::DOUBLE + s_suppkey % 97 / 250.0::DOUBLE AS lat, -87.9::DOUBLE + s_suppkey % 89 / 250.0::DOUBLE AS lon, coalesce(c, 0) AS activity FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS c FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey)"""
 WINDOWS = PANEL + """, anchors AS (SELECT unnest([TIMESTAMP '2024-01-12 19:00:00', TIMESTAMP '2024-01-24 13:00:00']) AS anchor), mid AS (SELECT key, dow, clock, median(n) AS med FROM panel GROUP BY 1, 2, 3), ex AS (SELECT key, hour, ln(1 + n) - ln(1 + med) AS excess FROM panel JOIN mid USING (key, dow, clock)),
 wi AS (SELECT key, anchor, CAST(o AS INT) AS o, excess FROM anchors, range(-6, 9) r(o), ex WHERE ex.hour = anchor + to_hours(o))"""
@@ -380,8 +380,8 @@ SQL: dict[str, str] = {
       bs AS (SELECT key, dow, clock, avg(net) AS m, CASE WHEN coalesce(stddev_samp(net), 0) = 0 THEN 1 ELSE stddev_samp(net) END AS sd FROM nt WHERE hour < TIMESTAMP '{TRAIN_END}' GROUP BY 1, 2, 3), pr AS (SELECT key, hour, net, (net - m) / greatest(sd, 1) AS z FROM nt JOIN bs USING (key, dow, clock) WHERE hour >= TIMESTAMP '{TRAIN_END}'),
       rk AS (SELECT *, row_number() OVER (ORDER BY -round(z, 9), key, hour) AS i, row_number() OVER (ORDER BY round(z, 9), key, hour) AS o FROM pr) SELECT 'inflow' AS side, key, hour, net, round(z, 6) AS pressure FROM rk WHERE i <= 10 UNION ALL SELECT 'outflow', key, hour, net, round(z, 6) FROM rk WHERE o <= 10""",
     "ablation_slices": "WITH " + TRAINED + f""", l AS (SELECT *, lag(n, 168) OVER (PARTITION BY key ORDER BY hour) AS week FROM panel), e AS (SELECT hour, round(avg(abs(n - mean)), 9) AS a, round(avg(abs(n - week)), 9) AS b FROM l JOIN base USING (key, dow, clock) WHERE hour >= TIMESTAMP '{TRAIN_END}' AND week IS NOT NULL GROUP BY 1),
-      s AS (SELECT *, b - a AS d FROM (SELECT 'all' AS slice, hour, a, b FROM e UNION ALL SELECT CASE WHEN isodow(hour) < 6 THEN 'workday' ELSE 'weekend' END, hour, a, b FROM e)), i AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY hour) - 1 AS i, count(*) OVER (PARTITION BY slice) AS n FROM s),
-      dr AS (SELECT q.slice, rep, avg(i.d) AS m FROM (SELECT slice, rep, CAST(floor({U.format("'42:' || rep || ':' || i")} * n) AS INT) AS j FROM i, range(300) r(rep)) q JOIN i ON i.slice = q.slice AND i.i = q.j GROUP BY 1, 2)
+      s AS (SELECT *, b - a AS d FROM (SELECT 'all' AS slice, hour, a, b FROM e UNION ALL SELECT CASE WHEN isodow(hour) < 6 THEN 'workday' ELSE 'weekend' END, hour, a, b FROM e)),
+      dr AS (SELECT slice, rep, sum(d * w) / sum(w) AS m FROM (SELECT slice, rep, d, {weight("CAST(hour AS VARCHAR)")} AS w FROM s, range(300) r(rep)) GROUP BY 1, 2)
       SELECT slice, hours, mae_a, mae_b, difference, low, high FROM (SELECT slice, count(*) AS hours, round(avg(a), 6) AS mae_a, round(avg(b), 6) AS mae_b, round(avg(d), 6) AS difference FROM s GROUP BY 1) JOIN (SELECT slice, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM dr GROUP BY 1) USING (slice)""",
     "peak_metrics": "WITH " + TRAINED + """, s AS (SELECT p.key, p.hour, n, mean, sd FROM panel p LEFT JOIN base USING (key, dow, clock)), r AS (SELECT CAST(h AS INT) AS horizon, model, CAST(CASE WHEN model = 'now' THEN n ELSE lag(n, 168 - h) OVER w END AS DOUBLE) AS pred, lead(n, h) OVER w AS actual, lead(mean, h) OVER w AS m, lead(sd, h) OVER w AS sd FROM s, (SELECT unnest([1, 3, 6]) AS h), (SELECT unnest(['now', 'week']) AS model) WINDOW w AS (PARTITION BY key, h, model ORDER BY hour)),
       x AS (SELECT *, (actual - m) / sd >= 1 AS y, CASE WHEN (actual - m) / sd IS NOT NULL THEN round((pred - m) / sd, 9) END AS score FROM r WHERE actual IS NOT NULL), v AS (SELECT *, score >= 1 AND pred >= 1 AS p FROM x WHERE score IS NOT NULL),

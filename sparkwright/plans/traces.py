@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkwright.functions import stats
 from sparkwright.functions.scalars import exact_mcnemar, ratio, two_sided_p, uniform
 from sparkwright.functions.text import has_text, mentioned
-from sparkwright.operators.ordered import average_ranks, numbered, running
+from sparkwright.operators.ordered import average_ranks, running
 from sparkwright.operators.relational import divided, next_after, orphans, top_with_ties, undominated
 from sparkwright.operators.tables import forgotten, written
 from sparkwright.plans.bundle import Bundle
@@ -166,16 +166,16 @@ def paired(b: Bundle, value: str, keep: str) -> DataFrame:
 
 def q17(b: Bundle) -> DataFrame:
     """Paired accuracies of two models: difference, interval, McNemar."""
-    p = numbered(paired(b, "correct", "correct is not null").withColumn("d", F.col("y") - F.col("x")), "task_id")
-    low_high = stats.bootstrap(p, "d", F.avg("d"), b.config.bootstrap_repetitions, b.config.seed)
+    p = paired(b, "correct", "correct is not null").withColumn("d", F.col("y") - F.col("x"))
+    low_high = stats.bootstrap(p.select("task_id", "d"), F.col("task_id"), stats.mean_of(F.col("d")), b.config.bootstrap_repetitions, b.config.seed)
     n = p.agg(F.count("*").alias("pairs"), r6(F.avg("x")).alias("accuracy_a"), r6(F.avg("y")).alias("accuracy_b"), r6(F.avg("d")).alias("difference"), F.count_if(F.expr("x > y")).alias("only_a"), F.count_if(F.expr("y > x")).alias("only_b"))
     return n.crossJoin(low_high).select("pairs", "accuracy_a", "accuracy_b", "difference", "only_a", "only_b", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), r6(exact_mcnemar(F.col("only_a"), F.col("only_b"))).alias("mcnemar_p"))
 
 
 def q18(b: Bundle) -> DataFrame:
     """Paired latencies of successful traces: median difference and interval."""
-    p = numbered(paired(b, "duration_ms", "status = 'success'").withColumn("d", F.col("y") - F.col("x")), "task_id")
-    low_high = stats.bootstrap(p, "d", F.median("d"), b.config.bootstrap_repetitions, b.config.seed)
+    p = paired(b, "duration_ms", "status = 'success'").withColumn("d", F.col("y") - F.col("x"))
+    low_high = stats.bootstrap(p.select("task_id", "d"), F.col("task_id"), F.percentile("d", F.lit(0.5), F.col("w")), b.config.bootstrap_repetitions, b.config.seed)
     return p.agg(F.count("*").alias("pairs"), r6(F.median("d")).alias("median_difference_ms")).crossJoin(low_high.select(r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high")))
 
 
@@ -193,13 +193,10 @@ def q19(b: Bundle) -> DataFrame:
 def q20(b: Bundle) -> DataFrame:
     """Whether one model's lead is larger on hard tasks than on easy ones, with an interval by strata."""
     p = paired(b, "correct", "correct is not null").withColumn("d", F.col("y") - F.col("x")).join(b.tasks.select("task_id", "difficulty"), "task_id").filter("difficulty in ('easy', 'hard')")
-    placed = running(p, ["difficulty", "task_id"], {}, "s")
-    strata = placed.groupBy("difficulty").agg(F.min("s").alias("first"), F.count("*").alias("n"))
-    p = placed.join(F.broadcast(strata), "difficulty").select("task_id", "difficulty", "d", (F.col("s") - F.col("first")).alias("i"), "n")  # two strata
-    draws = p.select("difficulty", "i", "n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b.config.bootstrap_repetitions - 1))))
-    draws = draws.select("rep", "difficulty", F.floor(uniform(F.lit(str(b.config.seed)), F.col("difficulty"), F.col("rep"), F.col("i")) * F.col("n")).cast("int").alias("i"))
-    gap = F.avg(F.when(F.col("difficulty") == "hard", F.col("d"))) - F.avg(F.when(F.col("difficulty") == "easy", F.col("d")))
-    low_high = stats.interval(draws.join(p.drop("n"), ["difficulty", "i"]).groupBy("rep").agg(gap.alias("s")), "s")
+    part = lambda x, name: F.when(F.col("difficulty") == name, x)
+    gap = F.avg(part(F.col("d"), "hard")) - F.avg(part(F.col("d"), "easy"))
+    again = stats.mean_of(part(F.col("d"), "hard")) - stats.mean_of(part(F.col("d"), "easy"))
+    low_high = stats.bootstrap(p.select("task_id", "difficulty", "d"), F.col("task_id"), again, b.config.bootstrap_repetitions, b.config.seed)
     return p.agg(F.count("*").alias("tasks"), r6(gap).alias("interaction")).crossJoin(low_high.select(r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high")))
 
 
@@ -310,17 +307,12 @@ def q23(b: Bundle) -> DataFrame:
 def q24(b: Bundle) -> DataFrame:
     """How failures concentrate on tools: a row for all (HHI and Gini with their intervals) and one for each tool (failures, share).
 
-    A resample of all failures gives each tool a number of them; it is drawn a failure at a time, by hashes, and counted by
-    repetition and tool, so no task holds more than those counts.
+    A resample takes each failure a Poisson number of times; only sums by repetition and tool leave the failures' tasks.
     """
     f = tools(b).filter("status <> 'success'").select("observation_id", "tool_name")
     counts = written(f.groupBy("tool_name").agg(F.count("*").alias("failures")), "failures")
-    ends = counts.withColumn("end", F.sum("failures").over(Window.orderBy("tool_name")))  # a row a tool
-    places = ends.select("tool_name", "end", (F.col("end") - F.col("failures")).alias("begin"))
     total = counts.agg(F.sum("failures").alias("all"))
-    draws = f.crossJoin(F.broadcast(total)).select("all", F.col("observation_id").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(b.config.bootstrap_repetitions - 1))).alias("rep"))
-    draws = draws.select("rep", F.floor(uniform(F.lit(str(b.config.seed)), F.col("rep"), F.col("id")) * F.col("all")).alias("at")).groupBy("rep", "at").agg(F.count("*").alias("c"))
-    again = draws.join(places, (F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end"))).groupBy("rep", "tool_name").agg(F.sum("c").alias("failures"))
+    again = stats.weighted(f, F.col("observation_id"), b.config.bootstrap_repetitions, b.config.seed).groupBy("rep", "tool_name").agg(F.sum("w").alias("failures"))
     low_high = stats.concentration(again, "failures", "rep").agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in ("hhi", "gini") for name, q in (("low", 0.025), ("high", 0.975))])
     whole = stats.concentration(counts, "failures").crossJoin(counts.agg(F.sum("failures").alias("failures"))).crossJoin(low_high)
     none = F.lit(None).cast("double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sparkwright.functions.stats import poisson_steps
 from sparkwright.plans.bundle import STAND_IN_SQL
 
 U = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
@@ -26,10 +27,17 @@ pairs AS (SELECT l.annotator_id AS "left", r.annotator_id AS "right", l.label AS
   LEFT JOIN traces t ON t.trace_id = l.target_id LEFT JOIN tasks k USING (task_id))"""
 
 
+def weight(ident: str) -> str:
+    """How often resample ``rep`` takes the row ``ident``."""
+    part = f"substr(md5('42:' || (rep // 4) || ':' || {ident}), CAST(rep % 4 * 8 + 1 AS INT), 8)"
+    steps = " ".join(f"WHEN {part} < '{s}' THEN {n}" for n, s in enumerate(poisson_steps()))
+    return f"CASE {steps} ELSE {len(poisson_steps())} END"
+
+
 def paired(value: str, keep: str) -> str:
-    return CANON + f""", p AS (SELECT task_id, x.v AS x, y.v AS y, y.v - x.v AS d, row_number() OVER (ORDER BY task_id) - 1 AS i, count(*) OVER () AS n
+    return CANON + f""", p AS (SELECT task_id, x.v AS x, y.v AS y, y.v - x.v AS d
   FROM (SELECT task_id, CAST(b.{value} AS DOUBLE) AS v FROM canon WHERE model_id = 'm0' AND {keep}) x JOIN (SELECT task_id, CAST(b.{value} AS DOUBLE) AS v FROM canon WHERE model_id = 'm1' AND {keep}) y USING (task_id)),
-draws AS (SELECT rep, p.d FROM (SELECT rep, CAST(floor({U.format("'42:' || rep || ':' || i")} * n) AS INT) AS j FROM p, range(300) r(rep)) q JOIN p ON p.i = q.j)"""
+draws AS (SELECT rep, d, unnest(range(w)) FROM (SELECT rep, d, {weight("task_id")} AS w FROM p, range(300) r(rep)))"""
 
 
 BODY = {
@@ -58,9 +66,9 @@ BODY = {
     "q19": (CANON + """, common AS (SELECT task_id FROM canon GROUP BY 1 HAVING count(DISTINCT model_id) = (SELECT count(DISTINCT model_id) FROM canon)),
       m AS (SELECT model_id, count(b.correct) AS graded, count_if(b.cost IS NOT NULL AND b.duration_ms IS NOT NULL) AS whole, any_value(nc) AS tasks, count(b.correct) = any_value(nc) AND count_if(b.cost IS NOT NULL AND b.duration_ms IS NOT NULL) = any_value(nc) AS eligible, avg(CAST(b.correct AS DOUBLE)) AS a, avg(b.cost) AS c, avg(b.duration_ms) AS l FROM canon, (SELECT count(*) AS nc FROM common) WHERE task_id IN (FROM common) GROUP BY 1)""",
       "SELECT model_id, graded, whole, tasks, eligible, round(a, 6) AS accuracy, round(c, 6) AS cost, round(l, 6) AS latency, eligible AND NOT EXISTS (SELECT 1 FROM m o WHERE o.eligible AND o.model_id <> m.model_id AND o.a >= m.a AND o.c <= m.c AND o.l <= m.l AND (o.a > m.a OR o.c < m.c OR o.l < m.l)) AS on_frontier FROM m"),
-    "q20": (CANON + f""", pp AS (SELECT task_id, difficulty, y.v - x.v AS d, row_number() OVER (PARTITION BY difficulty ORDER BY task_id) - 1 AS i, count(*) OVER (PARTITION BY difficulty) AS n FROM (SELECT task_id, CAST(b.correct AS DOUBLE) AS v FROM canon WHERE model_id = 'm0' AND b.correct IS NOT NULL) x
+    "q20": (CANON + f""", pp AS (SELECT task_id, difficulty, y.v - x.v AS d FROM (SELECT task_id, CAST(b.correct AS DOUBLE) AS v FROM canon WHERE model_id = 'm0' AND b.correct IS NOT NULL) x
       JOIN (SELECT task_id, CAST(b.correct AS DOUBLE) AS v FROM canon WHERE model_id = 'm1' AND b.correct IS NOT NULL) y USING (task_id) JOIN tasks USING (task_id) WHERE difficulty IN ('easy', 'hard')),
-      dr AS (SELECT rep, q.difficulty, pp.d FROM (SELECT rep, difficulty, CAST(floor({U.format("'42:' || difficulty || ':' || rep || ':' || i")} * n) AS INT) AS j FROM pp, range(300) r(rep)) q JOIN pp ON pp.i = q.j AND pp.difficulty = q.difficulty)""",
+      dr AS (SELECT rep, difficulty, d, unnest(range(w)) FROM (SELECT rep, difficulty, d, {weight("task_id")} AS w FROM pp, range(300) r(rep)))""",
       "SELECT tasks, interaction, low, high FROM (SELECT count(*) AS tasks, round(avg(d) FILTER (difficulty = 'hard') - avg(d) FILTER (difficulty = 'easy'), 6) AS interaction FROM pp), (SELECT round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM (SELECT rep, avg(d) FILTER (difficulty = 'hard') - avg(d) FILTER (difficulty = 'easy') AS s FROM dr GROUP BY 1))"),
     "q21": (CANON + f""", w AS (WITH RECURSIVE walk AS (SELECT observation_id, trace_id, parent_id AS next, 1 AS depth FROM observations UNION ALL SELECT w.observation_id, w.trace_id, o.parent_id, depth + 1 FROM walk w LEFT JOIN observations o ON o.observation_id = w.next WHERE w.next IS NOT NULL) SELECT trace_id, max(depth) AS deep FROM walk GROUP BY 1),
       comp AS (SELECT trace_id, coalesce(deep, 0) + coalesce(c, 0) AS complexity FROM traces LEFT JOIN w USING (trace_id) LEFT JOIN (SELECT trace_id, count_if(type IN ('tool', 'generation')) AS c FROM observations GROUP BY 1) USING (trace_id)),
@@ -79,8 +87,7 @@ BODY = {
       q AS (SELECT sum(r) / sum(n) AS p, sum(n * retries) / sum(n) AS m FROM g), z AS (SELECT sum(retries * (r - n * p)) / sqrt(any_value(p * (1 - p)) * sum(n * (retries - m) ** 2)) AS z FROM g, q)""",
       "SELECT retries AS retry_count, n AS sessions, CAST(r AS BIGINT) AS recovered, round((SELECT CASE WHEN isfinite(z) THEN z END FROM z), 6) AS trend_z FROM g"),
     "q24": (f"""fl AS (SELECT name[6:] AS tool, count(*) AS c FROM observations WHERE type = 'tool' AND status <> 'success' GROUP BY 1), pl AS (SELECT tool, c, sum(c) OVER (ORDER BY tool) AS e, sum(c) OVER () AS t FROM fl),
-      dr AS (SELECT rep, floor({U.format("'42:' || rep || ':' || observation_id")} * t) AS j FROM observations, (SELECT any_value(t) AS t FROM pl), range(300) r(rep) WHERE type = 'tool' AND status <> 'success'),
-      ag AS (SELECT rep, tool, count(*) AS c FROM dr JOIN pl ON j < e AND j >= e - pl.c GROUP BY 1, 2 UNION ALL SELECT -1, tool, c FROM fl), rr AS (SELECT rep, c, row_number() OVER (PARTITION BY rep ORDER BY c) AS r, sum(c) OVER (PARTITION BY rep) AS t, count(*) OVER (PARTITION BY rep) AS m FROM ag),
+      ag AS (SELECT rep, name[6:] AS tool, CAST(sum({weight("observation_id")}) AS BIGINT) AS c FROM observations, range(300) r(rep) WHERE type = 'tool' AND status <> 'success' GROUP BY 1, 2 HAVING sum({weight("observation_id")}) > 0 UNION ALL SELECT -1, tool, c FROM fl), rr AS (SELECT rep, c, row_number() OVER (PARTITION BY rep ORDER BY c) AS r, sum(c) OVER (PARTITION BY rep) AS t, count(*) OVER (PARTITION BY rep) AS m FROM ag),
       hg AS (SELECT rep, sum((c / t) ** 2) AS hhi, 2 * sum(r * c) / (any_value(m) * any_value(t)) - (any_value(m) + 1) / any_value(m) AS gini FROM rr GROUP BY 1)""",
       """SELECT 'all' AS tool, (SELECT CAST(sum(c) AS BIGINT) FROM fl) AS failures, 1.0::DOUBLE AS share, round(any_value(hhi) FILTER (rep < 0), 6) AS hhi, round(quantile_cont(hhi, 0.025) FILTER (rep >= 0), 6) AS hhi_low, round(quantile_cont(hhi, 0.975) FILTER (rep >= 0), 6) AS hhi_high,
       round(any_value(gini) FILTER (rep < 0), 6) AS gini, round(quantile_cont(gini, 0.025) FILTER (rep >= 0), 6) AS gini_low, round(quantile_cont(gini, 0.975) FILTER (rep >= 0), 6) AS gini_high FROM hg UNION ALL SELECT tool, c, round(c / t, 6), NULL, NULL, NULL, NULL, NULL, NULL FROM pl"""),
