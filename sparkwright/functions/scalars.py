@@ -115,16 +115,32 @@ def two_sided_p(z: Column) -> Column:
     return erfc(F.abs(z) / math.sqrt(2))
 
 
+def log_factorial(x: Column) -> Column:
+    """ln(x!) of x >= 0 by Stirling's series, ten steps further up; relative error about 1e-15."""
+    x = x.cast("double")
+    y = x + 11
+    product = x + 1
+    for k in range(2, 11):
+        product = product * (x + k)
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7))) + 1 / (1188 * F.pow(y, F.lit(9)))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+
+
 def exact_mcnemar(b: Column, c: Column) -> Column:
-    """Two-sided binomial p-value of discordant counts; 1 without any."""
+    """Two-sided binomial p-value of discordant counts; 1 without any.
+
+    The tail is summed from where its terms vanish, 40 standard deviations before its end, so at most 20 * sqrt(n) of them.
+    """
     n, least = b + c, F.least(b, c)
-    start = F.struct((-n * math.log(2)).alias("l"), F.exp(-n * math.log(2)).alias("s"))
+    first = F.greatest(F.lit(0).cast("long"), least - F.ceil(20 * F.sqrt(n.cast("double"))).cast("long") - 1)
+    log = F.when(first == 0, F.lit(0.0)).otherwise(log_factorial(n) - log_factorial(first) - log_factorial(n - first)) - n * math.log(2)
+    start = F.struct(log.alias("l"), F.exp(log).alias("s"))
 
     def add(a, k):
         log = a["l"] + F.log((n - k + 1).cast("double") / k)
         return F.struct(log.alias("l"), (a["s"] + F.exp(log)).alias("s"))
 
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(F.when(least > 0, F.sequence(F.lit(1).cast("long"), least)).otherwise(F.array().cast("array<long>")), start, add)["s"]))
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(F.when(least > first, F.sequence(first + 1, least)).otherwise(F.array().cast("array<long>")), start, add)["s"]))
 
 
 def uniform(*parts: Column) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwright.functions.scalars import uniform
+from sparkwright.functions.scalars import log_factorial, uniform
 from sparkwright.operators.ordered import average_ranks, running
 
 
@@ -59,17 +59,23 @@ def mean_of(value: Column) -> Column:
 
 
 def fisher_two_sided(table: DataFrame) -> DataFrame:
-    """``table`` (a, b, c, d in one row) with p: the total probability of tables that are not likelier."""
-    low, high = F.greatest(F.lit(0), F.col("a") - F.col("d")), F.least(F.col("a") + F.col("b"), F.col("a") + F.col("c"))
-    x = F.col("x").cast("double")
-    rows = table.withColumn("x", F.explode(F.sequence(low, high)))
-    ratio = (F.col("a") + F.col("b") - x + 1) * (F.col("a") + F.col("c") - x + 1) / (x * (F.col("d") - F.col("a") + x))
-    step = F.when(F.col("x") == low, F.lit(0.0)).otherwise(F.log(ratio))
-    logs = rows.withColumn("l", F.sum(step).over(Window.partitionBy("a", "b", "c", "d").orderBy("x")))
-    logs = logs.withColumn("l", F.col("l") - F.max("l").over(Window.partitionBy("a", "b", "c", "d")))
-    seen = F.max(F.when(F.col("x") == F.col("a"), F.col("l"))).over(Window.partitionBy("a", "b", "c", "d"))
-    near = logs.withColumn("as_rare", F.col("l") <= seen + 1e-9)
-    return near.groupBy("a", "b", "c", "d").agg((F.sum(F.when(F.col("as_rare"), F.exp("l")).otherwise(0.0)) / F.sum(F.exp("l"))).alias("p")).withColumn("p", F.least(F.lit(1.0), "p"))
+    """``table`` (a, b, c, d in one row) with p: the total probability of tables that are not likelier.
+
+    Tables farther than 40 standard deviations from the likeliest have no weight and are not made; each of the others is
+    weighed by itself, from factorials, so sums are all that meets.
+    """
+    row, col, n = (F.col("a") + F.col("b")).cast("double"), (F.col("a") + F.col("c")).cast("double"), (F.col("a") + F.col("b") + F.col("c") + F.col("d")).cast("double")
+    low, high = F.greatest(F.lit(0.0), row + col - n), F.least(row, col)
+    middle = F.floor((row + 1) * (col + 1) / (n + 2))
+    reach = F.ceil(40 * F.sqrt(row * col * (n - row) * (n - col) / F.greatest(n * n * (n - 1), F.lit(1.0)))) + 2
+    weigh = lambda x: -(log_factorial(x) + log_factorial(F.col("__row") - x) + log_factorial(F.col("__col") - x) + log_factorial(F.col("__n") - F.col("__row") - F.col("__col") + x))
+    whole = table.withColumns({"__row": row, "__col": col, "__n": n, "__low": F.greatest(low, middle - reach), "__high": F.least(high, middle + reach)})
+    # the weights of tables that are equally likely may differ by rounding, in proportion to the factorials' logarithms
+    whole = whole.withColumns({"__seen": weigh(F.col("a").cast("double")), "__top": weigh(F.greatest(F.least(F.floor((row + 1) * (col + 1) / (n + 2)).cast("double"), high), low)), "__near": F.greatest(F.lit(1e-9), 1e-14 * log_factorial(n))})
+    rows = whole.withColumn("__x", F.explode(F.sequence(F.col("__low").cast("long"), F.col("__high").cast("long")))).withColumn("__l", weigh(F.col("__x").cast("double")))
+    chance = F.exp(F.col("__l") - F.col("__top"))
+    rare = F.when(F.col("__l") <= F.col("__seen") + F.col("__near"), chance).otherwise(0.0)
+    return rows.groupBy("a", "b", "c", "d").agg(F.least(F.lit(1.0), F.sum(rare) / F.sum(chance)).alias("p"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -36,3 +36,22 @@ def average_ranks(df: DataFrame, ranks: dict[str, Column]) -> DataFrame:
         ran = running(counts, ["__v"], {"__to": F.col("__c")}, "__i").select("__v", (F.col("__to") - (F.col("__c") - 1) / F.lit(2.0)).alias(name))
         df = df.withColumn("__own", value).join(ran, F.col("__own").eqNullSafe(F.col("__v"))).select(*df.columns, name)
     return df
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row: q, the linearly interpolated quantiles of ``value`` at ``shares``, as an array; null without values.
+
+    Values are counted, put in order by range partitions, and only those at the wanted places are taken, so no task holds
+    them all; equal values are one row from the start.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    ran = running(counts, ["__v"], {"__to": F.col("__c")}, "__no")
+    total = F.broadcast(counts.agg(F.sum("__c").alias("__n")))
+    # a value stands at the places from (__to - __c) to __to - 1
+    places = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("__n") - 1).cast("double").alias("m"), F.lit(float(s)).alias("s")) for k, s in enumerate(shares)])
+    at = ran.crossJoin(total).withColumn("__p", F.explode(places)).withColumn("__x", F.col("__p.m") * F.col("__p.s"))
+    low, high = F.floor("__x"), F.ceil("__x")
+    holds = lambda place: (place >= F.col("__to") - F.col("__c")) & (place < F.col("__to"))
+    taken = at.filter(holds(low) | holds(high)).groupBy(F.col("__p.k").alias("k")).agg(F.max(F.when(holds(low), F.col("__v"))).alias("a"), F.max(F.when(holds(high), F.col("__v"))).alias("b"), F.max(F.col("__x") - low).alias("w"))
+    each = taken.groupBy().agg(F.array_sort(F.collect_list(F.struct("k", ((1 - F.col("w")) * F.col("a") + F.col("w") * F.col("b")).alias("q")))).alias("all"))
+    return each.select(F.when(F.size("all") > 0, F.transform("all", lambda x: x["q"])).alias("q"))

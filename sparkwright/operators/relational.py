@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkwright.operators.ordered import running
+from sparkwright.operators.ordered import quantiles, running
 from sparkwright.operators.tables import written
 
 
@@ -118,7 +118,7 @@ def top_with_ties(df: DataFrame, value: str) -> DataFrame:
 
 def deciles(df: DataFrame, value: str, parts: int = 10) -> DataFrame:
     """``df`` with bucket from 0: by linearly interpolated quantile edges, equal edges merged."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / parts) for i in range(parts + 1)]))).alias("__e"))
+    edges = quantiles(df, value, [i / parts for i in range(parts + 1)]).select(F.array_distinct("q").alias("__e"))
     above = F.size(F.filter("__e", lambda e: e < F.col(value))) - 1
     return df.crossJoin(F.broadcast(edges)).withColumn("bucket", F.greatest(above, F.lit(0))).drop("__e")
 

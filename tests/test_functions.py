@@ -37,7 +37,30 @@ def test_mcnemar(spark, b, c):
     assert abs(one(spark, S.exact_mcnemar(F.lit(b).cast("long"), F.lit(c).cast("long")))[0] - want) < 1e-12
 
 
-@pytest.mark.parametrize("t", [(3, 1, 1, 3), (0, 5, 7, 2), (12, 5, 29, 2), (0, 0, 3, 4), (1, 0, 0, 1)])
+def test_large_exact_tests_are_cut_where_terms_vanish(spark):
+    x = [0, 1, 2, 10, 1000, 123_456_789]
+    got = one(spark, F.array(*[S.log_factorial(F.lit(float(v))) for v in x]))[0]
+    assert got == pytest.approx([math.lgamma(v + 1) for v in x], rel=1e-14, abs=1e-13)
+    n, m = 40_000, 19_800
+    want = min(1.0, 2 * sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)) for k in range(m + 1)))
+    assert one(spark, S.exact_mcnemar(F.lit(m).cast("long"), F.lit(n - m).cast("long")))[0] == pytest.approx(want, rel=1e-9)
+    big = spark.createDataFrame([(50_000_100, 49_999_000, 50_000_000, 50_000_900)], "a long, b long, c long, d long")
+    p = stats.fisher_two_sided(big).first()["p"]
+    chi = (50_000_100 * 50_000_900 - 49_999_000 * 50_000_000) / math.sqrt(99_999_100 * 100_000_900 * 100_000_100 * 99_999_900 / 200_000_000)
+    assert p == pytest.approx(math.erfc(abs(chi) / math.sqrt(2)), rel=2e-3)
+
+
+def test_quantiles_by_place(spark):
+    rng = random.Random(8)
+    for values in ([rng.choice([1.0, 2.0, 2.0, 9.5]) for _ in range(50)], [rng.random() for _ in range(33)], [4.0], [1.0, None, 3.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        shares = [0.0, 0.1, 0.25, 1 / 3, 0.5, 0.95, 1.0]
+        want = df.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares]))).first()[0]
+        assert O.quantiles(df, "v", shares).first()["q"] == pytest.approx(want)
+    assert O.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]).first()["q"] is None
+
+
+@pytest.mark.parametrize("t", [(3, 1, 1, 3), (0, 5, 7, 2), (12, 5, 29, 2), (0, 0, 3, 4), (1, 0, 0, 1), (300, 200, 250, 310), (7, 0, 0, 900)])
 def test_fisher(spark, t):
     a, b, c, d = t
     row, col, n = a + b, a + c, sum(t)
