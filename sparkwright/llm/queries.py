@@ -96,19 +96,21 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
-  FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 named AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, source_size * 2.0::DOUBLE AS cap,
                  row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sources),
 levels AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                  / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM named),
 water AS (SELECT arg_min(level, cap / weight) AS water FROM levels WHERE cap / weight > level),
-targets AS (SELECT source, source_size, CASE WHEN cap / weight <= level OR water IS NULL THEN cap ELSE water * weight END AS target FROM levels, water)
-SELECT doc_id, size, source_size, target,
-       CAST(CASE WHEN source_size > 0 THEN (floor(target / source_size) + CASE WHEN u < target / source_size - floor(target / source_size) THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken
-FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
+targets AS (SELECT source, source_size, CASE WHEN cap / weight <= level OR water IS NULL THEN cap ELSE water * weight END AS target FROM levels, water),
+drawn AS (
+  SELECT doc_id, sized.source, size, source_size, target, k, target / source_size AS rate,
+         CAST('0x' || substr(md5('17:' || k || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source, range(32) r(k)),
+plan AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken FROM drawn),
+best AS (SELECT source, arg_min(k, (off, k)) AS k FROM (SELECT source, k, abs(CAST(sum(taken) AS DOUBLE) - any_value(target)) AS off FROM plan GROUP BY source, k) GROUP BY source)
+SELECT doc_id, size, source_size, target, taken FROM plan JOIN best ON plan.k = best.k AND plan.source IS NOT DISTINCT FROM best.source
 """
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from sparkwright.llm.mixing import mix_plan, mixed, source_targets
@@ -43,6 +45,18 @@ def test_plan_and_mix_agree(spark):
     assert sum(len((r["text"] or "").encode().split()) for r in out.select("text").collect()) == sum(r["taken"] for r in plan)
 
 
+@pytest.mark.parametrize("n", [50, 300])
+def test_sources_of_fifty_documents_come_within_a_twentieth_of_their_target(spark, n):
+    rng = random.Random(n)
+    rows = [(i, " ".join(["w"] * min(5000, int(rng.lognormvariate(4, 1)))), "en", f"s{i % 12:02d}") for i in range(12 * n)]
+    taken, target = {}, {}
+    for r in mix_plan(frame(spark, rows)).collect():
+        key = rows[r["doc_id"]][3]
+        taken[key] = taken.get(key, 0) + r["taken"]
+        target[key] = r["target"]
+    assert all(abs(taken[k] / target[k] - 1) < 0.05 for k in target), {k: taken[k] / target[k] for k in target}
+
+
 def test_columns_of_any_name_and_words(spark):
     rows = [(i, f"one two\u00a0x\t{i}\x0bfour\x1cfive", f"s{i % 2}", 1, 2, 3.5) for i in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, __rate int, own_0 int, `a.b` double")
