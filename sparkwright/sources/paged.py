@@ -88,7 +88,9 @@ class PagedReader(DataSourceReader):
     """Options: ``url``; ``mode`` page, cursor, or auto (cursor, and pages where the server answers 404 to it); ``fallback``
     the url of the pages then; ``page_size``; ``partitions``; ``params`` (JSON) sent always; ``items``, ``total``, ``next``
     where the answer has its list, its number of pages and its cursor; ``bounds`` (JSON list of times) with ``from`` and
-    ``to``, names of the parameters, to follow one cursor for each range.
+    ``to``, names of the parameters, to follow one cursor for each range. Mode each: one request for each of ``requests``
+    (JSON list of parameters), the whole answer being its one item; where the server answers 400, once more without the
+    parameters named in ``optional``.
     """
 
     def __init__(self, options: dict):
@@ -102,6 +104,8 @@ class PagedReader(DataSourceReader):
 
     def partitions(self) -> list[Pages]:
         o, mode = self.options, self.options.get("mode", "page")
+        if mode == "each":
+            return [Pages(i, i + 1, by="each") for i in range(len(json.loads(o["requests"])))]
         if mode == "auto":
             try:
                 call(self.url("cursor"), o)
@@ -114,7 +118,7 @@ class PagedReader(DataSourceReader):
             ends = json.loads(o.get("bounds", "[]"))
             return [Pages(0, 0, (a, b), "cursor") for a, b in zip(ends[:-1], ends[1:], strict=True)] or [Pages(0, 0, None, "cursor")]
         if mode != "page":
-            raise ValueError(f"mode is page, cursor or auto, not {mode}")
+            raise ValueError(f"mode is page, cursor, auto or each, not {mode}")
         total = int(path_of(call(self.url("page", page=1), o), o.get("total", "meta.totalPages")) or 0)
         parts = max(1, min(total, int(o.get("partitions", 8))))
         ends = [1 + total * i // parts for i in range(parts + 1)]
@@ -122,6 +126,9 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition: Pages) -> Iterator[tuple]:
         items = self.options.get("items", "data")
+        if partition.by == "each":
+            yield from self.rows(f"{partition.first}", [self.answer(json.loads(self.options["requests"])[partition.first])])
+            return
         if partition.by == "page":
             for page in range(partition.first, partition.last):
                 yield from self.rows(f"{page}", path_of(call(self.url("page", page=page), self.options), items))
@@ -138,6 +145,17 @@ class PagedReader(DataSourceReader):
                 raise RuntimeError(f"the server gave the cursor {cursor!r} twice")
             seen.add(cursor)
 
+    def answer(self, params: dict) -> dict:
+        o, params = self.options, json.loads(self.options.get("params", "{}")) | params
+        optional = {n.strip() for n in o.get("optional", "").split(",")} & set(params)
+        send = lambda p: call(o["url"] + ("&" if "?" in o["url"] else "?") + urllib.parse.urlencode(p), o)
+        try:
+            return send(params)
+        except HttpError as e:
+            if e.code != 400 or not optional:
+                raise
+            return send({k: v for k, v in params.items() if k not in optional})
+
     @staticmethod
     def rows(place: str, items: list | None) -> Iterator[tuple]:
         for i, item in enumerate(items or []):
@@ -183,6 +201,17 @@ def once(rows: DataFrame, ident: str = "$.id") -> DataFrame:
     return rows.groupBy(key.alias("key")).agg(F.max_by(F.struct(*rows.columns), F.struct("place", "item_no", "item")).alias("r")).select("r.*")
 
 
+def hourly_series(answers: DataFrame, values: list[str], path: str = "hourly", time: str = "time") -> DataFrame:
+    """place, hour and ``values`` of answers that hold parallel arrays under ``path``: a row for each time.
+
+    Arrays that are missing, or shorter than the times, give nulls; an answer without times gives no rows.
+    """
+    arrays = ", ".join(f"`{v}`:array<double>" for v in values)
+    body = F.from_json("item", f"struct<`{path}`:struct<`{time}`:array<string>, {arrays}>>")[path]
+    each = answers.select("place", F.posexplode(body[time]).alias("at", "t"), body.alias("b"))
+    return each.select("place", F.to_timestamp_ntz("t").alias("hour"), *[F.get(F.col("b")[v], F.col("at")).alias(v) for v in values])
+
+
 # the upload
 
 @dataclass

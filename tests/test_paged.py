@@ -64,6 +64,10 @@ def server():
                 return self.reply(400, {"error": "bad request"})
             if self.fails():
                 return None
+            if url.path == "/hourly":
+                if "models" in q:
+                    return self.reply(400, {"error": "no such model"})
+                return self.reply(200, {"place": q["lat"], "hourly": {"time": ["2024-01-01T00:00", "2024-01-01T01:00"], "temperature": [float(q["lat"]), None], "rain": [0.5]}})
             size = int(q["limit"])
             items = [x for x in store.items if all(str(x[k]) == q[k] for k in ("source",) if k in q)]
             if url.path == "/cursor":
@@ -123,6 +127,16 @@ def test_equalities_reach_the_server(spark, server):
     assert items(P.paged(spark, f"{server.url}/pages", where={"n": "7"}, **QUICK)) == [7]  # the server doesn't know this one
 
 
+def test_series_by_place_without_what_the_server_refuses(spark, server):
+    df = P.paged(spark, f"{server.url}/hourly", mode="each", requests=[{"lat": 41, "models": "m"}, {"lat": 42}, {"lat": 43, "models": "m"}], optional="models", **QUICK)
+    assert df.rdd.getNumPartitions() == 3
+    got = P.hourly_series(df, ["temperature", "rain", "snow"]).collect()
+    assert sorted((r["place"], r["hour"].hour, r["temperature"], r["rain"], r["snow"]) for r in got if r["hour"].hour == 0) == [(str(i), 0, 41.0 + i, 0.5, None) for i in range(3)]
+    assert len(got) == 6 and {(r["temperature"], r["rain"]) for r in got if r["hour"].hour == 1} == {(None, None)}
+    with pytest.raises(Exception, match="no such model"):
+        P.paged(spark, f"{server.url}/hourly", mode="each", requests=[{"lat": 41, "models": "m"}], **QUICK).collect()
+
+
 def test_empty_list_moving_list_and_lasting_failure(spark, server):
     server.items = []
     assert P.paged(spark, f"{server.url}/pages", **QUICK).count() == 0
