@@ -176,7 +176,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """``docs`` without the rows that hold words of an item, by text, so whatever their doc_id is; columns unchanged, whatever their names."""
+    """``docs`` without the rows that hold words of an item, by text, so whatever their doc_id is, and equal texts alike.
+
+    Columns are unchanged, whatever their names. A null or empty text holds nothing and stays, a null item finds nothing; an
+    empty benchmark takes no row, empty ``docs`` stay empty.
+    """
     (mark,) = unused(docs, 1)
     marked = docs.withColumn(mark, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
     bad = contaminations(marked, benchmark, (mark,), least).select(mark).distinct()
