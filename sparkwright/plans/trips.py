@@ -115,7 +115,7 @@ def fallback_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = lines(spark, sf_dir).select("origin", "destination", F.month("start").alias("month"), F.col("discount").cast("double").alias("d"))
     keys = ["origin", "destination", "month"]
     rate = rates(x, keys, "d", 12)
-    g = x.join(rate, keys).groupBy("level").agg(F.count("*").alias("lines"), F.countDistinct(*keys).alias("keys"), weighted_mean(F.col("rate"), F.col("n")).alias("rate"), F.min("n").alias("least"), coverage(F.col("d"), F.col("rate") - 0.025, F.col("rate") + 0.025).alias("inside"))
+    g = x.join(rate, keys).groupBy("level").agg(F.count("*").alias("lines"), F.countDistinct(*keys).alias("keys"), weighted_mean(F.col("rate"), F.col("n")).alias("rate"), F.min("n").alias("least"), coverage(F.col("d"), F.col("rate") - 0.0253711, F.col("rate") + 0.0253711).alias("inside"))
     return g.select("level", "lines", "keys", r6(F.col("rate")).alias("rate"), "least", r6(F.col("inside")).alias("inside"))
 
 
@@ -154,7 +154,7 @@ SQL = {
       l2 AS (SELECT month, avg(d) AS r, count(*) AS c FROM k GROUP BY 1), l3 AS (SELECT avg(d) AS r, count(*) AS c FROM k), p AS (SELECT l0.origin, l0.destination, l0.month, CASE WHEN l0.c >= 12 THEN 0 WHEN l1.c >= 12 THEN 1 WHEN l2.c >= 12 THEN 2 ELSE 3 END AS level,
         CASE WHEN l0.c >= 12 THEN l0.r WHEN l1.c >= 12 THEN l1.r WHEN l2.c >= 12 THEN l2.r ELSE l3.r END AS rate, CASE WHEN l0.c >= 12 THEN l0.c WHEN l1.c >= 12 THEN l1.c WHEN l2.c >= 12 THEN l2.c ELSE l3.c END AS n
         FROM l0 JOIN l1 USING (destination, month) JOIN l2 USING (month), l3)
-      SELECT CAST(level AS INT) AS level, count(*) AS lines, count(DISTINCT (origin, destination, month)) AS keys, round(sum(rate * n) / sum(n), 6) AS rate, min(n) AS least, round(avg(CAST(d BETWEEN rate - 0.025::DOUBLE AND rate + 0.025::DOUBLE AS DOUBLE)), 6) AS inside FROM k JOIN p USING (origin, destination, month) GROUP BY 1""",
+      SELECT CAST(level AS INT) AS level, count(*) AS lines, count(DISTINCT (origin, destination, month)) AS keys, round(sum(rate * n) / sum(n), 6) AS rate, min(n) AS least, round(avg(CAST(d BETWEEN rate - 0.0253711::DOUBLE AND rate + 0.0253711::DOUBLE AS DOUBLE)), 6) AS inside FROM k JOIN p USING (origin, destination, month) GROUP BY 1""",
     "m_order_representatives": """WITH o AS (SELECT o_orderpriority, o_orderkey, o_totalprice, isodow(o_orderdate) - 1 AS day FROM orders), q AS (SELECT o_orderpriority, unnest([0.1, 0.5, 0.9]::DOUBLE[]) AS share, unnest(quantile_cont(o_totalprice, [0.1, 0.5, 0.9])) AS quantile FROM o GROUP BY 1),
       n AS (SELECT q.*, o_orderkey, o_totalprice FROM q JOIN o USING (o_orderpriority) QUALIFY row_number() OVER (PARTITION BY o_orderpriority, share ORDER BY abs(o_totalprice - quantile), o_orderkey) = 1),
       d AS (SELECT o_orderpriority, day, count(*) AS c FROM o GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY count(*) DESC, day) = 1)
