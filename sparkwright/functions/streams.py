@@ -75,10 +75,13 @@ def sequential_bootstrap(values: DataFrame, value: str, statistic: Column, seed:
     """low, high: the central 95 % of ``statistic`` (of the column ``value``) over resamples by the one generator.
 
     ``values`` is numbered: i from 0 and n, the number of rows (``operators.ordered.numbered``). No rows: nulls.
+
+    Draws and values meet by a shuffle: the plan takes the draws for as small as the states that they are made from, and
+    would else collect them, ``repetitions`` times the rows, to broadcast them.
     """
     n = values.agg(F.max("n").alias("n")).first()["n"] or 0
     drawn = draws(values.sparkSession, seed, n, repetitions).select("repetition", F.col("pick").alias("i"))
-    samples = drawn.join(values.select("i", value), "i").groupBy("repetition").agg(statistic.alias("s"))
+    samples = drawn.join(values.select("i", value).hint("shuffle_hash"), "i").groupBy("repetition").agg(statistic.alias("s"))
     return samples.agg(F.percentile("s", F.lit(0.025)).alias("low"), F.percentile("s", F.lit(0.975)).alias("high"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.functions import streams as S
 from sparkwright.operators.ordered import numbered
+from sparkwright.operators.tables import written
 from sparkwright.plans import profile as P
 
 
@@ -52,6 +53,14 @@ def test_interval_is_that_of_one_process(spark):
     assert none["low"] is None and S.draws(spark, 1, 0, 5).count() == 0
 
 
+def test_draws_are_not_broadcast(spark):
+    values = written(numbered(spark.range(3000).select(F.col("id").alias("k"), F.col("id").cast("double").alias("v")), "k"), "values")
+    out = S.sequential_bootstrap(values, "v", F.avg("v"), 3, 200)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+
+
 def test_uniform_numbers_by_their_place(spark):
     want = np.random.default_rng(42).random(5000)
     places = [0, 3, 4, 4999, 17, 17, 1200]
