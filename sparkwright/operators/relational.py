@@ -37,9 +37,10 @@ def next_after(left: DataFrame, right: DataFrame, keys: list[str], at: str, star
     what = F.struct(F.col(start).alias("__start"), *columns)
     marked = left.withColumn("__own", F.struct(*left.columns)).select(*keys, F.col(at).alias("__t"), F.lit(1).alias("__side"), "__own", F.lit(None).cast(right.select(what.alias("w")).schema["w"].dataType).alias("__next"))
     events = right.select(*keys, F.col(start).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(marked.schema["__own"].dataType).alias("__own"), what.alias("__next"))
-    # at equal times events stand before the rows that look, so they are not after them
-    order = Window.partitionBy(*keys).orderBy("__t", "__side", F.col("__next")[columns[0]]).rowsBetween(1, Window.unboundedFollowing)
-    found = marked.unionByName(events).withColumn("__next", F.first("__next", True).over(order)).filter("__side = 1")
+    # read from behind; at equal times the rows that look stand before the events, which are not after them. Frames that
+    # end with the last row would be gone through anew for each row.
+    order = Window.partitionBy(*keys).orderBy(F.desc("__t"), F.desc("__side"), F.desc(F.col("__next")[columns[0]])).rowsBetween(Window.unboundedPreceding, -1)
+    found = marked.unionByName(events).withColumn("__next", F.last("__next", True).over(order)).filter("__side = 1")
     return found.select("__own.*", *[F.col("__next")[c].alias(f"next_{c}") for c in columns], F.col("__next.__start").alias(f"next_{start}"))
 
 
@@ -55,10 +56,10 @@ def nearest(left: DataFrame, right: DataFrame, x: str, y: str, column: str) -> D
     placed = written(both.repartitionByRange("__t").withColumn("__p", F.spark_partition_id()), "placed")
     at = F.when(F.col("__own").isNull(), F.struct("__t", "__v"))
     ends = placed.groupBy("__p").agg(F.max(at).alias("a"), F.min(at).alias("b"))
-    order = Window.orderBy("__p")  # a row a partition
-    ends = ends.select("__p", F.last("a", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("b", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
-    here = Window.partitionBy("__p").orderBy("__t", F.col("__own").isNotNull())
-    found = placed.withColumns({"__a": F.last(at, True).over(here.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.first(at, True).over(here.rowsBetween(1, Window.unboundedFollowing))}).filter("__own is not null").join(F.broadcast(ends), "__p")
+    passed = (Window.unboundedPreceding, -1)  # both ways: a frame that ends with the last row would be gone through anew for each row
+    ends = ends.select("__p", F.last("a", True).over(Window.orderBy("__p").rowsBetween(*passed)).alias("__before"), F.last("b", True).over(Window.orderBy(F.desc("__p")).rowsBetween(*passed)).alias("__after"))  # a row a partition
+    here, back = Window.partitionBy("__p").orderBy("__t", F.col("__own").isNotNull()), Window.partitionBy("__p").orderBy(F.desc("__t"), F.col("__own").isNull())
+    found = placed.withColumn("__a", F.last(at, True).over(here.rowsBetween(*passed))).withColumn("__b", F.last(at, True).over(back.rowsBetween(*passed))).filter("__own is not null").join(F.broadcast(ends), "__p")
     pick = F.array_min(F.transform(F.array_compact(F.array(F.coalesce("__a", "__before"), F.coalesce("__b", "__after"))), lambda s: F.struct(F.abs(s["__t"] - F.col("__t")).alias("d"), s["__v"].alias("v"))))
     return found.select("__own.*", pick["v"].alias(f"nearest_{column}"), pick["d"].alias("distance"))
 

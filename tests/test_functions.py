@@ -131,6 +131,13 @@ def test_joins(spark):
     assert near == {i: min(b, key=lambda q: (abs(q[2] - x), q[1]))[1] for _, i, x in a}
 
 
+def test_no_frame_ends_with_the_last_row(spark):
+    """Such a frame is gone through anew for each row, so time would grow with the square of a partition's rows."""
+    left, right = spark.range(50).selectExpr("'a' as k", "id as i", "id % 5 as x"), spark.range(50).selectExpr("'a' as k", "id as j", "id % 7 as y")
+    for out in (R.nearest(left, right, "x", "y", "j"), R.next_after(left, right, ["k"], "x", "y", ["j"])):
+        assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_selection(spark):
     rng = random.Random(2)
     rows = [(float(t), float(rng.randrange(50))) for t in rng.sample(range(400), 80)]
