@@ -9,7 +9,10 @@ plan, so neither a model file nor a session is opened in tasks. Ensembles come f
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, and_, eq, ge, gt, le, lt, ne, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,9 @@ from sparkwright.plans.domain import table
 
 NODE = "array<struct<f:int,t:double,o:int,y:int,n:int,m:boolean,w:array<double>>>"
 OPERATORS = ["<=", "<", ">=", ">", "=", "<>"]
+COMPARE = dict(zip(OPERATORS, (le, lt, ge, gt, eq, ne), strict=True))
+#: As many nodes, times targets, are compiled; with more, the code would be too long for the compiler of the virtual machine.
+COMPILED = 256
 
 
 @dataclass
@@ -124,23 +130,53 @@ class Ensemble:
             if steps > len(self.trees.feature):
                 raise ValueError("a node follows itself")
 
-    def values(self, features: Column, finite: bool = False) -> Column:
-        """An array of one value for each target, for an array of numbers.
+    def leaves(self, features: Column) -> list[Column]:
+        """For each target the weights of the leaves that a row reaches, a sum over the trees; null as ``values`` says.
 
-        Null where ``features`` is null or too short for a feature that is compared, or a compared number is null. NaN
-        goes where the node says; with ``finite`` any number that is not finite raises.
+        Up to ``COMPILED`` nodes each tree is one nested condition, which Spark compiles; beyond that the nodes are a
+        constant array, through which folds step.
         """
         t = self.trees
+        if len(t.feature) * len(self.base) > COMPILED:
+            return self.folded(features)
+
+        def number(i: int) -> Column:
+            x = F.get(features, F.lit(i))
+            return x.cast("float").cast("double") if self.single else x.cast("double")
+
+        def walk(i: int, target: int) -> Column:
+            if t.yes[i] < 0:
+                return F.lit(float(t.weight[i][target]))
+            x, threshold = number(t.feature[i]), t.threshold[i]
+            goes = COMPARE[t.mode[i]](x, F.lit(float(threshold)))
+            if t.missing[i]:
+                goes = F.isnan(x) | goes
+            elif t.mode[i] not in ("<=", "<", "=") or math.isnan(threshold):  # NaN is larger than any number
+                goes = ~F.isnan(x) & goes
+            return F.when(goes, walk(t.yes[i], target)).when(x.isNotNull(), walk(t.no[i], target))
+
+        self.depth()  # raises where nodes form a ring
+        out = []
+        for target in range(len(self.base)):
+            total = F.lit(0.0)
+            for root in self.roots:
+                total = total + walk(root, target)
+            out.append(total)
+        return out
+
+    def folded(self, features: Column) -> list[Column]:
+        """``leaves`` by folds over the array of nodes."""
+        t = self.trees
         rows = [{"f": t.feature[i], "t": t.threshold[i], "o": OPERATORS.index(t.mode[i]), "y": t.yes[i], "n": t.no[i], "m": t.missing[i], "w": t.weight[i]} for i in range(len(t.feature))]
-        modes = {OPERATORS.index(t.mode[i]) for i in range(len(t.feature)) if t.yes[i] >= 0}
+        modes = {t.mode[i] for i in range(len(t.feature)) if t.yes[i] >= 0}
         nodes = F.from_json(F.lit(json.dumps(rows)), NODE)
         roots = F.from_json(F.lit(json.dumps(self.roots)), "array<int>")
 
         def goes(x: Column, node: Column) -> Column:
-            compared = {0: x <= node["t"], 1: x < node["t"], 2: x >= node["t"], 3: x > node["t"], 4: x == node["t"], 5: x != node["t"]}
             out = None
-            for mode in sorted(modes):
-                out = compared[mode] if out is None else F.when(node["o"] == mode, compared[mode]).otherwise(out)
+            for mode in sorted(modes, key=OPERATORS.index):
+                compared = COMPARE[mode](x, node["t"])
+                out = compared if out is None else F.when(node["o"] == OPERATORS.index(mode), compared).otherwise(out)
             return F.when(F.isnan(x), node["m"]).otherwise(out)
 
         def step(node: Column, _: Column) -> Column:
@@ -148,27 +184,43 @@ class Ensemble:
             return F.when(node["y"] < 0, node).when(x.isNull(), F.lit(None)).otherwise(F.get(nodes, F.when(goes(x, node), node["y"]).otherwise(node["n"])))
 
         of = F.transform(features, lambda x: x.cast("float").cast("double") if self.single else x.cast("double"))
-        if finite:
-            good = F.forall(of, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-            of = F.when(F.coalesce(good, F.lit(True)), of).otherwise(F.raise_error(F.lit("features must be finite")).cast("array<double>"))
         turns = F.sequence(F.lit(1), F.lit(self.depth())) if self.depth() else F.array().cast("array<int>")
         leaves = F.transform(roots, lambda r: F.aggregate(turns, F.get(nodes, r), step)["w"])
         start = F.array(*[F.lit(0.0) for _ in self.base])
         total = F.aggregate(leaves, start, lambda s, w: F.zip_with(s, w, lambda a, b: a + b)) if len(self.base) > 1 else F.array(F.aggregate(leaves, F.lit(0.0), lambda s, w: s + F.get(w, F.lit(0))))
+        return [F.get(total, F.lit(k)) for k in range(len(self.base))]
+
+    def targets(self, features: Column, finite: bool = False) -> list[Column]:
+        """The values of ``values``, a column for each target."""
         share = float(len(self.roots)) if self.mean else 1.0
-        base = F.array(*[F.lit(float(b)) for b in self.base])
-        total = F.zip_with(total, base, lambda a, b: a / F.lit(share) + b)
+        out = [v / F.lit(share) + F.lit(float(b)) for v, b in zip(self.leaves(features), self.base, strict=True)]
         if self.transform == "LOGISTIC":
-            total = F.transform(total, lambda v: 1 / (1 + F.exp(-v)))
+            out = [1 / (1 + F.exp(-v)) for v in out]
         elif self.transform == "SOFTMAX":
-            total = F.transform(total, lambda v: 1 / F.aggregate(total, F.lit(0.0), lambda s, u: s + F.exp(u - v)))
+            out = [1 / reduce(add, [F.exp(u - v) for u in out], F.lit(0.0)) for v in out]
         elif self.transform == "BINARY":
-            total = F.array(1 - total[0], total[0])
-        return F.when(features.isNotNull() & F.forall(total, lambda v: v.isNotNull()), total)
+            out = [1 - out[0], out[0]]
+        out = [F.when(features.isNotNull(), v) for v in out]
+        if not finite:
+            return out
+        of = features.cast("array<float>" if self.single else "array<double>").cast("array<double>")
+        # null, not false, where none of them is found but a number is null
+        odd = reduce(or_, [F.array_contains(of, F.lit(x)) for x in (float("nan"), float("inf"), float("-inf"))])
+        good = features.isNull() | F.coalesce(~odd, F.lit(False))
+        return [F.when(good, v).otherwise(F.raise_error(F.lit("features must be finite")).cast("double")) for v in out]
+
+    def values(self, features: Column, finite: bool = False) -> Column:
+        """An array of one value for each target, for an array of numbers.
+
+        Null where ``features`` is null or too short for a feature that is compared, or a compared number is null. NaN
+        goes where the node says; with ``finite`` any number that is not finite raises.
+        """
+        out = self.targets(features, finite)
+        return F.when(reduce(and_, [v.isNotNull() for v in out]), F.array(*out))
 
     def score(self, features: Column, low: float | None = None, finite: bool = False) -> Column:
         """The last target's value, at least ``low``."""
-        value = F.element_at(self.values(features, finite), -1)
+        value = self.targets(features, finite)[-1]
         return value if low is None else F.greatest(value, F.lit(low))
 
     def sql(self, names: list[str]) -> str:
@@ -187,7 +239,11 @@ class Ensemble:
 
 def expected_amount(chance: Ensemble, log_amount: Ensemble, features: Column, cap: float) -> Column:
     """A two-stage score: the chance of an amount times the amount, which is fitted as log(1 + amount), from 0 to ``cap``."""
-    return chance.score(features) * F.least(F.greatest(F.expm1(log_amount.score(features)), F.lit(0.0)), F.lit(float(cap)))
+    return chance.score(features) * capped(log_amount.score(features), cap)
+
+
+def capped(log_amount: Column, cap: float) -> Column:
+    return F.least(F.greatest(F.expm1(log_amount), F.lit(0.0)), F.lit(float(cap)))
 
 
 def checked(df: DataFrame, features: list[str], expected: list[str]) -> Column:
@@ -216,7 +272,9 @@ def tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line's chance, capped amount and expected amount by the exported two-stage model."""
     x = F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double"), F.col("l_discount").cast("double"), F.col("l_tax").cast("double"), F.month("l_shipdate").cast("double"), F.dayofmonth("l_shipdate").cast("double"))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"))
-    return rows.select("l_orderkey", "l_linenumber", F.round(CHANCE.score(F.col("x"), finite=True), 6).alias("chance"), F.round(LOSS.score(F.col("x"), low=0.0), 6).alias("log_amount"), F.round(expected_amount(CHANCE, LOSS, F.col("x"), CAP), 6).alias("expected"))
+    # each model once, and apart from what is made of it: methods of more than 8,000 bytes are never compiled to machine code
+    scores = rows.select("l_orderkey", "l_linenumber", CHANCE.score(F.col("x"), finite=True).alias("chance"), LOSS.score(F.col("x")).alias("log_amount"))
+    return scores.select("l_orderkey", "l_linenumber", F.round("chance", 6).alias("chance"), F.round(F.greatest("log_amount", F.lit(0.0)), 6).alias("log_amount"), F.round(F.col("chance") * capped(F.col("log_amount"), CAP), 6).alias("expected"))
 
 
 QUERIES = {"m_tree_scores": tree_scores}

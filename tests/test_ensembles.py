@@ -104,6 +104,29 @@ def test_modes_missing_values_and_awkward_rows(spark):
     assert x.limit(1).select(only.score(F.col("x"))).first()[0] == 2.0
 
 
+def test_compiled_trees_and_folds_agree(spark, monkeypatch):
+    """Trees of few nodes are plain conditions: no function of lambdas, which are walked through anew for each row."""
+    rng = random.Random(8)
+    nan = float("nan")
+    x = spark.createDataFrame([(i, [rng.choice([0.0, 0.5, 1.0, 2.0, nan, None]) for _ in range(rng.choice([2, 3, 3, 3]))] if i % 9 else None) for i in range(300)], "i int, x array<double>")
+    for transform, targets in (("NONE", 1), ("LOGISTIC", 1), ("BINARY", 1), ("NONE", 3), ("SOFTMAX", 3)):
+        t = E.Tree([], [], [], [], [], [], [])
+        for k, mode in enumerate(E.OPERATORS):
+            at = t.add(k % 3, 1.0, mode, 5 * k + 1, 5 * k + 2, k % 2 == 0, [0.0] * targets)
+            t.add((k + 1) % 3, 0.5, mode, 5 * k + 3, 5 * k + 4, k % 4 < 2, [0.0] * targets)
+            for _ in range(3):
+                t.leaf([rng.randrange(-8, 8) / 4 for _ in range(targets)])
+            assert at == 5 * k
+        model = E.Ensemble(t, [5 * k for k in range(6)], [0.25] * targets, transform, mean=targets == 3)
+        own = x.select("i", model.values(F.col("x")).alias("v"), model.score(F.col("x")).alias("s"))
+        plan = own._jdf.queryExecution().optimizedPlan().toString()
+        with monkeypatch.context() as m:
+            m.setattr(E, "COMPILED", 0)
+            want = x.select("i", model.values(F.col("x")).alias("v"), model.score(F.col("x")).alias("s"))
+        assert "lambda" in want._jdf.queryExecution().optimizedPlan().toString() and "lambda" not in plan
+        assert [tuple(r) for r in own.orderBy("i").collect()] == [tuple(r) for r in want.orderBy("i").collect()]
+
+
 def test_checks_of_schema_and_finite_numbers(spark):
     df = spark.createDataFrame([(1.0, float("inf"))], "a double, b double")
     with pytest.raises(ValueError, match="order"):
