@@ -143,6 +143,11 @@ def exact_mcnemar(b: Column, c: Column) -> Column:
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(F.when(least > first, F.sequence(first + 1, least)).otherwise(F.array().cast("array<long>")), start, add)["s"]))
 
 
+def uniform_hex(*parts: Column) -> Column:
+    """The 13 hex digits of ``uniform``, in the same order as the numbers."""
+    return F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13)
+
+
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) that the parts fix."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return F.conv(uniform_hex(*parts), 16, 10).cast("double") / F.lit(float(1 << 52))

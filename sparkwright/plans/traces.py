@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions import stats
-from sparkwright.functions.scalars import exact_mcnemar, ratio, two_sided_p, uniform
+from sparkwright.functions.scalars import exact_mcnemar, ratio, two_sided_p, uniform, uniform_hex
 from sparkwright.functions.text import has_text, mentioned
 from sparkwright.operators.ordered import average_ranks, running
 from sparkwright.operators.relational import divided, next_after, orphans, top_with_ties, undominated
@@ -304,15 +306,43 @@ def q23(b: Bundle) -> DataFrame:
     return t.select(F.col("retries").alias("retry_count"), F.col("n").alias("sessions"), F.col("r").alias("recovered"), r6(F.try_divide(top, F.sqrt(F.col("p") * (1 - F.col("p")) * low))).alias("trend_z"))
 
 
+def drawn_by(counts: DataFrame, name: str, n: str, rows: DataFrame, ident: Column, repetitions: int, seed: int) -> DataFrame:
+    """rep, ``name``, ``n``: how many of a resample's draws fall on each name; a resample draws as many as there are ``rows``.
+
+    ``counts`` (name, n) is a written table whose counts add up to the number of rows. A draw is floor(u * all), u the uniform
+    number of seed, rep and ``ident``; the names lie one after the other along it, so each has a range of u. Ranges and draws
+    meet as the hex texts that u is made of: by the first digits, then by order, so a draw meets a few names however many
+    there are, and is neither made a number nor shuffled, only counted, where the ranges are few.
+    """
+    digits = min(12, max(3, math.ceil(math.log(4 * counts.count() + 1, 16))))
+    ends = running(counts, [F.asc_nulls_last(name)], {"end": F.col(n)}, "__no").crossJoin(F.broadcast(counts.agg(F.sum(n).cast("double").alias("all"))))
+    unit, whole = F.lit(float(1 << 52)), F.lit(1 << 52)
+
+    def first(at: Column) -> Column:
+        """The smallest number of 13 hex digits whose draw is ``at`` or more; rounding may move it by a few."""
+        near = F.ceil(at * unit / F.col("all")).cast("long")
+        near = F.sequence(F.greatest(near - 4, F.lit(0).cast("long")), near + 4)
+        return F.least(whole, F.array_min(F.filter(near, lambda m: F.floor(m.cast("double") / unit * F.col("all")) >= at)))
+
+    hexed = lambda m, width: F.lower(F.lpad(F.hex(m), width, "0"))
+    ranges = ends.select(name, first(F.col("end") - F.col(n)).alias("low"), F.when(F.col("end") < F.col("all"), first(F.col("end"))).otherwise(whole).alias("high"))
+    shift = 4 * (13 - digits)
+    blocks = ranges.withColumn("block", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright(F.col("high") - 1, shift))))
+    blocks = written(blocks.select(name, hexed(F.col("block"), digits).alias("block"), hexed(F.col("low"), 13).alias("low"), hexed(F.col("high") - 1, 13).alias("high")), "ranges")
+    draws = rows.select(ident.cast("string").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))).alias("rep"))
+    draws = draws.select("rep", uniform_hex(F.lit(str(seed)), F.col("rep"), F.col("id")).alias("u")).withColumn("block", F.substring("u", 1, digits))
+    return draws.join(blocks, "block").filter(F.col("u").between(F.col("low"), F.col("high"))).groupBy("rep", name).agg(F.count("*").alias(n))
+
+
 def q24(b: Bundle) -> DataFrame:
     """How failures concentrate on tools: a row for all (HHI and Gini with their intervals) and one for each tool (failures, share).
 
-    A resample takes each failure a Poisson number of times; only sums by repetition and tool leave the failures' tasks.
+    A resample draws as many failures as there are, with replacement, by hashes.
     """
     f = tools(b).filter("status <> 'success'").select("observation_id", "tool_name")
     counts = written(f.groupBy("tool_name").agg(F.count("*").alias("failures")), "failures")
     total = counts.agg(F.sum("failures").alias("all"))
-    again = stats.weighted(f, F.col("observation_id"), b.config.bootstrap_repetitions, b.config.seed).groupBy("rep", "tool_name").agg(F.sum("w").alias("failures"))
+    again = drawn_by(counts, "tool_name", "failures", f, F.col("observation_id"), b.config.bootstrap_repetitions, b.config.seed)
     low_high = stats.concentration(again, "failures", "rep").agg(*[F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in ("hhi", "gini") for name, q in (("low", 0.025), ("high", 0.975))])
     whole = stats.concentration(counts, "failures").crossJoin(counts.agg(F.sum("failures").alias("failures"))).crossJoin(low_high)
     none = F.lit(None).cast("double")

@@ -62,3 +62,23 @@ def test_lateness_and_peak_ages(spark, tmp_path):
         q.stop()
     assert {r["hour"].hour: r["max_s"] for r in spark.table("late").collect()} == {0: 1.0, 1: 5.0, 2: 0.0, 3: 9.0, 5: 3.0, 6: 2.0}
     assert [r["age"] for r in spark.table("age").orderBy("hour").collect()] == [1, 2, 0, 1, 1, 2, 0]
+
+
+def test_a_resample_draws_as_many_as_there_are(spark):
+    import hashlib
+    from collections import Counter
+
+    from sparkwright.operators.tables import written
+    from sparkwright.plans.traces import drawn_by
+
+    names = [f"n{i}" for i in range(300)] + ["a"] * 500 + [None] * 40
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    counts = written(rows.groupBy("name").agg(F.count("*").alias("c")), "counts")
+    line = sorted((n for n in names if n), key=str) + [None] * 40
+    want = Counter()
+    for rep in range(7):
+        for i in range(len(names)):
+            u = int(hashlib.md5(f"5:{rep}:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            want[rep, line[int(u * len(names))]] += 1
+    got = {(r["rep"], r["name"]): r["c"] for r in drawn_by(counts, "name", "c", rows, F.col("id"), 7, 5).collect()}
+    assert got == dict(want)
