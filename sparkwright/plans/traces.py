@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkwright.functions import stats
-from sparkwright.functions.scalars import exact_mcnemar, ratio, two_sided_p, uniform, uniform_hex
+from sparkwright.functions.scalars import exact_mcnemar, ratio, two_sided_p, uniform_hex
 from sparkwright.functions.text import has_text, mentioned
 from sparkwright.operators.ordered import average_ranks, running
 from sparkwright.operators.relational import divided, next_after, orphans, top_with_ties, undominated
@@ -265,18 +265,24 @@ def q21(b: Bundle) -> DataFrame:
     """Rank correlation of complexity and correctness, with a permutation test within tasks.
 
     A repetition deals each task's ranks anew, by hashes of its models; only the sum of products changes, so each task
-    gives one number for each repetition.
+    gives one number for each repetition. Hashes are compared as the hex texts that they are.
     """
     c = canonical_answers(b).filter("correct is not null").join(complexity(b), "trace_id").select("task_id", "model_id", F.col("complexity").cast("double").alias("x"), F.col("correct").cast("double").alias("y"))
     ranked = written(average_ranks(written(c, "answers"), {"rx": F.col("x"), "ry": F.col("y")}).select("task_id", "model_id", "rx", "ry"), "ranked")
     xy = F.col("rx") * F.col("ry")
     rho = ranked.agg(F.count("*").alias("answers"), F.avg("rx").alias("mx"), F.avg("ry").alias("my"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"), F.avg(xy).alias("mxy"))
     corr = lambda mxy: F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.try_divide(mxy - F.col("mx") * F.col("my"), F.col("sx") * F.col("sy")))
-    tasks = ranked.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("model_id", "rx", "ry"))).alias("of"))  # as many as there are models
-    reps = tasks.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b.config.permutation_repetitions - 1))))
-    drawn = F.array_sort(F.transform("of", lambda s: F.struct(uniform(F.lit(str(b.config.seed)), F.col("rep"), F.col("task_id"), s["model_id"]).alias("u"), s["model_id"].alias("model_id"), s["ry"].alias("ry"))))
-    products = F.aggregate(F.zip_with("of", drawn, lambda s, d: s["rx"] * d["ry"]), F.lit(0.0), lambda a, p: a + p)
-    each = reps.groupBy("rep").agg(F.sum(products).alias("sum")).crossJoin(F.broadcast(rho))
+    tasks = ranked.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("model_id", "rx", "ry"))).alias("of"))  # as many as there are models
+    vary = lambda rank: F.array_min(f"of.{rank}") < F.array_max(f"of.{rank}")
+    tasks = written(tasks.withColumn("moves", vary("rx") & vary("ry")), "tasks")
+    # where all x or all y of a task are equal, no order changes the sum
+    still = tasks.filter("not moves").agg(F.sum(F.aggregate("of", F.lit(0.0), lambda a, s: a + s["rx"] * s["ry"])).alias("still"))
+    reps = tasks.filter("moves").select("task_id", F.col("of.model_id").alias("models"), F.col("of.rx").alias("rx"), F.col("of.ry").alias("ry"), F.explode(F.sequence(F.lit(0), F.lit(b.config.permutation_repetitions - 1))).alias("rep"))
+    reps = reps.withColumn("drawn", F.sort_array(F.zip_with("models", "ry", lambda m, y: F.struct(uniform_hex(F.lit(str(b.config.seed)), F.col("rep"), F.col("task_id"), m).alias("u"), m.alias("model_id"), y.alias("ry")))))
+    products = F.aggregate(F.zip_with("rx", "drawn", lambda x, d: x * d["ry"]), F.lit(0.0), lambda a, p: a + p)
+    sums = reps.groupBy("rep").agg(F.sum(products).alias("moved"))
+    every = ranked.sparkSession.range(b.config.permutation_repetitions).select(F.col("id").cast("int").alias("rep")).join(sums, "rep", "left").crossJoin(F.broadcast(still))
+    each = every.select("rep", (F.coalesce("moved", F.lit(0.0)) + F.coalesce("still", F.lit(0.0))).alias("sum")).crossJoin(F.broadcast(rho.filter("answers > 0")))
     far = F.abs(corr(F.col("sum") / F.col("answers"))) >= F.abs(corr(F.col("mxy"))) - 1e-12
     return each.groupBy("answers", corr(F.col("mxy")).alias("rho")).agg(F.count_if(far).alias("as_far"), F.count("*").alias("reps")).select("answers", r6(F.col("rho")).alias("rho"), r6((F.col("as_far") + 1) / (F.col("reps") + 1)).alias("p"))
 

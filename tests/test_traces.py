@@ -82,3 +82,12 @@ def test_a_resample_draws_as_many_as_there_are(spark):
             want[rep, line[int(u * len(names))]] += 1
     got = {(r["rep"], r["name"]): r["c"] for r in drawn_by(counts, "name", "c", rows, F.col("id"), 7, 5).collect()}
     assert got == dict(want)
+
+
+def test_permutations_compare_hashes_as_text(spark):
+    """Each draw turned into a number took longer than the hash; tasks whose sum no order changes are not drawn at all."""
+    from sparkwright.plans.bundle import stand_in
+
+    out = traces.q21(stand_in(spark, "/root/testdata/sf0.001"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5(" in plan and "conv(" not in plan and "moves" in plan
