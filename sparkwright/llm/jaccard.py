@@ -5,7 +5,7 @@ groups that they connect. Pivots are sets of the corpus itself.
 
 1. A set's name is 64 bits of a 128-bit fingerprint; names that two fingerprints share are looked for and given up
    (``shared_names``), so sets are told apart by 128 bits. Sets are made from the texts in each of the four passes that
-   need them: written once, they take more room than the texts.
+   need them: written once, they take more room than the texts. After the first, only of one row of each set's copies.
 2. First pivots. Nearly all texts are at distance 1 from any few of them, so few pivots would put everything into every
    window. So a shingle picks them: in one order of all shingles (rare ones first), two sets within eps share one
    among their first places (the smaller, of n shingles, differs from the other in at most n / 9, the larger in at most
@@ -22,8 +22,10 @@ groups that they connect. Pivots are sets of the corpus itself.
    with the others meet all of them, by pairs of slices of bounded size, each a region of its own.
 
 Shuffled are: for each task, sorted hashes of all shingles (a few bytes each, to know the frequent ones), of the
-windows' shingles, and whole sets only of documents that share a region with others. Nothing is dropped: the number of
-frequent shingles that are known (at most ``HEAVY``) only affects the order, so the sizes of regions.
+windows' shingles, and whole sets only of documents that share a region with others. Nothing is dropped: what is known
+of frequent shingles only affects the order, so the sizes of regions. That is, in 2 bits for each of at most 2^``ROOM``
+places, whether one set, two or more hold a shingle of that place, and of at most ``HEAVY`` how many do. A text's own
+shingles come first, so texts that chance alone would join, ever more in a larger corpus, share no region.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ from sparkwright.llm.shingles import PLACE, U, mix, shingle_sets
 
 EPS, REACH = 0.2, 0.4
 HEAVY = 1 << 21
+#: Places for what is known of all shingles, four for each that several sets hold, and at most 2^ROOM.
+ROOM = 27
 BITMAP = 26
 FLUSH = 1 << 21
 #: A region of at most so many sets and shingles is joined in one task; others by so many pivots at a time.
@@ -122,17 +126,28 @@ def named(own: DataFrame, names: dict[tuple[int, int], int]) -> DataFrame:
     return own.withColumn("node", node)
 
 
-def sets_of(batches, k: int, names: dict[tuple[int, int], int]):
-    """(node, set) of a task's texts, each set once."""
+def is_on(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    p = numbers & ((1 << BITMAP) - 1)
+    return (bits[p >> 3] >> (p & 7) & 1).astype(bool)
+
+
+def first_rows(own: DataFrame) -> np.ndarray:
+    """A bitmap that has one row of each set, by xxhash64(doc_id, print); of other copies some, as the bits are shared."""
+    return bitmap(own.filter("low is not null").groupBy("low", "high").agg(F.min(F.xxhash64("doc_id", "print")).alias("row")).select("row"), BITMAP)
+
+
+def sets_of(batches, k: int, names: dict[tuple[int, int], int], first):
+    """(node, set) of a task's rows (row, text) that ``first`` has, each set once."""
     seen = set()
     for b in small(batches):
-        for s in shingle_sets(binary(b.column(0)), k):
+        b = b.filter(pa.array(is_on(first.value, b.column(0).to_numpy())))
+        for s in shingle_sets(binary(b.column(1)), k):
             if len(s) and (name := fingerprint(s)) not in seen:
                 seen.add(name)
                 yield names.get(name, name[0]), s
 
 
-def frequencies(docs: DataFrame, k: int, bits: int) -> DataFrame:
+def frequencies(docs: DataFrame, k: int, bits: int, first) -> DataFrame:
     """(bucket, blob): how many of a task's distinct sets hold each shingle."""
 
     def run(batches):
@@ -143,7 +158,7 @@ def frequencies(docs: DataFrame, k: int, bits: int) -> DataFrame:
             rows = [(b, pack(np.diff(v[i:j] >> U(24), prepend=U(0)), np.minimum(c[i:j], 65535).astype("<u2"))) for b, i, j in by_bucket(v, bits)]
             return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-        for _, s in sets_of(batches, k, {}):
+        for _, s in sets_of(batches, k, {}, first):
             held.append(s)
             size += len(s)
             if size >= FLUSH:
@@ -152,11 +167,23 @@ def frequencies(docs: DataFrame, k: int, bits: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, blob binary")
+    return docs.select("row", "text").mapInArrow(run, "bucket int, blob binary")
+
+
+#: The level of what three sets hold; levels are four times the logarithm.
+THRICE = 6
 
 
-def heavy_shingles(blobs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The top 40 bits of the shingles in most sets, at most HEAVY, and a class that grows with the number of sets."""
+def marked(places: np.ndarray, level: np.ndarray, n: int) -> bytes:
+    """2 bits for each of ``n`` places: 1 where two sets hold a shingle, 2 where more do."""
+    marks = np.zeros(n, np.uint8)
+    marks[places] = 1
+    marks[places[level >= THRICE]] = 2
+    return (marks.reshape(-1, 4) << np.arange(0, 8, 2, dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+
+
+def heavy_shingles(blobs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The top 40 bits of the shingles in most sets, at most HEAVY, and a class that grows with the number of sets; marks of all, and into how many places (as a power of 2) they go."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         v, c = zip(*(unpack(x, "<u8", "<u2") for x in pdf["blob"]), strict=True)
@@ -165,38 +192,55 @@ def heavy_shingles(blobs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         v, c = v[order], c[order]
         first = np.flatnonzero(np.diff(v, prepend=v[:1] ^ U(1)))
         total = np.add.reduceat(c, first)
-        often = total >= 3
+        often = total >= 2
         level = np.minimum(255, np.log2(total[often]) * 4).astype(np.uint8)
-        return pd.DataFrame({"levels": [np.bincount(level, minlength=256).tolist()], "blob": [pack(v[first][often], level)]})
+        return pd.DataFrame({"levels": [np.bincount(level, minlength=256).tolist()], "blob": [pack(np.diff(v[first][often], prepend=U(0)), level)]})
 
     counted = cut(blobs.groupBy("bucket").applyInPandas(count, "levels array<long>, blob binary"), "frequencies")
-    sums = [x for x in counted.agg(*[F.sum(F.col("levels")[i]).alias(f"l{i}") for i in range(256)]).first()]
+    sums = [x or 0 for x in counted.agg(*[F.sum(F.col("levels")[i]).alias(f"l{i}") for i in range(256)]).first()]
     least, total = 256, 0
-    while least > 0 and total + (sums[least - 1] or 0) <= HEAVY:
+    while least > THRICE and total + sums[least - 1] <= HEAVY:
         least -= 1
-        total += sums[least] or 0
+        total += sums[least]
+    room = max(bits + 2, min(ROOM, (4 * sum(sums)).bit_length()))
 
     def keep(frames):
         for f in frames:
             for blob in f["blob"]:
                 v, level = unpack(blob, "<u8", "u1")
-                if (level >= least).any():
-                    yield pd.DataFrame({"blob": [pack(v[level >= least], level[level >= least])]})
-
-    found = [unpack(r["blob"], "<u8", "u1") for r in counted.select("blob").mapInPandas(keep, "blob binary").collect()]
+                if len(v):
+                    v = np.cumsum(v, dtype=np.uint64)
+                    at = int(v[0] >> U(40 - bits)) << room - bits  # the first place of this bucket
+                    marks = marked((v >> U(40 - room)).astype(np.int64) - at, level, 1 << room - bits)
+                    yield pd.DataFrame({"at": [at >> 2], "marks": [zstandard.ZstdCompressor(level=1).compress(marks)], "blob": [pack(v[level >= least], level[level >= least])]})
+
+    marks, found = np.zeros(1 << room - 2, np.uint8), [(np.zeros(0, np.uint64), np.zeros(0, np.uint8))]
+    for r in counted.select("blob").mapInPandas(keep, "at long, marks binary, blob binary").collect():
+        of = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["marks"]), np.uint8)
+        marks[r["at"] : r["at"] + len(of)] = of
+        found.append(unpack(r["blob"], "<u8", "u1"))
     forget(counted)
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
     v, level = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
     order = np.argsort(v)
-    return v[order], level[order]
+    return v[order], level[order], marks, room
+
+
+def commonness(s: np.ndarray, v: np.ndarray, level: np.ndarray, marks: np.ndarray, room: int) -> np.ndarray:
+    """A number for each shingle that grows with how many sets hold it: 0 of one set, 1 of two, 2 of more (or of places shared with such), then by level."""
+    place = (s >> U(64 - room)).astype(np.int64)
+    often = marks[place >> 2] >> (place << 1 & 6).astype(np.uint8) & np.uint8(3)
+    more = np.flatnonzero(often == 2)
+    if len(v) and len(more):
+        top = s[more] >> U(24)
+        at = np.minimum(np.searchsorted(v, top), len(v) - 1)
+        often[more] = np.where(v[at] == top, level[at] - np.uint8(THRICE - 3), np.uint8(2))
+    return often
 
 
-def root_regions(docs: DataFrame, k: int, names: dict, bits: int, heavy) -> DataFrame:
+def root_regions(docs: DataFrame, k: int, names: dict, bits: int, heavy, first) -> DataFrame:
     """(bucket, blob): the shingles in each set's first places, with the set, its size and whether the smaller set's bound holds."""
 
     def run(batches):
-        v, level = heavy.value
         held, nodes, size = [], [], 0
 
         def flush():
@@ -210,15 +254,11 @@ def root_regions(docs: DataFrame, k: int, names: dict, bits: int, heavy) -> Data
                 rows.append((b, pack(np.diff(s[i:j], prepend=U(0)), local.astype("<u4"), near[i:j].astype("u1"), ids[used], ns[used])))
             return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
-        for node, s in sets_of(batches, k, names):
-            n = len(s)
-            top, often = s >> U(24), np.zeros(n, np.uint8)
-            if len(v):
-                at = np.minimum(np.searchsorted(v, top), len(v) - 1)
-                often = np.where(v[at] == top, level[at] + np.uint8(1), np.uint8(0))
+        for node, s in sets_of(batches, k, names, first):
+            n, often = len(s), commonness(s, *heavy.value)
             wide, narrow = n - -(-4 * n // 5) + 1, n - -(-8 * n // 9) + 1
-            first = np.lexsort((mix(s ^ STEP_ORDER), often))[:wide]
-            held.append((s[first], np.full(wide, len(nodes)), np.arange(wide) < narrow))
+            least = np.lexsort((mix(s ^ STEP_ORDER), often))[:wide]
+            held.append((s[least], np.full(wide, len(nodes)), np.arange(wide) < narrow))
             nodes.append((node, n))
             size += wide
             if size >= FLUSH // 2:
@@ -227,7 +267,7 @@ def root_regions(docs: DataFrame, k: int, names: dict, bits: int, heavy) -> Data
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, blob binary")
+    return docs.select("row", "text").mapInArrow(run, "bucket int, blob binary")
 
 
 STEP_ORDER = U(0xA0761D6478BD642F)
@@ -320,7 +360,7 @@ def groups_in(sets: list[np.ndarray], eps: float = EPS) -> np.ndarray:
     return np.array([find(i) for i in range(len(sets))])
 
 
-def whole_sets(docs: DataFrame, k: int, names: dict, bits) -> DataFrame:
+def whole_sets(docs: DataFrame, k: int, names: dict, bits, first) -> DataFrame:
     """node, n, shingles of each set whose place in the bitmap is set, once a task."""
 
     def run(batches):
@@ -329,7 +369,7 @@ def whole_sets(docs: DataFrame, k: int, names: dict, bits) -> DataFrame:
         def flush():
             return pa.RecordBatch.from_pydict({"node": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([len(r[1]) // 8 for r in rows], pa.int64()), "shingles": pa.array([r[1] for r in rows], pa.binary())})
 
-        for node, s in sets_of(batches, k, names):
+        for node, s in sets_of(batches, k, names, first):
             p = node % (1 << BITMAP)
             if on[p >> 3] >> (p & 7) & 1:
                 rows.append((node, s.tobytes()))
@@ -340,7 +380,7 @@ def whole_sets(docs: DataFrame, k: int, names: dict, bits) -> DataFrame:
         if rows:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "node long, n long, shingles binary")
+    return docs.select("row", "text").mapInArrow(run, "node long, n long, shingles binary")
 
 
 def region_groups(members: DataFrame) -> DataFrame:
@@ -468,14 +508,16 @@ def grouped(docs: DataFrame, k: int = 5) -> DataFrame:
     bits = max(6, (8 * input_partitions(spark) - 1).bit_length())
     own = cut(own_sets(docs, k), "sets")
     names = shared_names(own)
+    first = spark.sparkContext.broadcast(first_rows(own))
     own = named(own, names)
-    heavy = spark.sparkContext.broadcast(heavy_shingles(frequencies(docs, k, bits)))
-    close = cut(root_regions(docs, k, names, bits, heavy).groupBy("bucket").applyInPandas(attached, "a long, b long").distinct(), "attached")
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "print"))
+    heavy = spark.sparkContext.broadcast(heavy_shingles(frequencies(docs, k, bits, first), bits))
+    close = cut(root_regions(docs, k, names, bits, heavy, first).groupBy("bucket").applyInPandas(attached, "a long, b long").distinct(), "attached")
     links = None
     if close.limit(1).count():
         region = components(close)
         kept = spark.sparkContext.broadcast(bitmap(region.select("node"), BITMAP))
-        members = cut(whole_sets(docs, k, names, kept).join(region, "node").select(F.col("root").cast("string").alias("region"), "node", "n", "shingles"), "members")
+        members = cut(whole_sets(docs, k, names, kept, first).join(region, "node").select(F.col("root").cast("string").alias("region"), "node", "n", "shingles"), "members")
         links = cut(join_regions(members), "links")
         forget(members)
     forget(close)

@@ -102,6 +102,32 @@ def test_cells_lose_no_pair_and_pivots_need_not_be_near():
         assert together[near].all()
 
 
+@pytest.mark.parametrize("copies", [1, 4])
+def test_texts_that_share_by_chance_have_no_region(spark, monkeypatch, copies):
+    monkeypatch.setattr(jaccard, "HEAVY", 0)  # as in a corpus with more frequent shingles than are known one by one
+    made, cut = [], jaccard.cut
+    monkeypatch.setattr(jaccard, "cut", lambda df, name: made.append(name) or cut(df, name))
+    passage = [" ".join(f"p{i}x{j}" for j in range(12)) for i in range(31)]
+    texts = [" ".join([passage[i], *(f"w{i}x{j}" for j in range(40)), passage[i + 1]]) for i in range(30)]
+    rows = [(100 * c + i, text, "en", "s") for c in range(copies) for i, text in enumerate(texts)]
+    assert result(jaccard_components(frame(spark, rows))) == brute(rows)
+    assert "attached" in made and "members" not in made
+
+
+@pytest.mark.parametrize("room", [1, 27])
+def test_marks_tell_how_many_sets_hold_a_shingle(spark, monkeypatch, room):
+    monkeypatch.setattr(jaccard, "ROOM", room)
+    rng = np.random.default_rng(5)
+    of = [np.sort(rng.integers(0, 1 << 64, n, dtype=np.uint64) >> np.uint64(24)) for n in (300, 200, 100)]  # held by one, two, five sets
+    v, c = np.concatenate(of), np.repeat([1, 2, 5], [300, 200, 100])
+    v, c = v[order := np.argsort(v)], c[order]
+    rows = [(b, jaccard.pack(np.diff(v[i:j], prepend=np.uint64(0)), c[i:j].astype("<u2"))) for b, i, j in jaccard.by_bucket(v << np.uint64(24), 6)]
+    known = jaccard.heavy_shingles(spark.createDataFrame(rows, "bucket int, blob binary"), 6)
+    got = [jaccard.commonness(x << np.uint64(24), *known) for x in of]
+    assert len(known[0]) == 100 and (got[2] == int(4 * np.log2(5)) - jaccard.THRICE + 3).all()
+    assert (got[1] >= 1).all() and (room == 1 or ((got[1] == 1).mean() > 0.8 and (got[0] == 0).mean() > 0.6))
+
+
 def test_names_that_two_fingerprints_share(spark):
     own = spark.createDataFrame([(1, 5, 10), (2, 5, 11), (3, 5, 10), (4, 6, 10), (5, None, None)], "doc_id long, low long, high long")
     node = {r["doc_id"]: r["node"] for r in jaccard.named(own, jaccard.shared_names(own)).collect()}
