@@ -18,8 +18,11 @@ groups that they connect. Pivots are sets of the corpus itself.
    A pivot's distances to all its region are known exactly, so its links are, and it leaves. Cells are joined
    recursively until no cell holds sets that are not connected already.
 4. Regions of at most ``SETS`` sets are joined in one task; larger ones are split by the same cells as distributed steps,
-   in slices. Where cells hardly split them (sets that are all near each other), the sets that the pivots don't connect
-   with the others meet all of them, by pairs of slices of bounded size, each a region of its own.
+   in slices. Where cells hardly split them, the sets that the pivots don't connect with the others meet all of them, by
+   pairs of slices of bounded size, each a region of its own. That copies sets with the square of the region's, as is due
+   for sets that are all near each other. Where sets are far from each other, a region is many first pivots that few sets
+   are attached to; two sets within eps are attached to one of them, so each with its sets is a region of its own
+   (``stars``) if that copies fewer sets.
 
 Shuffled are: for each task, sorted hashes of all shingles (a few bytes each, to know the frequent ones), of the
 windows' shingles, and whole sets only of documents that share a region with others. Nothing is dropped: what is known
@@ -50,6 +53,8 @@ BITMAP = 26
 FLUSH = 1 << 21
 #: A region of at most so many sets and shingles is joined in one task; others by so many pivots at a time.
 SETS, SHINGLES, PIVOTS = 128, 1 << 21, 16
+#: Up to so many copies of each set, pairs of slices are made without a look at what else would do.
+OFTEN = 8
 
 
 def linked(common, a, b):
@@ -460,10 +465,35 @@ def region_sizes(members: DataFrame, *more: str) -> DataFrame:
     return members.groupBy("region", *more).agg(F.count("*").alias("sets"), F.sum("n").alias("weight"))
 
 
+def largest_groups(rest: DataFrame) -> DataFrame:
+    """region, its largest group, how many sets that and all groups have."""
+    counts = rest.groupBy("region", "group").agg(F.count("*").alias("c"))
+    return counts.groupBy("region").agg(F.max_by("group", F.struct("c", "group")).alias("largest"), F.max("c").alias("most"), F.sum("c").alias("all"))
+
+
+def stars(rest: DataFrame, sizes: DataFrame, attached: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Regions that pivots don't split and whose pairs of slices would copy each set often: (names of those that are cheaper
+    by the first pivots of ``attached`` (a pivot, b), these stars as regions with ``fits``); None without any.
+
+    A star whose sets are all connected is left out. Names of stars hold an @; they aren't split by stars again.
+    """
+    others = F.col("all") - F.col("most")
+    copies = others * F.col("slices") + F.col("all") * F.ceil(2 * others / SETS)
+    often = cut(largest_groups(rest.filter("not contains(region, '@')")).join(sliced(sizes), "region").select("region", copies.alias("copies")).filter(F.col("copies") > OFTEN * F.col("all")), "often")
+    if not often.limit(1).count():
+        return None
+    to = attached.select(F.col("a").alias("star"), F.col("b").alias("node")).union(attached.select("a", "a")).distinct()
+    held = rest.join(often, "region", "left_semi").join(to, "node")
+    open_ = cut(held.groupBy("region", "star").agg(F.count("*").alias("sets"), F.sum("n").alias("weight"), F.min("group").alias("a"), F.max("group").alias("b")).filter("a <> b"), "stars")
+    cheaper = often.join(open_.groupBy("region").agg(F.sum("sets").alias("held")), "region", "left").filter("2 * coalesce(held, 0) < copies").select("region")
+    fits = (F.col("sets") <= SETS) & (F.col("weight") <= SHINGLES)
+    chosen = open_.join(cheaper, "region", "left_semi").select("region", "star", fits.alias("fits"))
+    return cheaper, held.join(chosen, ["region", "star"]).select(F.concat_ws("@", "region", "star").alias("region"), "node", "n", "shingles", "fits")
+
+
 def slice_pairs(rest: DataFrame, sizes: DataFrame) -> DataFrame:
     """Regions that pivots don't split: what is not in a region's largest group meets all of it, by pairs of slices."""
-    counts = rest.groupBy("region", "group").agg(F.count("*").alias("c"))
-    largest = counts.groupBy("region").agg(F.max_by("group", F.struct("c", "group")).alias("largest"))
+    largest = largest_groups(rest).select("region", "largest")
     all_ = rest.join(largest, "region").join(sliced(sizes), "region").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     others = all_.filter("group <> largest")
     of = others.groupBy("region").agg(F.greatest(F.lit(1), F.ceil(2 * F.count("*") / SETS), F.ceil(2 * F.sum("n") / SHINGLES)).cast("int").alias("parts"))
@@ -474,8 +504,11 @@ def slice_pairs(rest: DataFrame, sizes: DataFrame) -> DataFrame:
     return a.select(name.alias("region"), "node", "n", "shingles").union(b.select(name.alias("region"), "node", "n", "shingles"))
 
 
-def join_regions(members: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all sets connected within the regions of ``members`` (region string, node, n, shingles)."""
+def join_regions(members: DataFrame, attached: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all sets connected within the regions of ``members`` (region string, node, n, shingles).
+
+    ``attached``: (a first pivot, b); those of a region's sets that are within eps are attached to one, or one to the other.
+    """
     fits = (F.col("sets") <= SETS) & (F.col("weight") <= SHINGLES)
     sizes = cut(region_sizes(members), "region-sizes")
     if not sizes.filter(~fits).limit(1).count():
@@ -485,21 +518,30 @@ def join_regions(members: DataFrame) -> DataFrame:
     while True:
         sizes = cut(region_sizes(large), "region-sizes")
         at = cut(placed(large, sizes), "placed")
+        forget(large)
         first = F.get("to", F.lit(0))
-        found = found.union(at.select(first.alias("a"), F.col("node").alias("b")).filter("a <> b")).union(at.filter("size(to) > 1").select("to").distinct().select(first.alias("a"), F.explode("to").alias("b")).filter("a <> b"))
+        near = at.select(first.alias("a"), F.col("node").alias("b")).filter("a <> b").union(at.filter("size(to) > 1").select("to").distinct().select(first.alias("a"), F.explode("to").alias("b")).filter("a <> b"))
         groups = at.filter("size(to) > 0").select("region", "to").distinct().groupBy("region").applyInPandas(pivot_groups, "region string, first long, group long")
         rest = cut(at.filter("not pivot").withColumn("first", first).join(groups, ["region", "first"], "left").select("region", "node", "n", "shingles", "in", F.coalesce("group", "node").alias("group")), "rest")
+        found = found.union(cut(near, "links"))
+        forget(at)
         # cells whose sets are all connected are done; what is left of a region is split if its cells are really smaller
         open_ = cut(rest.select("region", "n", "group", F.explode("in").alias("cell")).groupBy("region", "cell").agg(F.count("*").alias("sets"), F.sum("n").alias("weight"), F.min("group").alias("a"), F.max("group").alias("b")).filter("a <> b and sets > 1").join(sizes.select("region", F.col("sets").alias("of")), "region"), "cells")
         dense = open_.groupBy("region").agg((F.max(F.col("sets") / F.col("of")) > 0.75).alias("a"), (F.sum("sets") > 1.5 * F.max("of")).alias("b")).filter("a or b").select("region")
-        found = found.union(region_groups(slice_pairs(rest.join(dense, "region", "left_semi"), sizes)))
+        whole = rest.join(dense, "region", "left_semi")
+        starred = stars(whole, sizes, attached)
+        found = found.union(region_groups(slice_pairs(whole.join(starred[0], "region", "left_anti") if starred else whole, sizes)))
         split = open_.join(dense, "region", "left_anti")
         name = F.concat_ws("/", "region", "cell").alias("region")
         parts = rest.withColumn("cell", F.explode("in")).join(split.select("region", "cell", fits.alias("fits")), ["region", "cell"]).select(name, "node", "n", "shingles", "fits")
+        parts = parts.union(starred[1]) if starred else parts
         found = found.union(region_groups(parts.filter("fits")))
-        if not split.filter(~fits).limit(1).count():
+        more = parts.filter("not fits").drop("fits")
+        if not (starred and more.limit(1).count() or split.filter(~fits).limit(1).count()):
             return found
-        large = cut(parts.filter("not fits").drop("fits"), "large-regions")
+        large = cut(more, "large-regions")
+        found = cut(found, "links")
+        forget(rest)
 
 
 def grouped(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -518,7 +560,7 @@ def grouped(docs: DataFrame, k: int = 5) -> DataFrame:
         region = components(close)
         kept = spark.sparkContext.broadcast(bitmap(region.select("node"), BITMAP))
         members = cut(whole_sets(docs, k, names, kept, first).join(region, "node").select(F.col("root").cast("string").alias("region"), "node", "n", "shingles"), "members")
-        links = cut(join_regions(members), "links")
+        links = cut(join_regions(members, close), "links")
         forget(members)
     forget(close)
     if links is None or not links.limit(1).count():

@@ -114,6 +114,20 @@ def test_texts_that_share_by_chance_have_no_region(spark, monkeypatch, copies):
     assert "attached" in made and "members" not in made
 
 
+def test_far_sets_of_a_large_region_meet_only_where_they_are_attached(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SETS", 4)
+    copied, groups = [], jaccard.region_groups
+    monkeypatch.setattr(jaccard, "region_groups", lambda members: copied.append(members.count()) or groups(members))
+    rng, rows = random.Random(11), []
+    order = rng.sample(range(160), 160)
+    passages = [[f"p{j}x{k}" for k in range(40)] for j in range(160)]  # each in two of the texts, which have nothing else, and in near copies of them
+    for i in range(160):
+        w = passages[order[i]] + passages[order[i - 1]]
+        rows += [(10 * i, " ".join(w), "en", "s"), (10 * i + 1, " ".join([*w[:-1], f"end{i}"]), "en", "s")]
+    assert result(jaccard_components(frame(spark, rows))) == brute(rows)
+    assert 0 < sum(copied) < 10 * len(rows), copied
+
+
 @pytest.mark.parametrize("room", [1, 27])
 def test_marks_tell_how_many_sets_hold_a_shingle(spark, monkeypatch, room):
     monkeypatch.setattr(jaccard, "ROOM", room)
