@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkwright.llm import jaccard
+from sparkwright.llm import components, jaccard
 from sparkwright.llm.jaccard import EPS, groups_in, jaccard_components
 
 from .helpers import documents, empty, frame
@@ -142,6 +142,17 @@ def test_marks_tell_how_many_sets_hold_a_shingle(spark, monkeypatch, room):
     assert (got[1] >= 1).all() and (room == 1 or ((got[1] == 1).mean() > 0.8 and (got[0] == 0).mean() > 0.6))
 
 
+def test_components_of_a_forest_of_the_links(spark, monkeypatch):
+    made, cut = {}, components.cut
+    monkeypatch.setattr(components, "cut", lambda df, name: made.setdefault(name, cut(df, name)) if name == "links" else cut(df, name))
+    monkeypatch.setattr(components, "forget", lambda *tables: None)
+    dense = [(i, j) for i in range(0, 80, 2) for j in range(i + 2, 80, 2)]
+    path = [(2 * i + 1, 2 * i + 3) for i in range(30)]
+    got = components.components(spark.createDataFrame([*dense, *path, *path, (500, 500)], "a long, b long")).collect()
+    assert {r["node"]: r["root"] for r in got} == {i: 0 for i in range(0, 80, 2)} | {2 * i + 1: 1 for i in range(31)} | {500: 500}
+    assert len(got) == 72 and made["links"].count() < 2 * 72
+
+
 def test_names_that_two_fingerprints_share(spark):
     own = spark.createDataFrame([(1, 5, 10), (2, 5, 11), (3, 5, 10), (4, 6, 10), (5, None, None)], "doc_id long, low long, high long")
     node = {r["doc_id"]: r["node"] for r in jaccard.named(own, jaccard.shared_names(own)).collect()}
